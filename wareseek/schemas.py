@@ -57,7 +57,7 @@ RAW_CATALOG = T.StructType(
     ]
 )
 
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 
 ENRICHED_CATALOG = T.StructType(
     [

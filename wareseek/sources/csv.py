@@ -51,6 +51,8 @@ def write_catalog_csv(df: DataFrame, path: str) -> None:
         .option("quote", '"')
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("nullValue", "")
         .option("emptyValue", "")
         .csv(path)
