@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wareseek.operators.filters import Conditions
 from wareseek.schemas import CATEGORIES, COLORS, SEASONS
+from wareseek.storage import spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +81,11 @@ def with_texts(df: DataFrame, spark: SparkSession, sf_dir: str, key: str = "_id"
     return _in_turn(df, texts, key, "doc_id").drop("doc_id")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, ready for work that is costly per row."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with vectors, as the search queries see them."""
     return with_vectors(products(spark, sf_dir), spark, sf_dir)
@@ -87,7 +93,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their whole descriptions."""
-    return with_texts(products(spark, sf_dir), spark, sf_dir)
+    return with_texts(spread(products(spark, sf_dir), "_id"), spark, sf_dir)
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:

@@ -10,7 +10,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F, types as T
 
-from registry.base import DESCRIBED_SQL, PRODUCTS_SQL, described, products, query, table, tokens_sql
+from registry.base import DESCRIBED_SQL, PRODUCTS_SQL, described, documents, products, query, table, tokens_sql
 from wareseek.functions.geometry import center_square
 from wareseek.functions.text import (
     DESCRIPTION_PROMPT,
@@ -149,7 +149,7 @@ def _(spark, sf):
     FROM (SELECT doc_id, {tokens_sql('text')} AS toks FROM documents)""",
 )
 def _(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("toks"))
+    found = documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("toks"))
     return found.select(
         "doc_id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens")
     )
@@ -208,7 +208,7 @@ def _(spark, sf):
     parts = table(spark, sf, "part").select(
         F.lit("part").alias("source"), F.col("p_partkey").alias("id"), named.alias("response")
     )
-    texts = table(spark, sf, "documents").select(
+    texts = documents(spark, sf).select(
         F.lit("document").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("response")
     )
     response = F.col("response")
@@ -255,8 +255,8 @@ def embedding_sql(name: str, source: str, key: str, text: str, dims: int = DIMS)
     f"WITH {embedding_sql('embedded', 'documents', 'doc_id', 'text')} SELECT doc_id, bucket, weight FROM embedded",
 )
 def _(spark, sf):
-    vectors = table(spark, sf, "documents").select("doc_id", hashed_embedding(F.col("text"), DIMS).alias("v"))
-    return vectors.select("doc_id", F.posexplode("v").alias("bucket", "weight")).filter("weight <> 0")
+    vectors = documents(spark, sf).select("doc_id", hashed_embedding(F.col("text"), DIMS).alias("v"))
+    return vectors.select("doc_id", F.posexplode_outer("v").alias("bucket", "weight")).filter("weight <> 0")
 
 
 # --- Token budgets ------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from registry.base import (
     WHERE,
     bm25_sql,
     catalog,
+    documents,
     products,
     query,
     query_vector,
@@ -188,7 +189,7 @@ def _(spark, sf):
     GROUP BY term""",
 )
 def _(spark, sf):
-    return term_stats(build_postings(table(spark, sf, "documents"), "text", "doc_id"))
+    return term_stats(build_postings(documents(spark, sf), "text", "doc_id"))
 
 
 _TEXT_HITS = f"""{bm25_sql(f"'{TEXT}'")},

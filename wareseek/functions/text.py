@@ -30,7 +30,7 @@ def has_token(text: Column) -> Column:
 
 def token_count(token_list: Column) -> Column:
     """Length of a token list; NULL for a missing list."""
-    return F.when(token_list.isNotNull(), F.size(token_list))
+    return F.array_size(token_list)
 
 
 def is_blank(text: Column) -> Column:

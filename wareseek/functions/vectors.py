@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -70,17 +71,20 @@ def unit_vector(vector: Column, dims: int) -> Column:
 def hashed_embedding(text: Column, dims: int) -> Column:
     """Bag of words embedding: count tokens per hash bucket, then scale to length one.
 
-    Tokens are hashed in the JVM; a batch then becomes one ``bincount``. Text without tokens has
-    no direction and gives NULL.
+    The bucket of a token is the number in the first eight hex digits of its MD5, modulo ``dims``.
+    Text is tokenised in the JVM. A batch then hashes each distinct token once and counts with one
+    ``bincount``. Text without tokens has no direction and gives NULL.
     """
-    bucket = lambda t: F.pmod(
-        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dims)
-    ).cast("int")
 
     @F.arrow_udf("array<float>")
-    def embed(buckets: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
-        flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    def embed(lists: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        bucket = np.array(
+            [int(md5(t.encode()).hexdigest()[:8], 16) % dims for t in coded.dictionary.to_pylist()],
+            dtype=np.int64,
+        )
+        flat = bucket[coded.indices.to_numpy(zero_copy_only=False)]
         rows = np.repeat(np.arange(len(lengths)), lengths)
         counts = np.bincount(rows * dims + flat, minlength=len(lengths) * dims)
         counts = counts.reshape(len(lengths), dims).astype(np.float64)
@@ -88,7 +92,7 @@ def hashed_embedding(text: Column, dims: int) -> Column:
         usable = norms > 0
         return _float_lists(counts[usable] / norms[usable, None], usable)
 
-    return embed(F.transform(tokens(text), bucket))
+    return embed(tokens(text))
 
 
 def _float_lists(rows: np.ndarray, usable: np.ndarray) -> pa.Array:

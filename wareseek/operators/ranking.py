@@ -15,20 +15,31 @@ def top_n(df: DataFrame, n: int, score: str = "score", tie: str = "_id") -> Data
 
 
 def top_n_per_query(
-    df: DataFrame, n: int, query: str = "query_id", score: str = "score", tie: str = "_id"
+    df: DataFrame,
+    n: int,
+    query: str = "query_id",
+    score: str = "score",
+    tie: str = "_id",
+    splits: int = SPLITS,
 ) -> DataFrame:
-    """Best ``n`` rows of every query with their zero-based ``rank``."""
+    """Best ``n`` rows of every query with their zero-based ``rank``.
+
+    ``splits=1`` suits input that already holds only a few rows per query.
+    """
     best_first = (F.col(score).desc(), F.col(tie))
-    split = F.pmod(F.xxhash64(tie), F.lit(SPLITS))
-    position = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))
+    if splits > 1:
+        df = (
+            df.withColumn("_split", F.pmod(F.xxhash64(tie), F.lit(splits)))
+            .withColumn("_place", place(query, "_split"))
+            .filter(F.col("_place") <= n)
+            .drop("_split")
+        )
     return (
-        df.withColumn("_split", split)
-        .withColumn("_place", position(query, "_split"))
-        .filter(F.col("_place") <= n)
-        .withColumn("_place", position(query))
+        df.withColumn("_place", place(query))
         .filter(F.col("_place") <= n)
         .withColumn("rank", (F.col("_place") - 1).cast("long"))
-        .drop("_split", "_place")
+        .drop("_place")
     )
 
 
@@ -68,17 +79,22 @@ def merge_by_name(ranked: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def fuse(ranked: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Add up the scores of both sources and keep the best ``n`` names (per key, if any)."""
+def fuse(ranked: DataFrame, n: int, query: str | None = None) -> DataFrame:
+    """Add up the scores of both sources and keep the best ``n`` names (per query, if named).
+
+    For a table of queries the hits, at most 2n per query, are brought together once; merging by
+    name and ranking then both happen in place.
+    """
+    if query is not None:
+        ranked = ranked.repartition(query)
     merged = (
-        merge_by_name(ranked, *keys)
+        merge_by_name(ranked, *([query] if query else []))
         .withColumn("vs_score", F.coalesce("vs_score", F.lit(0.0)))
         .withColumn("fts_score", F.coalesce("fts_score", F.lit(0.0)))
         .withColumn("score", F.round(F.col("fts_score") + F.col("vs_score"), 12))
     )
-    if keys:
-        (query,) = keys
-        return top_n_per_query(merged, n, query=query, tie="name")
+    if query is not None:
+        return top_n_per_query(merged, n, query=query, tie="name", splits=1)
     return with_rank(top_n(merged, n, tie="name"), tie="name")
 
 

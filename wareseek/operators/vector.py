@@ -17,10 +17,9 @@ from wareseek.operators.ranking import top_n, top_n_per_query
 from wareseek.schemas import SCORE_THRESHOLD
 from wareseek.storage import rows_if_at_most
 
-# One slice of a query table is held by every Python worker: at most this many vectors, and at
-# most this many bytes of them.
+# One slice of a query table is held by every Python worker: at most this many vectors (16 MB at
+# 1,024 dimensions).
 MAX_QUERIES_PER_PASS = 2_000
-MAX_QUERY_BYTES = 64 << 20
 SCORE_BLOCK_ROWS = 4_096
 
 
@@ -35,13 +34,15 @@ def nearest(
 ) -> DataFrame:
     """The ``n`` rows most similar to ``query`` among those that satisfy ``where``.
 
-    Exact: filter, score in Arrow batches, one heap per task.
+    Exact: filter, score in Arrow batches, one heap per task. Rows without a score sort last and
+    are dropped after the cut: a filter before it would be pushed below the scoring and run the
+    kernel a second time.
     """
     rows = catalog if where is None else catalog.filter(where)
     scored = rows.filter(F.col(vector).isNotNull()).withColumn(
         "score", vector_score(F.col(vector), query, digits)
     )
-    return top_n(scored.filter(F.col("score").isNotNull()).drop(vector), n, tie=tie)
+    return top_n(scored.drop(vector), n, tie=tie).filter(F.col("score").isNotNull())
 
 
 def vector_search(
@@ -98,19 +99,12 @@ def nearest_per_query(
 
 def _query_slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     """Cut a query table into slices of checked size, halving by hash until each one fits."""
-
-    def limit(row_bytes: int) -> int:
-        return max(1, min(MAX_QUERIES_PER_PASS, MAX_QUERY_BYTES // max(row_bytes, 1)))
-
-    first = queries.select(F.size("vector").alias("dims")).first()
-    if first is None:
-        return
-    most = limit(8 * first["dims"])
     hashed = F.xxhash64("query_id")
     pending = [(1, 0)]
     while pending:
         parts, part = pending.pop()
-        rows = rows_if_at_most(queries.filter(F.pmod(hashed, F.lit(parts)) == part), most)
+        mine = queries if parts == 1 else queries.filter(F.pmod(hashed, F.lit(parts)) == part)
+        rows = rows_if_at_most(mine, MAX_QUERIES_PER_PASS)
         if rows is None:
             pending += [(2 * parts, part), (2 * parts, part + parts)]
             continue
@@ -235,13 +229,14 @@ class CellIndex:
     ) -> CellIndex:
         """Write the rows partitioned by cell, so that a search never opens a skipped cell."""
         dims = catalog.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()[0]
-        usable = catalog.filter(unit_vector(F.col(vector), dims).isNotNull())
-        chosen = usable.orderBy(F.xxhash64(key), key).select(vector).limit(pivots).collect()
-        matrix = np.array([unit_query(r[0]) for r in chosen])
-        celled = usable.withColumn("cell", _nearest_pivot(F.col(vector), matrix))
+        units = catalog.select(key, unit_vector(F.col(vector), dims).alias("unit"))
+        chosen = units.orderBy(F.isnull("unit"), F.xxhash64(key), key).limit(pivots).collect()
+        matrix = np.array([unit_query(r["unit"]) for r in chosen if r["unit"] is not None])
+        # Rows without a usable vector go to a cell of their own and are not read back.
+        celled = catalog.withColumn("cell", _nearest_pivot(F.col(vector), matrix))
         celled.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
         schema = celled.drop("cell").schema.add("cell", T.IntegerType())
-        stored = catalog.sparkSession.read.schema(schema).parquet(path)
+        stored = catalog.sparkSession.read.schema(schema).parquet(path).filter("cell >= 0")
         return cls.over(stored, matrix, vector, key)
 
     @classmethod

@@ -132,9 +132,10 @@ class CatalogTable:
         merged = merge_updates(
             stored, staged, self.key, broadcast=has_at_most(staged, MAX_BROADCAST_UPDATES)
         )
-        # The rewritten buckets are complete on shared storage before any of them is replaced, so
-        # a lost job loses nothing: applying the same updates again gives the same table.
-        self._write(materialise(merged, "merged"), "overwrite")
+        # A dynamic overwrite stages the new buckets and swaps them in when the job commits, so the
+        # old ones can be read, and re-read after a lost executor, until then. Applying the same
+        # updates again gives the same table.
+        self._write(merged, "overwrite")
 
 
 def write_batches(

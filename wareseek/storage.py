@@ -29,6 +29,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a plain scan over all cores when its files yield fewer splits than there are cores.
+
+    Meant ahead of costly per-row work: a few files with huge row groups would otherwise keep it
+    on a few tasks. A scan with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
