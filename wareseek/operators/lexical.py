@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wareseek.functions.text import has_token, run_starts, split_tokens, term_frequencies, tokens
 from wareseek.schemas import BM25_B, BM25_K1
-from wareseek.storage import has_at_most
+from wareseek.storage import is_small, rows_if_at_most
 
 # A query-term table is broadcast only when it has been counted to be no larger than this
 # (a few dozen bytes per row). Beyond it, the join with the postings is a salted shuffle join.
 MAX_BROADCAST_TERMS = 200_000
 TERM_SALTS = 32
+# Up to this many distinct terms are named in the scan filter of a stored index.
+MAX_TERMS_IN_FILTER = 1_000
 
 
 def build_postings(catalog: DataFrame, text: str = "name", key: str = "_id") -> DataFrame:
@@ -112,6 +114,10 @@ def _occurrences(token_list: str, word: str) -> Column:
     return F.size(F.filter(token_list, lambda t: t == word))
 
 
+def _folder(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings and statistics of a catalog, lazily derived or read from files."""
@@ -120,6 +126,7 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
     key: str = "_id"
+    buckets: int | None = None
 
     @classmethod
     def of(cls, catalog: DataFrame, text: str = "name", key: str = "_id") -> LexicalIndex:
@@ -129,42 +136,56 @@ class LexicalIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str, key: str = "_id") -> LexicalIndex:
         read = lambda table: spark.read.parquet(f"{path}/{table}")
-        return cls(read("postings"), read("terms"), read("corpus"), key)
+        corpus = read("corpus")
+        return cls(read("postings"), read("terms"), corpus, key, corpus.first()["buckets"])
 
-    def save(self, path: str) -> LexicalIndex:
-        """Range-partitioned by (term, key) and sorted: a query reads only the row groups of its
-        terms, and the postings of a frequent term spread over as many files as they need."""
+    def save(self, path: str, buckets: int = 64) -> LexicalIndex:
+        """Postings in folders by term hash, sorted by term within balanced files.
+
+        A query opens only the folders of its terms, and the postings of a frequent term spread
+        over as many files as they need.
+        """
         spark = self.postings.sparkSession
         (
-            self.postings.repartitionByRange("term", self.key)
-            .sortWithinPartitions("term", self.key)
-            .write.parquet(f"{path}/postings")
+            self.postings.withColumn("bucket", _folder(buckets))
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "term")
+            .write.partitionBy("bucket")
+            .parquet(f"{path}/postings")
         )
-        term_stats(spark.read.parquet(f"{path}/postings")).write.parquet(f"{path}/terms")
-        self.corpus.write.parquet(f"{path}/corpus")
+        terms = term_stats(spark.read.parquet(f"{path}/postings"))
+        terms.withColumn("bucket", _folder(buckets)).hint("rebalance", "bucket").write.partitionBy(
+            "bucket"
+        ).parquet(f"{path}/terms")
+        self.corpus.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/corpus")
         return self.load(spark, path, self.key)
 
     def search(self, text: str, digits: int = 9) -> DataFrame:
         """``(key, score)`` of every document that matches one query."""
         spark = self.postings.sparkSession
-        terms = Counter(split_tokens(text))
-        rows = [("q", term, count) for term, count in terms.items()]
+        rows = [("q", term, count) for term, count in Counter(split_tokens(text)).items()]
         wanted = spark.createDataFrame(rows, "query_id string, term string, repeats long")
-        narrowed = LexicalIndex(
-            self.postings.filter(F.col("term").isin(list(terms))),
-            self.terms.filter(F.col("term").isin(list(terms))),
-            self.corpus,
-            self.key,
-        )
-        return narrowed.score(wanted, digits).drop("query_id")
+        return self.score(wanted, digits).drop("query_id")
+
+    def _read_for(self, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and term statistics, of stored ones only the folders and terms asked for."""
+        if self.buckets is None:
+            return self.postings, self.terms
+        folders = words.select(_folder(self.buckets).alias("bucket")).distinct().collect()
+        wanted = F.col("bucket").isin([r["bucket"] for r in folders])
+        few = rows_if_at_most(words, MAX_TERMS_IN_FILTER)
+        if few is not None:
+            wanted &= F.col("term").isin([r["term"] for r in few])
+        return self.postings.filter(wanted), self.terms.filter(wanted)
 
     def score(self, query_terms: DataFrame, digits: int = 9) -> DataFrame:
         """``(query_id, key, score)`` for a table of query terms ``(query_id, term, repeats)``."""
-        small = has_at_most(query_terms, MAX_BROADCAST_TERMS)
+        small = is_small(query_terms, MAX_BROADCAST_TERMS)
         corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
         words = query_terms.select("term").distinct()
+        postings, terms = self._read_for(words)
         # Every term of the index has one row here, so this join has no hot key.
-        known = self.terms.join(F.broadcast(words) if small else words, "term", "left_semi")
+        known = terms.select("term", "df").join(F.broadcast(words) if small else words, "term", "left_semi")
         weights = (
             query_terms.join(F.broadcast(known) if small else known, "term")
             .withColumn("_corpus", corpus)
@@ -175,10 +196,10 @@ class LexicalIndex:
             )
         )
         if small:
-            hits = self.postings.join(F.broadcast(weights), "term")
+            hits = postings.join(F.broadcast(weights), "term")
         else:
             salts = F.explode(F.array(*[F.lit(i) for i in range(TERM_SALTS)]))
-            hits = self.postings.withColumn(
+            hits = postings.withColumn(
                 "_salt", F.pmod(F.xxhash64(self.key), F.lit(TERM_SALTS)).cast("int")
             ).join(weights.withColumn("_salt", salts), ["term", "_salt"])
         part = F.col("weight") * tf_weight(F.col("tf"), F.col("length"), F.col("_corpus.mean_length"))

@@ -117,14 +117,14 @@ def pictured(raw: DataFrame, models: OfflineModels) -> DataFrame:
 def enrich_offline(raw: DataFrame, models: OfflineModels, key: str = "name") -> DataFrame:
     """Enriched records, plus ``id`` to order rows that share a key.
 
-    The downloads and the descriptions are written to shared storage once each: the token budgets
-    need a pass over them before the next model can be configured.
+    The budget of the describer is measured on the raw names, so pictures go from download to
+    description within one task and are never stored. The descriptions are: the budgets of the
+    classifier need a pass over them, and no product should be described twice.
     """
     carried = [c for c in ("id", key) if c in raw.columns and c != "name"]
     rows = raw.select("name", "img", "price", "rating", *dict.fromkeys(carried))
-    rows = materialise(pictured(rows, models), "pictures")
     budget = budgets_of(rows, ["description"])["description"]
-    prompted = rows.withColumn("description_prompt", DESCRIPTION_PROMPT.text())
+    prompted = pictured(rows, models).withColumn("description_prompt", DESCRIPTION_PROMPT.text())
     described = materialise(
         describe(prompted, models.make_describer(budget), models.batch_size), "descriptions"
     )

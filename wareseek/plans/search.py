@@ -20,7 +20,7 @@ from wareseek.operators.ranking import (
 )
 from wareseek.operators.vector import nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
-from wareseek.storage import has_at_most
+from wareseek.storage import is_small
 
 EMBEDDING_COLUMNS = ("name", "description")
 SEARCH_TYPES = frozenset({"vector", "lexical"})
@@ -151,7 +151,7 @@ def batch_lexical_search(
     else:
         scores = index.score(terms).join(eligible.select("_id"), "_id", "left_semi")
     best = top_n_per_query(scores, n)
-    if has_at_most(queries, MAX_BROADCAST_HITS // n):
+    if is_small(queries.select("query_id"), MAX_BROADCAST_HITS // n):
         best = F.broadcast(best)
     return catalog.select("_id", "img", "name").join(best, "_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wareseek.operators.ranking import keep_last
 from wareseek.schemas import ENRICHED_CATALOG, MODEL_BATCH_SIZE
-from wareseek.storage import has_at_most, materialise
+from wareseek.storage import is_small, materialise
 
 _BUCKET = "_bucket"
 # An update this small is broadcast to the stored rows, so that those are not shuffled at all.
@@ -130,7 +130,7 @@ class CatalogTable:
         touched = [r[0] for r in staged.select(_BUCKET).distinct().collect()]
         stored = self._with_buckets().filter(F.col(_BUCKET).isin(touched))
         merged = merge_updates(
-            stored, staged, self.key, broadcast=has_at_most(staged, MAX_BROADCAST_UPDATES)
+            stored, staged, self.key, broadcast=is_small(staged, MAX_BROADCAST_UPDATES)
         )
         # A dynamic overwrite stages the new buckets and swaps them in when the job commits, so the
         # old ones can be read, and re-read after a lost executor, until then. Applying the same

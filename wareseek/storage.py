@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -59,5 +60,11 @@ def rows_if_at_most(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` may be broadcast: measured in rows and in bytes of content.
+
+    Reads no more than ``max_rows + 1`` rows.
+    """
+    width = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), width.alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
