@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wareseek.operators.filters import Conditions
 from wareseek.schemas import CATEGORIES, COLORS, SEASONS
-from wareseek.storage import spread
+from wareseek.sources.table import write_search_layout
+from wareseek.storage import scratch_path, spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -86,9 +87,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products with vectors, as the search queries see them."""
-    return with_vectors(products(spark, sf_dir), spark, sf_dir)
+    """Products with vectors, stored once per session as searches expect to find them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = scratch_path(spark, "catalog")
+        write_search_layout(with_vectors(products(spark, sf_dir), spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:

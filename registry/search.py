@@ -300,15 +300,14 @@ def query_table(spark, sf):
     )
 
 
-@query(
-    "batch_hybrid_search",
-    f"""WITH {CATALOG_SQL}, {_QUERIES},
+def batch_sql(queries: str, near_where: str, text_where: str, n: str) -> str:
+    return f"""WITH {CATALOG_SQL}, {queries},
     near AS (
       SELECT * FROM (
-        SELECT query_id, name, img, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _id) - 1 AS rank
-        FROM (SELECT query_id, _id, name, img, {score_sql('description_embedding', 'vector')} AS score
-              FROM catalog CROSS JOIN queries WHERE {WHERE} AND description_embedding IS NOT NULL))
-      WHERE rank < {N} AND score >= {THRESHOLD}
+        SELECT query_id, n, name, img, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _id) - 1 AS rank
+        FROM (SELECT query_id, {n} AS n, _id, name, img, {score_sql('description_embedding', 'vector')} AS score
+              FROM catalog CROSS JOIN queries WHERE {near_where} AND description_embedding IS NOT NULL))
+      WHERE rank < n AND score >= {THRESHOLD}
     ),
     doc_tokens AS (SELECT _id, {tokens_sql('name')} AS toks FROM products),
     doc_terms AS (
@@ -325,25 +324,65 @@ def query_table(spark, sf):
       FROM doc_terms JOIN words USING (term) JOIN freq USING (term) CROSS JOIN corpus GROUP BY query_id, _id),
     hits AS (
       SELECT * FROM (
-        SELECT query_id, name, img, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _id) - 1 AS rank
-        FROM relevance JOIN products USING (_id) WHERE {WHERE})
-      WHERE rank < {N}),
+        SELECT query_id, {n} AS n, name, img, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, _id) - 1 AS rank
+        FROM relevance JOIN products USING (_id) JOIN queries USING (query_id) WHERE {text_where})
+      WHERE rank < n),
     fused AS (
-      SELECT query_id, name, arg_min(img, source * 1000000000 + rank) AS img,
+      SELECT query_id, name, arg_min(img, source * 1000000000 + rank) AS img, any_value(n) AS n,
              round(coalesce(max(fts_score), 0) + coalesce(max(vs_score), 0), 12) AS score
       FROM (
-        SELECT query_id, name, img, 0 AS source, rank, 1.0e0 / (rank + 2) AS vs_score, NULL::DOUBLE AS fts_score FROM near
+        SELECT query_id, n, name, img, 0 AS source, rank, 1.0e0 / (rank + 2) AS vs_score, NULL::DOUBLE AS fts_score FROM near
         UNION ALL
-        SELECT query_id, name, img, 1 AS source, rank, NULL::DOUBLE, 1.0e0 / (rank + 11) FROM hits)
+        SELECT query_id, n, name, img, 1 AS source, rank, NULL::DOUBLE, 1.0e0 / (rank + 11) FROM hits)
       GROUP BY query_id, name),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) - 1 AS rank FROM fused)
-    SELECT query_id, CAST(rank AS BIGINT) AS rank, name, img, score FROM placed WHERE rank < {N}""",
-)
+    SELECT query_id, CAST(rank AS BIGINT) AS rank, name, img, score FROM placed WHERE rank < n"""
+
+
+@query("batch_hybrid_search", batch_sql(_QUERIES, WHERE, WHERE, str(N)))
 def batch_hybrid(spark, sf):
     hits = search.batch_hybrid_search(catalog(spark, sf), query_table(spark, sf), REQUEST)
     return hits.select("query_id", "rank", "name", "img", "score")
 
 
+# The same queries, each with conditions and a number of results of its own.
+_REQUESTS = """base AS (
+  SELECT qid AS query_id, text, embedding AS vector
+  FROM (SELECT min(p_partkey) AS qid, p_name AS text FROM part GROUP BY p_name)
+  LEFT JOIN embeddings ON vec_id = qid % (SELECT count(*) FROM embeddings)
+),
+queries AS (
+  SELECT *, CAST(query_id % 16 + 5 AS INTEGER) AS want, 900.0e0 AS min_price, query_id % 80 + 920.0e0 AS max_price,
+         query_id % 5 / 2.0e0 AS min_rating, ['Tops', 'Dresses', 'Footwear'] AS categories,
+         CASE WHEN query_id % 4 = 0 THEN ['Red'] ELSE ['Red', 'Blue'] END AS colors,
+         CASE WHEN query_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['Summer', 'Winter'] END AS seasons FROM base
+)"""
+_OWN = "price BETWEEN min_price AND max_price AND rating >= min_rating"
+_STRICT = f"{_OWN} AND list_contains(categories, category) AND list_contains(colors, color) AND list_contains(seasons, season)"
+_LENIENT = (
+    f"{_OWN} AND list_contains(categories, category) AND list_contains(colors, color) "
+    "AND (len(seasons) = 0 OR list_contains(seasons, season))"
+)
+
+
+@query("batch_requests", batch_sql(_REQUESTS, _STRICT, _LENIENT, "want"))
+def _(spark, sf):
+    key = F.col("query_id")
+    labels = lambda *values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    requests = query_table(spark, sf).select(
+        "*",
+        (key % 16 + 5).cast("int").alias("n"),
+        F.lit(900.0).alias("min_price"),
+        (key % 80 + F.lit(920.0)).alias("max_price"),
+        (key % 5 / F.lit(2.0)).alias("min_rating"),
+        labels("Tops", "Dresses", "Footwear").alias("categories"),
+        F.when(key % 4 == 0, labels("Red")).otherwise(labels("Red", "Blue")).alias("colors"),
+        F.when(key % 3 == 0, labels()).otherwise(labels("Summer", "Winter")).alias("seasons"),
+    )
+    hits = search.batch_hybrid_search(catalog(spark, sf), requests, REQUEST)
+    return hits.select("query_id", "rank", "name", "img", "score")
+
+
 # --- Complete searches -------------------------------------------------------------------------
 
 _IMAGE = "trim(string_split(img, ';')[-1])"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wareseek.functions.text import split_tokens
 from wareseek.operators import lexical, vector
-from wareseek.operators.filters import Conditions, drop_incomplete, facet_optional, facet_required, nan_to_null, rating_at_least
+from wareseek.operators.filters import FILTER_COLUMNS, Conditions, drop_incomplete, facet_optional, facet_required, nan_to_null, rating_at_least
 from wareseek.operators.lexical import LexicalIndex, query_terms, score_names
 from wareseek.operators.ranking import keep_first, keep_last, rank_score, top_n_per_query
 from wareseek.operators.vector import CellIndex, nearest, nearest_per_query, vector_search
@@ -84,7 +84,7 @@ def test_relevance_matches_brute_force(spark, catalog, tmp_path, text):
 
 
 def test_stored_index_gives_the_same(spark, catalog, tmp_path):
-    index = LexicalIndex.of(catalog).save(str(tmp_path / "index"))
+    index = LexicalIndex.of(catalog, keep=FILTER_COLUMNS).save(str(tmp_path / "index"))
     want = brute_bm25(catalog.collect(), "blue shoe")
     assert as_scores(index.search("blue shoe")) == pytest.approx(want)
     queries = spark.createDataFrame([("a", "blue shoe"), ("b", "red")], "query_id string, text string")

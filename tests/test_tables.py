@@ -10,7 +10,7 @@ from wareseek.schemas import RAW_CATALOG
 from wareseek.sources import table as table_module
 from wareseek.sources.assets import fetch_assets, has_asset, join_assets, read_stored_assets
 from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
-from wareseek.sources.table import CatalogTable, DuplicateKeyError, duplicated_keys, merge_updates, write_batches
+from wareseek.sources.table import CatalogTable, DuplicateKeyError, duplicated_keys, merge_updates, write_batches, write_search_layout
 from wareseek.storage import is_small, materialise, rows_if_at_most
 from wareseek.streaming.updates import start_updates
 from pyspark.sql import types as T
@@ -267,6 +267,16 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert first == ["a", "b", "c"] == sorted(r["_id"] for r in store.read().collect())
 
 
+@pytest.mark.parametrize("folders", [(), ("category",)])
+def test_search_layout(spark, tmp_path, folders):
+    from test_search import make_catalog
+
+    catalog = make_catalog(spark)
+    write_search_layout(catalog, str(tmp_path / "c"), folders)
+    stored = spark.read.parquet(str(tmp_path / "c")).select(*catalog.columns)
+    assert rows_of(stored.drop("description_embedding")) == rows_of(catalog.drop("description_embedding"))
+
+
 def test_storage_helpers(spark):
     assert rows_if_at_most(spark.range(3), 2) is None
     assert len(rows_if_at_most(spark.range(3), 3)) == 3

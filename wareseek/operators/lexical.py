@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -21,21 +22,25 @@ TERM_SALTS = 32
 MAX_TERMS_IN_FILTER = 1_000
 
 
-def build_postings(catalog: DataFrame, text: str = "name", key: str = "_id") -> DataFrame:
-    """``(key, term, tf, length)``: one row per distinct term of each document.
+def build_postings(
+    catalog: DataFrame, text: str = "name", key: str = "_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(key, term, tf, length, *keep)``: one row per distinct term of each document.
 
     Terms are counted inside the row (sort, then run lengths), so building needs no shuffle.
+    Columns in ``keep`` go along, so that hits can be filtered without a join.
     """
     return (
         catalog.filter(has_token(F.col(text)))
-        .select(key, F.sort_array(tokens(F.col(text))).alias("_sorted"))
+        .select(key, *keep, F.sort_array(tokens(F.col(text))).alias("_sorted"))
         .withColumn("_starts", run_starts(F.col("_sorted")))
         .select(
             key,
+            *keep,
             F.size("_sorted").alias("length"),
             F.explode(term_frequencies(F.col("_sorted"), F.col("_starts"))).alias("_posting"),
         )
-        .select(key, "_posting.term", "_posting.tf", "length")
+        .select(key, "_posting.term", "_posting.tf", "length", *keep)
     )
 
 
@@ -129,8 +134,10 @@ class LexicalIndex:
     buckets: int | None = None
 
     @classmethod
-    def of(cls, catalog: DataFrame, text: str = "name", key: str = "_id") -> LexicalIndex:
-        postings = build_postings(catalog, text, key)
+    def of(
+        cls, catalog: DataFrame, text: str = "name", key: str = "_id", keep: Sequence[str] = ()
+    ) -> LexicalIndex:
+        postings = build_postings(catalog, text, key, keep)
         return cls(postings, term_stats(postings), corpus_stats(catalog, text), key)
 
     @classmethod
@@ -178,8 +185,14 @@ class LexicalIndex:
             wanted &= F.col("term").isin([r["term"] for r in few])
         return self.postings.filter(wanted), self.terms.filter(wanted)
 
-    def score(self, query_terms: DataFrame, digits: int = 9) -> DataFrame:
-        """``(query_id, key, score)`` for a table of query terms ``(query_id, term, repeats)``."""
+    def score(
+        self, query_terms: DataFrame, digits: int = 9, where: Column | None = None
+    ) -> DataFrame:
+        """``(query_id, key, score)`` for a table of query terms ``(query_id, term, repeats)``.
+
+        ``where`` drops hits before they are shuffled. It may use the columns kept with the
+        postings and any further columns of ``query_terms``.
+        """
         small = is_small(query_terms, MAX_BROADCAST_TERMS)
         corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
         words = query_terms.select("term").distinct()
@@ -190,8 +203,7 @@ class LexicalIndex:
             query_terms.join(F.broadcast(known) if small else known, "term")
             .withColumn("_corpus", corpus)
             .select(
-                "query_id",
-                "term",
+                *[c for c in query_terms.columns if c != "repeats"],
                 (F.col("repeats") * idf(F.col("_corpus.docs"), F.col("df"))).alias("weight"),
             )
         )
@@ -202,6 +214,8 @@ class LexicalIndex:
             hits = postings.withColumn(
                 "_salt", F.pmod(F.xxhash64(self.key), F.lit(TERM_SALTS)).cast("int")
             ).join(weights.withColumn("_salt", salts), ["term", "_salt"])
+        if where is not None:
+            hits = hits.filter(where)
         part = F.col("weight") * tf_weight(F.col("tf"), F.col("length"), F.col("_corpus.mean_length"))
         return (
             hits.withColumn("_corpus", corpus)
@@ -210,10 +224,10 @@ class LexicalIndex:
         )
 
 
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
-    """``(query_id, term, repeats)`` of a table of query texts."""
+def query_terms(queries: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """``(query_id, term, repeats, *keep)`` of a table of query texts."""
     return (
-        queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"))
-        .groupBy("query_id", "term")
+        queries.select("query_id", *keep, F.explode(tokens(F.col(text))).alias("term"))
+        .groupBy("query_id", "term", *keep)
         .agg(F.count(F.lit(1)).alias("repeats"))
     )

@@ -10,9 +10,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from wareseek.functions.vectors import unit_query, unit_vector, usable_matrix, vector_score
+from wareseek.operators.filters import FACET_LISTS, FILTER_COLUMNS, REQUEST_COLUMNS
 from wareseek.operators.ranking import top_n, top_n_per_query
 from wareseek.schemas import SCORE_THRESHOLD
 from wareseek.storage import rows_if_at_most
@@ -73,32 +74,44 @@ def nearest_per_query(
 ) -> DataFrame:
     """``nearest`` for a table ``(query_id, vector)``: ``(query_id, tie, img, name, score, rank)``.
 
-    Each pass scores the catalog against a size-checked slice of the queries as one matrix product
+    ``where`` applies to all queries. A table with the columns of ``REQUEST_COLUMNS`` states
+    conditions per query as well, in the strict form. Each pass scores the catalog against a size-checked slice of the queries as one matrix product
     per batch and keeps only each task's best ``n`` per query, so what is shuffled does not grow
     with the catalog's rows. Query tables beyond one slice are scored in several passes.
     """
-    rows = (catalog if where is None else catalog.filter(where)).select(tie, "img", "name", vector)
-    usable = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
+    own = REQUEST_COLUMNS if set(REQUEST_COLUMNS) <= set(queries.columns) else ()
+    rows = catalog if where is None else catalog.filter(where)
+    rows = rows.select(tie, "img", "name", vector, *(FILTER_COLUMNS if own else ()))
+    usable = queries.select("query_id", "vector", *own).filter(F.col("vector").isNotNull())
     id_type = queries.schema["query_id"].dataType
+    unscored = rows.drop(vector, *(FILTER_COLUMNS if own else ()))
     passes = [
         rows.mapInArrow(
-            _slice_scorer(ids, matrix, id_type, n, vector, tie, digits),
-            _scored_schema(rows, vector, id_type),
+            _slice_scorer(slice_, matrix, id_type, n, vector, tie, digits),
+            T.StructType(
+                [
+                    T.StructField("query_id", id_type),
+                    *unscored.schema,
+                    T.StructField("score", T.DoubleType()),
+                ]
+            ),
         )
-        for ids, matrix in _query_slices(usable)
+        for slice_, matrix in _query_slices(usable)
     ]
     if not passes:
         return (
-            rows.drop(vector)
-            .limit(0)
+            unscored.limit(0)
             .select(F.lit(None).cast(id_type).alias("query_id"), "*", F.lit(0.0).alias("score"))
             .withColumn("rank", F.lit(0).cast("long"))
         )
     return top_n_per_query(reduce(DataFrame.unionByName, passes), n, tie=tie)
 
 
-def _query_slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Cut a query table into slices of checked size, halving by hash until each one fits."""
+def _query_slices(queries: DataFrame) -> Iterator[tuple[list[Row], np.ndarray]]:
+    """Cut a query table into slices of checked size, halving by hash until each one fits.
+
+    Yields the rows of a slice and the matrix of their unit vectors.
+    """
     hashed = F.xxhash64("query_id")
     pending = [(1, 0)]
     while pending:
@@ -108,37 +121,61 @@ def _query_slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         if rows is None:
             pending += [(2 * parts, part), (2 * parts, part + parts)]
             continue
-        pairs = [(r["query_id"], np.asarray(r["vector"], dtype=np.float64)) for r in rows]
-        pairs = [(q, v) for q, v in pairs if np.isfinite(v).all() and np.linalg.norm(v) > 0]
+        pairs = [(r, np.asarray(r["vector"], dtype=np.float64)) for r in rows]
+        pairs = [(r, v) for r, v in pairs if np.isfinite(v).all() and np.linalg.norm(v) > 0]
         if pairs:
-            yield [q for q, _ in pairs], np.stack([unit_query(v) for _, v in pairs])
+            yield [r for r, _ in pairs], np.stack([unit_query(v) for _, v in pairs])
 
 
 _ARROW_ID_TYPES = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
 
 
-def _scored_schema(rows: DataFrame, vector: str, id_type: T.DataType) -> T.StructType:
-    kept = [f for f in rows.schema if f.name != vector]
-    return T.StructType(
-        [T.StructField("query_id", id_type), *kept, T.StructField("score", T.DoubleType())]
+def _condition_mask(requests: list[Row]) -> Callable[[pa.Table], np.ndarray]:
+    """Which rows of a block satisfy which request: a rows x requests matrix."""
+    low, high, floor = (
+        np.array([r[c] for r in requests], dtype=np.float64) for c in REQUEST_COLUMNS[:3]
     )
+    vocabularies = {}
+    for facet, column in FACET_LISTS.items():
+        lists = [set(r[column] or ()) for r in requests]
+        labels = sorted(set().union(*lists))
+        # The last row stands for every other label, and for none.
+        allowed = [[label in wanted for wanted in lists] for label in labels]
+        vocabularies[facet] = labels, np.array([*allowed, [False] * len(lists)])
+
+    def mask(block: pa.Table) -> np.ndarray:
+        price, rating = (
+            block[c].cast(pa.float64()).to_numpy()[:, None] for c in ("price", "rating")
+        )
+        holds = (price >= low) & (price <= high) & (rating >= floor)
+        for facet, (labels, allowed) in vocabularies.items():
+            at = pc.index_in(block[facet], value_set=pa.array(labels, pa.string()))
+            holds &= allowed[pc.fill_null(at, len(labels)).to_numpy()]
+        return holds
+
+    return mask
 
 
 def _slice_scorer(
-    ids: list, matrix: np.ndarray, id_type: T.DataType, n: int, vector: str, tie: str, digits: int
+    requests: list[Row],
+    matrix: np.ndarray,
+    id_type: T.DataType,
+    n: int,
+    vector: str,
+    tie: str,
+    digits: int,
 ) -> Callable:
     """Task body: score every batch against the slice, remember the best ``n`` per query."""
     dims = matrix.shape[1]
-    id_values = pa.array(ids, _ARROW_ID_TYPES[id_type.typeName()])
+    id_values = pa.array([r["query_id"] for r in requests], _ARROW_ID_TYPES[id_type.typeName()])
+    mask = _condition_mask(requests) if REQUEST_COLUMNS[0] in requests[0] else None
 
     def candidates(scores: np.ndarray, ties: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row, query) positions that may be among the best ``n``, ties settled by ``tie``."""
         count = len(scores)
-        if count <= n:
-            rows, queries = np.indices(scores.shape)
-            return rows.ravel(), queries.ravel()
-        floor = np.partition(scores, count - n, axis=0)[count - n]
-        chosen = scores >= floor
+        chosen = scores > -np.inf
+        if count > n:
+            chosen &= scores >= np.partition(scores, count - n, axis=0)[count - n]
         crowded = np.flatnonzero(chosen.sum(axis=0) > n)
         if len(crowded):
             place = np.empty(count, dtype=np.int64)
@@ -170,6 +207,9 @@ def _slice_scorer(
                 kept = pa.Table.from_batches([block]).drop_columns([vector])
                 kept = kept.filter(pa.array(usable)).combine_chunks()
                 scores = np.round((1 + units @ matrix.T) / 2, digits)
+                if mask is not None:
+                    scores[~mask(kept)] = -np.inf
+                    kept = kept.drop_columns(list(FILTER_COLUMNS))
                 rows, queries = candidates(scores, kept[tie].combine_chunks())
                 found = kept.take(pa.array(rows))
                 found = found.append_column("_query", pa.array(queries.astype(np.int64)))

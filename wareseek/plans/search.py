@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from wareseek.functions.text import WHITESPACE, primary_image
-from wareseek.operators.filters import Conditions
-from wareseek.operators.lexical import LexicalIndex, build_postings, query_terms, score_names
+from wareseek.operators.filters import FILTER_COLUMNS, REQUEST_COLUMNS, Conditions, request_matches
+from wareseek.operators.lexical import LexicalIndex, query_terms, score_names
 from wareseek.operators.ranking import (
     fuse,
     rank_score,
@@ -20,7 +20,7 @@ from wareseek.operators.ranking import (
 )
 from wareseek.operators.vector import nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
-from wareseek.storage import is_small
+from wareseek.storage import is_small, materialise
 
 EMBEDDING_COLUMNS = ("name", "description")
 SEARCH_TYPES = frozenset({"vector", "lexical"})
@@ -138,18 +138,21 @@ def format_results(hits: DataFrame, score: str = "score", tie: str = "_id") -> D
 def batch_lexical_search(
     catalog: DataFrame,
     queries: DataFrame,
-    conditions: Conditions,
+    conditions: Conditions | None,
     n: int = DEFAULT_RESULTS,
     index: LexicalIndex | None = None,
 ) -> DataFrame:
-    """``(query_id, rank, _id, img, name, score)`` for a table ``(query_id, text)``."""
-    eligible = catalog.filter(conditions.lenient())
-    terms = query_terms(queries)
-    if index is None:
-        whole = LexicalIndex.of(catalog)
-        scores = LexicalIndex(build_postings(eligible), whole.terms, whole.corpus).score(terms)
+    """``(query_id, rank, _id, img, name, score)`` for a table ``(query_id, text)``.
+
+    ``conditions`` are shared by all queries; None means that the table states them per query, in
+    the columns of ``REQUEST_COLUMNS``. A stored index must keep ``FILTER_COLUMNS``.
+    """
+    index = index or LexicalIndex.of(catalog, keep=FILTER_COLUMNS)
+    if conditions is None:
+        terms = query_terms(queries, keep=REQUEST_COLUMNS)
+        scores = index.score(terms, where=request_matches())
     else:
-        scores = index.score(terms).join(eligible.select("_id"), "_id", "left_semi")
+        scores = index.score(query_terms(queries), where=conditions.lenient())
     best = top_n_per_query(scores, n)
     if is_small(queries.select("query_id"), MAX_BROADCAST_HITS // n):
         best = F.broadcast(best)
@@ -162,12 +165,27 @@ def batch_hybrid_search(
     request: SearchRequest,
     index: LexicalIndex | None = None,
 ) -> DataFrame:
-    """Hybrid search for a table ``(query_id, text, vector)``; ``request`` holds what they share."""
+    """Hybrid search for a table ``(query_id, text, vector)``; ``request`` holds what they share.
+
+    Queries may state their own conditions (the columns of ``REQUEST_COLUMNS``) and their own
+    number of results (``n``).
+    """
+    # Every step below reads the queries; whatever produced them should run once.
+    queries = materialise(queries, "queries")
+    own_conditions = set(REQUEST_COLUMNS) <= set(queries.columns)
+    own_n = "n" in queries.columns
+    n = (queries.agg(F.max("n")).first()[0] or 1) if own_n else request.n
+    shared = None if own_conditions else request.conditions
     near = nearest_per_query(
-        catalog, queries, request.n, request.vector_column, request.conditions.strict()
+        catalog, queries, n, request.vector_column, shared.strict() if shared else None
     )
     near = near.filter(F.col("score") >= request.threshold)
     near = near.withColumn("vs_score", rank_score(request.vector_penalty))
-    text = batch_lexical_search(catalog, queries, request.conditions, request.n, index)
+    text = batch_lexical_search(catalog, queries, shared, n, index)
     text = text.withColumn("fts_score", rank_score(request.text_penalty))
-    return fuse(union_ranked(near.drop("score"), text.drop("score")), request.n, "query_id")
+    ranked = union_ranked(near.drop("score"), text.drop("score"))
+    if not own_n:
+        return fuse(ranked, n, "query_id")
+    wanted = queries.select("query_id", "n")
+    cut = lambda hits: hits.join(wanted, "query_id").filter(F.col("rank") < F.col("n")).drop("n")
+    return cut(fuse(cut(ranked), n, "query_id"))
