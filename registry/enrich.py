@@ -528,7 +528,7 @@ def offline(spark, sf, raw):
         make_classifier=make_classifier,
         embed=hashed,
     )
-    return enrich.enrich_offline(raw, models)
+    return enrich.enrich_offline(raw, models, partitions=spark.sparkContext.defaultParallelism)
 
 
 # Pictures, descriptions, labels and the two embeddings of one delivery, as a CTE chain. The
@@ -620,7 +620,7 @@ complete AS (
     WHERE rating IS NOT NULL AND category IS NOT NULL AND color IS NOT NULL""",
 )
 def _(spark, sf):
-    records = online(raw_products(spark, sf))
+    records = online(raw_products(spark, sf), partitions=spark.sparkContext.defaultParallelism)
     size = lambda c: F.element_at(c, 1).cast("double")
     return records.drop("id").withColumns(
         {"name_size": size("name_embedding"), "text_size": size("description_embedding")}

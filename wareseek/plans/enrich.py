@@ -108,23 +108,39 @@ class OfflineModels:
 
 def pictured(raw: DataFrame, models: OfflineModels) -> DataFrame:
     """Products that have a picture, with its bytes. ``images`` keeps the original list."""
-    rows = nan_to_null(raw).withColumnRenamed("img", "images")
+    rows = raw.withColumnRenamed("img", "images")
     rows = models.add_assets(rows.withColumn("url", primary_image(F.col("images"))))
     rows = rows.filter(has_asset())
     return rows if models.load_image is None else crop_center_square(rows, models.load_image)
 
 
-def enrich_offline(raw: DataFrame, models: OfflineModels, key: str = "name") -> DataFrame:
+def _input_rows(raw: DataFrame, key: str) -> DataFrame:
+    """The columns an enrichment reads."""
+    carried = [c for c in ("id", key) if c in raw.columns and c != "name"]
+    return nan_to_null(raw.select("name", "img", "price", "rating", *dict.fromkeys(carried)))
+
+
+def _dealt_out(rows: DataFrame, partitions: int | None) -> DataFrame:
+    return rows if partitions is None else rows.repartition(partitions)
+
+
+def enrich_offline(
+    raw: DataFrame, models: OfflineModels, key: str = "name", partitions: int | None = None
+) -> DataFrame:
     """Enriched records, plus ``id`` to order rows that share a key.
 
+    ``partitions`` sets the number of tasks for downloads and descriptions. Raw rows are tiny next
+    to the work they cause, so choose it by the time one task should take; a lost executor costs
+    no more than that.
+
     The budget of the describer is measured on the raw names, so pictures go from download to
     description within one task and are never stored. The descriptions are: the budgets of the
     classifier need a pass over them, and no product should be described twice.
     """
-    carried = [c for c in ("id", key) if c in raw.columns and c != "name"]
-    rows = raw.select("name", "img", "price", "rating", *dict.fromkeys(carried))
+    rows = _input_rows(raw, key)
     budget = budgets_of(rows, ["description"])["description"]
-    prompted = pictured(rows, models).withColumn("description_prompt", DESCRIPTION_PROMPT.text())
+    rows = pictured(_dealt_out(rows, partitions), models)
+    prompted = rows.withColumn("description_prompt", DESCRIPTION_PROMPT.text())
     described = materialise(
         describe(prompted, models.make_describer(budget), models.batch_size), "descriptions"
     )
@@ -160,15 +176,16 @@ def enrich_online(
     attempts: int = MAX_ATTEMPTS,
     threads: int = 16,
     batch_size: int = MODEL_BATCH_SIZE,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Enriched records through remote calls, plus ``id`` to order rows that share a key.
 
     All calls of a row happen in one batch function and the rows of a batch overlap. A call that
     fails ``attempts`` times gives NULL. Without a description nothing that depends on it is asked.
-    ``require_complete`` drops every row with a missing value.
+    ``require_complete`` drops every row with a missing value. At most ``partitions`` x ``threads``
+    calls are in flight.
     """
-    carried = [c for c in ("id", key) if c in raw.columns and c != "name"]
-    rows = nan_to_null(raw.select("name", "img", "price", "rating", *dict.fromkeys(carried)))
+    rows = _dealt_out(_input_rows(raw, key), partitions)
     rows = rows.withColumn("url", primary_image(F.col("img")))
     outputs = T.StructType(
         [
@@ -180,7 +197,7 @@ def enrich_online(
     )
 
     def make_model() -> Model:
-        client = make_client()
+        client, pool = make_client(), ThreadPoolExecutor(threads)
         ask = {
             name: with_retries(getattr(client, name), attempts)
             for name in ("describe", "classify", "embed")
@@ -199,8 +216,7 @@ def enrich_online(
             return made
 
         def model(batch: pd.DataFrame) -> Mapping[str, Sequence[Any]]:
-            with ThreadPoolExecutor(threads) as pool:
-                made = list(pool.map(one, batch["name"], batch["url"]))
+            made = list(pool.map(one, batch["name"], batch["url"]))
             return {name: [m[name] for m in made] for name in outputs.fieldNames()}
 
         return model
