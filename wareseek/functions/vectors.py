@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from hashlib import md5
 
 import numpy as np
@@ -30,6 +30,20 @@ def usable_matrix(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]
     return rows[directed] / norms[directed, None], usable
 
 
+# Rows that a kernel widens to double precision at a time: 16 MB at 1,024 dimensions.
+BLOCK_ROWS = 2_048
+
+
+def _by_block(kernel: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """Run a kernel over slices of a batch, so that its memory does not depend on batch size."""
+
+    def run(values: pa.Array) -> pa.Array:
+        starts = range(0, max(len(values), 1), BLOCK_ROWS)
+        return pa.concat_arrays([kernel(values.slice(at, BLOCK_ROWS)) for at in starts])
+
+    return run
+
+
 def unit_query(query: Sequence[float]) -> np.ndarray:
     vector = np.asarray(query, dtype=np.float64)
     norm = np.linalg.norm(vector)
@@ -42,13 +56,16 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity to one query vector; NULL where the stored vector is not usable."""
     unit = unit_query(query)
 
-    @F.arrow_udf("double")
-    def score(vectors: pa.Array) -> pa.Array:
+    def kernel(vectors: pa.Array) -> pa.Array:
         rows, usable = usable_matrix(vectors, len(unit))
         scores = np.full(len(usable), np.nan)
         scores[usable] = rows @ unit
         return pa.array(scores, mask=~usable)
 
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        return _by_block(kernel)(vectors)
+
     return score(vector)
 
 
@@ -60,10 +77,12 @@ def vector_score(vector: Column, query: Sequence[float], digits: int = 9) -> Col
 def unit_vector(vector: Column, dims: int) -> Column:
     """The vector scaled to length one, NULL where it is not usable."""
 
+    def kernel(vectors: pa.Array) -> pa.Array:
+        return _float_lists(*usable_matrix(vectors, dims))
+
     @F.arrow_udf("array<float>")
     def scale(vectors: pa.Array) -> pa.Array:
-        rows, usable = usable_matrix(vectors, dims)
-        return _float_lists(rows, usable)
+        return _by_block(kernel)(vectors)
 
     return scale(vector)
 
@@ -72,12 +91,11 @@ def hashed_embedding(text: Column, dims: int) -> Column:
     """Bag of words embedding: count tokens per hash bucket, then scale to length one.
 
     The bucket of a token is the number in the first eight hex digits of its MD5, modulo ``dims``.
-    Text is tokenised in the JVM. A batch then hashes each distinct token once and counts with one
-    ``bincount``. Text without tokens has no direction and gives NULL.
+    Text is tokenised in the JVM. A block of rows then hashes each distinct token once and counts
+    with one ``bincount``. Text without tokens has no direction and gives NULL.
     """
 
-    @F.arrow_udf("array<float>")
-    def embed(lists: pa.Array) -> pa.Array:
+    def kernel(lists: pa.Array) -> pa.Array:
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
         bucket = np.array(
@@ -92,6 +110,10 @@ def hashed_embedding(text: Column, dims: int) -> Column:
         usable = norms > 0
         return _float_lists(counts[usable] / norms[usable, None], usable)
 
+    @F.arrow_udf("array<float>")
+    def embed(lists: pa.Array) -> pa.Array:
+        return _by_block(kernel)(lists)
+
     return embed(tokens(text))
 
 

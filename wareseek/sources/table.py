@@ -97,6 +97,11 @@ class CatalogTable:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _touched_by(self, staged: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that incoming keys fall into."""
+        touched = [r[0] for r in staged.select(_BUCKET).distinct().collect()]
+        return self._with_buckets().filter(F.col(_BUCKET).isin(touched))
+
     def read(self) -> DataFrame:
         return self._with_buckets().drop(_BUCKET)
 
@@ -119,7 +124,7 @@ class CatalogTable:
     def insert(self, df: DataFrame) -> None:
         """Append new rows; a key that is repeated, missing or already stored is an error."""
         staged = materialise(self._bucketed(self._conform(df)), "insert")
-        stored = self._with_buckets().select(self.key)
+        stored = self._touched_by(staged).select(self.key)
         clashes = stored.join(staged.select(self.key), self.key, "left_semi")
         taken = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
         taken += clashes.limit(5).collect()
@@ -140,10 +145,11 @@ class CatalogTable:
         repeated = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
         if repeated:
             raise DuplicateKeyError(f"keys missing or repeated: {[r[0] for r in repeated]}")
-        touched = [r[0] for r in staged.select(_BUCKET).distinct().collect()]
-        stored = self._with_buckets().filter(F.col(_BUCKET).isin(touched))
         merged = merge_updates(
-            stored, staged, self.key, broadcast=is_small(staged, MAX_BROADCAST_UPDATES)
+            self._touched_by(staged),
+            staged,
+            self.key,
+            broadcast=is_small(staged, MAX_BROADCAST_UPDATES),
         )
         # A dynamic overwrite stages the new buckets and swaps them in when the job commits, so the
         # old ones can be read, and re-read after a lost executor, until then. Applying the same
