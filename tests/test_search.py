@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareseek.functions.text import split_tokens
-from wareseek.operators import lexical, vector
-from wareseek.operators.filters import FILTER_COLUMNS, Conditions, drop_incomplete, facet_optional, facet_required, nan_to_null, rating_at_least
+from wareseek.operators import batch, lexical, vector
+from wareseek.operators.filters import Conditions, drop_incomplete, facet_optional, facet_required, nan_to_null, rating_at_least
 from wareseek.operators.lexical import LexicalIndex, query_terms, score_names
 from wareseek.operators.ranking import keep_first, keep_last, rank_score, top_n_per_query
 from wareseek.operators.vector import CellIndex, nearest, nearest_per_query, vector_search
@@ -84,7 +84,7 @@ def test_relevance_matches_brute_force(spark, catalog, tmp_path, text):
 
 
 def test_stored_index_gives_the_same(spark, catalog, tmp_path):
-    index = LexicalIndex.of(catalog, keep=FILTER_COLUMNS).save(str(tmp_path / "index"))
+    index = LexicalIndex.of(catalog).save(str(tmp_path / "index"))
     want = brute_bm25(catalog.collect(), "blue shoe")
     assert as_scores(index.search("blue shoe")) == pytest.approx(want)
     queries = spark.createDataFrame([("a", "blue shoe"), ("b", "red")], "query_id string, text string")
@@ -149,10 +149,61 @@ def test_small_score_blocks_change_nothing(spark, catalog, monkeypatch):
     queries = query_rows(spark)
     read = lambda: sorted(map(tuple, nearest_per_query(catalog, queries, 5).collect()))
     whole = read()
-    monkeypatch.setattr(vector, "SCORE_BLOCK_ROWS", 7)
+    monkeypatch.setattr(batch, "SCORE_BLOCK_ROWS", 7)
     assert read() == whole
 
 
+@pytest.mark.parametrize("per_pass", [1_000, 2])
+def test_text_queries_match_brute_force(spark, catalog, monkeypatch, per_pass):
+    monkeypatch.setattr(lexical, "MAX_QUERIES_PER_PASS", per_pass)
+    texts = ["red hat", "blue shoe", "red red dress", "zzz", "long", "men's hat shoe"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    rows = catalog.collect()
+    want = {}
+    for i, text in enumerate(texts):
+        ordered = sorted((-s, k) for k, s in brute_bm25(rows, text).items())[:12]
+        for place, (score, key) in enumerate(ordered):
+            want[i, place] = (key, -score)
+    everything = Conditions(0, 1000, 0)
+    kept = {r["_id"] for r in catalog.filter(everything.lenient()).collect()}
+    got = {}
+    for r in lexical.best_matches(catalog, queries, LexicalIndex.of(catalog), 12).collect():
+        got[r["query_id"], r["rank"]] = (r["_id"], r["score"])
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [got[k][1] for k in sorted(got)] == pytest.approx([want[k][1] for k in sorted(want)])
+    filtered = batch_lexical_search(catalog, queries, everything, 12).collect()
+    assert filtered and {r["_id"] for r in filtered} <= kept
+
+
+def test_each_request_has_its_own_conditions(spark, catalog):
+    """A table of differing requests gives what single searches give."""
+    query = [0.5, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, 1.0]
+    stated = [
+        Conditions(0, 1000, 0, ["Tops", "Bottoms"], ["Red", "Blue"], ["Summer", "Winter"]),
+        Conditions(20, 60, 1.0, ["Tops"], ["Red"], ["Summer", "Winter"]),
+        Conditions(0, 1000, 3.5, ["Tops", "Bottoms"], [], ["Winter"]),
+        Conditions(0, 1000, 0, ["Dresses"], ["Blue"], []),
+        Conditions(0, 1000, 0, [], [], []),
+    ]
+    rows = [
+        (i, "red hat", query, 3 + i, float(c.min_price), float(c.max_price), float(c.min_rating),
+         list(c.categories), list(c.colors), list(c.seasons))
+        for i, c in enumerate(stated)
+    ]
+    requests = spark.createDataFrame(
+        rows,
+        "query_id long, text string, vector array<float>, n int, min_price double, max_price double, "
+        "min_rating double, categories array<string>, colors array<string>, seasons array<string>",
+    )
+    shared = SearchRequest("", Conditions(), 1, threshold=0.5)
+    got = {}
+    for r in batch_hybrid_search(catalog, requests, shared).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["name"], r["img"], r["score"]))
+    for i, conditions in enumerate(stated):
+        single = hybrid_search(catalog, SearchRequest("red hat", conditions, 3 + i, threshold=0.5), query)
+        assert got.get(i, []) == [(r["name"], r["img"], r["score"]) for r in single.orderBy("rank").collect()], i
+
+
 def test_query_without_direction_has_no_hits(spark, catalog):
     queries = spark.createDataFrame([(1, [0.0] * 8), (2, None)], "query_id long, vector array<float>")
     assert nearest_per_query(catalog, queries, 3).count() == 0

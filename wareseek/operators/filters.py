@@ -69,16 +69,6 @@ REQUEST_COLUMNS = ("min_price", "max_price", "min_rating", "categories", "colors
 FACET_LISTS = {"category": "categories", "color": "colors", "season": "seasons"}
 
 
-def request_matches() -> Column:
-    """The lenient form for rows that hold a product's columns next to those of a request."""
-    holds = F.col("price").between(F.col("min_price"), F.col("max_price"))
-    holds &= (F.col("rating") >= F.col("min_rating")) & ~F.isnan("rating")
-    for facet, labels in FACET_LISTS.items():
-        open_ended = F.coalesce(F.size(labels) <= 0, F.lit(True))
-        holds &= open_ended | F.array_contains(labels, F.col(facet))
-    return holds
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Missing numbers get one spelling on ingest."""
     floats = {

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from wareseek.functions.text import has_token, run_starts, split_tokens, term_frequencies, tokens
+from wareseek.operators.batch import BlockScorer, best_per_query, own_conditions, query_slices
+from wareseek.operators.filters import FILTER_COLUMNS
 from wareseek.schemas import BM25_B, BM25_K1
 from wareseek.storage import is_small, rows_if_at_most
 
@@ -20,27 +24,25 @@ MAX_BROADCAST_TERMS = 200_000
 TERM_SALTS = 32
 # Up to this many distinct terms are named in the scan filter of a stored index.
 MAX_TERMS_IN_FILTER = 1_000
+# Queries scored in one pass over the names.
+MAX_QUERIES_PER_PASS = 1_000
 
 
-def build_postings(
-    catalog: DataFrame, text: str = "name", key: str = "_id", keep: Sequence[str] = ()
-) -> DataFrame:
-    """``(key, term, tf, length, *keep)``: one row per distinct term of each document.
+def build_postings(catalog: DataFrame, text: str = "name", key: str = "_id") -> DataFrame:
+    """``(key, term, tf, length)``: one row per distinct term of each document.
 
     Terms are counted inside the row (sort, then run lengths), so building needs no shuffle.
-    Columns in ``keep`` go along, so that hits can be filtered without a join.
     """
     return (
         catalog.filter(has_token(F.col(text)))
-        .select(key, *keep, F.sort_array(tokens(F.col(text))).alias("_sorted"))
+        .select(key, F.sort_array(tokens(F.col(text))).alias("_sorted"))
         .withColumn("_starts", run_starts(F.col("_sorted")))
         .select(
             key,
-            *keep,
             F.size("_sorted").alias("length"),
             F.explode(term_frequencies(F.col("_sorted"), F.col("_starts"))).alias("_posting"),
         )
-        .select(key, "_posting.term", "_posting.tf", "length", *keep)
+        .select(key, "_posting.term", "_posting.tf", "length")
     )
 
 
@@ -134,10 +136,8 @@ class LexicalIndex:
     buckets: int | None = None
 
     @classmethod
-    def of(
-        cls, catalog: DataFrame, text: str = "name", key: str = "_id", keep: Sequence[str] = ()
-    ) -> LexicalIndex:
-        postings = build_postings(catalog, text, key, keep)
+    def of(cls, catalog: DataFrame, text: str = "name", key: str = "_id") -> LexicalIndex:
+        postings = build_postings(catalog, text, key)
         return cls(postings, term_stats(postings), corpus_stats(catalog, text), key)
 
     @classmethod
@@ -185,37 +185,39 @@ class LexicalIndex:
             wanted &= F.col("term").isin([r["term"] for r in few])
         return self.postings.filter(wanted), self.terms.filter(wanted)
 
-    def score(
-        self, query_terms: DataFrame, digits: int = 9, where: Column | None = None
-    ) -> DataFrame:
-        """``(query_id, key, score)`` for a table of query terms ``(query_id, term, repeats)``.
-
-        ``where`` drops hits before they are shuffled. It may use the columns kept with the
-        postings and any further columns of ``query_terms``.
-        """
+    def weights(self, query_terms: DataFrame, terms: DataFrame) -> DataFrame:
+        """Query terms that occur, with their weight: repeats times inverse document frequency."""
+        words = query_terms.select("term").distinct()
         small = is_small(query_terms, MAX_BROADCAST_TERMS)
         corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
-        words = query_terms.select("term").distinct()
-        postings, terms = self._read_for(words)
         # Every term of the index has one row here, so this join has no hot key.
-        known = terms.select("term", "df").join(F.broadcast(words) if small else words, "term", "left_semi")
-        weights = (
+        known = terms.select("term", "df").join(
+            F.broadcast(words) if small else words, "term", "left_semi"
+        )
+        weight = F.col("repeats") * idf(F.col("_corpus.docs"), F.col("df"))
+        return (
             query_terms.join(F.broadcast(known) if small else known, "term")
             .withColumn("_corpus", corpus)
-            .select(
-                *[c for c in query_terms.columns if c != "repeats"],
-                (F.col("repeats") * idf(F.col("_corpus.docs"), F.col("df"))).alias("weight"),
-            )
+            .withColumn("weight", weight)
+            .drop("_corpus", "df", "repeats")
         )
-        if small:
+
+    def score(self, query_terms: DataFrame, digits: int = 9) -> DataFrame:
+        """``(query_id, key, score)`` of every match for a table ``(query_id, term, repeats)``.
+
+        All matches are listed, so this suits few or selective queries; :func:`best_matches` finds
+        the best n of many.
+        """
+        postings, terms = self._read_for(query_terms.select("term").distinct())
+        weights = self.weights(query_terms, terms).select("query_id", "term", "weight")
+        if is_small(query_terms, MAX_BROADCAST_TERMS):
             hits = postings.join(F.broadcast(weights), "term")
         else:
             salts = F.explode(F.array(*[F.lit(i) for i in range(TERM_SALTS)]))
             hits = postings.withColumn(
                 "_salt", F.pmod(F.xxhash64(self.key), F.lit(TERM_SALTS)).cast("int")
             ).join(weights.withColumn("_salt", salts), ["term", "_salt"])
-        if where is not None:
-            hits = hits.filter(where)
+        corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
         part = F.col("weight") * tf_weight(F.col("tf"), F.col("length"), F.col("_corpus.mean_length"))
         return (
             hits.withColumn("_corpus", corpus)
@@ -224,10 +226,74 @@ class LexicalIndex:
         )
 
 
-def query_terms(queries: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """``(query_id, term, repeats, *keep)`` of a table of query texts."""
+def best_matches(
+    catalog: DataFrame,
+    queries: DataFrame,
+    index: LexicalIndex,
+    n: int,
+    where: Column | None = None,
+    text: str = "name",
+    digits: int = 9,
+) -> DataFrame:
+    """Best ``n`` matches for a table ``(query_id, text)``: ``(query_id, key, img, name, score, rank)``.
+
+    ``where`` applies to all queries. A table with the columns of ``REQUEST_COLUMNS`` states
+    conditions per query as well, in the lenient form. Statistics come from ``index``; names are
+    scored where they lie, a slice of queries at a time, so frequent terms do not make the shuffle
+    grow: listing every match of every query would.
+    """
+    own = own_conditions(queries)
+    read = ["_tokens", *(FILTER_COLUMNS if own else ())]
+    rows = catalog if where is None else catalog.filter(where)
+    rows = rows.select(index.key, "img", "name", tokens(F.col(text)).alias("_tokens"), *read[1:])
+    wanted = query_terms(queries)
+    _, terms = index._read_for(wanted.select("term").distinct())
+    grouped = (
+        index.weights(wanted, terms)
+        .groupBy("query_id")
+        .agg(F.collect_list(F.struct("term", "weight")).alias("weights"))
+    )
+    requests = grouped.join(queries.select("query_id", *own), "query_id") if own else grouped
+    mean_length = index.corpus.first()["mean_length"]
+    slices = [
+        (found, _relevance([r["weights"] for r in found], mean_length, digits))
+        for found in query_slices(requests, MAX_QUERIES_PER_PASS)
+    ]
+    id_type = queries.schema["query_id"].dataType
+    return best_per_query(rows, read, slices, id_type, n, index.key, strict=False)
+
+
+def _relevance(queries: list[list[Row]], mean_length: float, digits: int) -> BlockScorer:
+    words = sorted({w["term"] for weights in queries for w in weights})
+    place = {word: i for i, word in enumerate(words)}
+    at = [(place[w["term"]], q, w["weight"]) for q, weights in enumerate(queries) for w in weights]
+    term, query, weight = (np.array(x) for x in zip(*at))
+    count = len(queries)
+
+    def score(block: pa.Table) -> np.ndarray:
+        lists = block["_tokens"].combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        found = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(words)), -1).to_numpy()
+        rows = np.repeat(np.arange(len(lengths)), lengths)[found >= 0]
+        # Only the terms that this block contains take part in the product.
+        present, column = np.unique(found[found >= 0], return_inverse=True)
+        width = len(present)
+        tf = np.bincount(rows * width + column, minlength=len(lengths) * width)
+        tf = tf.reshape(len(lengths), width).astype(np.float64)
+        scale = BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean_length)
+        used = np.isin(term, present)
+        weights = np.zeros((width, count))
+        weights[np.searchsorted(present, term[used]), query[used]] = weight[used]
+        scores = np.divide(tf, tf + scale[:, None]) @ weights
+        return np.where(scores > 0, np.round(scores, digits), -np.inf)
+
+    return score
+
+
+def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+    """``(query_id, term, repeats)`` of a table of query texts."""
     return (
-        queries.select("query_id", *keep, F.explode(tokens(F.col(text))).alias("term"))
-        .groupBy("query_id", "term", *keep)
+        queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"))
+        .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("repeats"))
     )

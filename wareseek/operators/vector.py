@@ -3,25 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wareseek.functions.vectors import unit_query, unit_vector, usable_matrix, vector_score
-from wareseek.operators.filters import FACET_LISTS, FILTER_COLUMNS, REQUEST_COLUMNS
-from wareseek.operators.ranking import top_n, top_n_per_query
+from wareseek.operators.batch import BlockScorer, best_per_query, own_conditions, query_slices
+from wareseek.operators.filters import FILTER_COLUMNS
+from wareseek.operators.ranking import top_n
 from wareseek.schemas import SCORE_THRESHOLD
-from wareseek.storage import rows_if_at_most
 
-# One slice of a query table is held by every Python worker: at most this many vectors (16 MB at
+# One slice of a query table is held by every Python worker: at most this many vectors (8 MB at
 # 1,024 dimensions).
-MAX_QUERIES_PER_PASS = 2_000
-SCORE_BLOCK_ROWS = 4_096
+MAX_QUERIES_PER_PASS = 1_000
 
 
 def nearest(
@@ -75,155 +72,32 @@ def nearest_per_query(
     """``nearest`` for a table ``(query_id, vector)``: ``(query_id, tie, img, name, score, rank)``.
 
     ``where`` applies to all queries. A table with the columns of ``REQUEST_COLUMNS`` states
-    conditions per query as well, in the strict form. Each pass scores the catalog against a size-checked slice of the queries as one matrix product
-    per batch and keeps only each task's best ``n`` per query, so what is shuffled does not grow
-    with the catalog's rows. Query tables beyond one slice are scored in several passes.
+    conditions per query as well, in the strict form. A slice of queries is one matrix, and scoring
+    a block of rows is one matrix product. Query tables beyond one slice take several passes.
     """
-    own = REQUEST_COLUMNS if set(REQUEST_COLUMNS) <= set(queries.columns) else ()
+    own = own_conditions(queries)
+    read = [vector, *(FILTER_COLUMNS if own else ())]
     rows = catalog if where is None else catalog.filter(where)
-    rows = rows.select(tie, "img", "name", vector, *(FILTER_COLUMNS if own else ()))
+    rows = rows.select(tie, "img", "name", *read)
     usable = queries.select("query_id", "vector", *own).filter(F.col("vector").isNotNull())
+    slices = []
+    for found in query_slices(usable, MAX_QUERIES_PER_PASS):
+        directed = [r for r in found if np.isfinite(r["vector"]).all() and np.any(r["vector"])]
+        if directed:
+            units = np.stack([unit_query(r["vector"]) for r in directed])
+            slices.append((directed, _similarity(units, vector, digits)))
     id_type = queries.schema["query_id"].dataType
-    unscored = rows.drop(vector, *(FILTER_COLUMNS if own else ()))
-    passes = [
-        rows.mapInArrow(
-            _slice_scorer(slice_, matrix, id_type, n, vector, tie, digits),
-            T.StructType(
-                [
-                    T.StructField("query_id", id_type),
-                    *unscored.schema,
-                    T.StructField("score", T.DoubleType()),
-                ]
-            ),
-        )
-        for slice_, matrix in _query_slices(usable)
-    ]
-    if not passes:
-        return (
-            unscored.limit(0)
-            .select(F.lit(None).cast(id_type).alias("query_id"), "*", F.lit(0.0).alias("score"))
-            .withColumn("rank", F.lit(0).cast("long"))
-        )
-    return top_n_per_query(reduce(DataFrame.unionByName, passes), n, tie=tie)
-
-
-def _query_slices(queries: DataFrame) -> Iterator[tuple[list[Row], np.ndarray]]:
-    """Cut a query table into slices of checked size, halving by hash until each one fits.
-
-    Yields the rows of a slice and the matrix of their unit vectors.
-    """
-    hashed = F.xxhash64("query_id")
-    pending = [(1, 0)]
-    while pending:
-        parts, part = pending.pop()
-        mine = queries if parts == 1 else queries.filter(F.pmod(hashed, F.lit(parts)) == part)
-        rows = rows_if_at_most(mine, MAX_QUERIES_PER_PASS)
-        if rows is None:
-            pending += [(2 * parts, part), (2 * parts, part + parts)]
-            continue
-        pairs = [(r, np.asarray(r["vector"], dtype=np.float64)) for r in rows]
-        pairs = [(r, v) for r, v in pairs if np.isfinite(v).all() and np.linalg.norm(v) > 0]
-        if pairs:
-            yield [r for r, _ in pairs], np.stack([unit_query(v) for _, v in pairs])
-
-
-_ARROW_ID_TYPES = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
-
-
-def _condition_mask(requests: list[Row]) -> Callable[[pa.Table], np.ndarray]:
-    """Which rows of a block satisfy which request: a rows x requests matrix."""
-    low, high, floor = (
-        np.array([r[c] for r in requests], dtype=np.float64) for c in REQUEST_COLUMNS[:3]
-    )
-    vocabularies = {}
-    for facet, column in FACET_LISTS.items():
-        lists = [set(r[column] or ()) for r in requests]
-        labels = sorted(set().union(*lists))
-        # The last row stands for every other label, and for none.
-        allowed = [[label in wanted for wanted in lists] for label in labels]
-        vocabularies[facet] = labels, np.array([*allowed, [False] * len(lists)])
-
-    def mask(block: pa.Table) -> np.ndarray:
-        price, rating = (
-            block[c].cast(pa.float64()).to_numpy()[:, None] for c in ("price", "rating")
-        )
-        holds = (price >= low) & (price <= high) & (rating >= floor)
-        for facet, (labels, allowed) in vocabularies.items():
-            at = pc.index_in(block[facet], value_set=pa.array(labels, pa.string()))
-            holds &= allowed[pc.fill_null(at, len(labels)).to_numpy()]
-        return holds
-
-    return mask
-
-
-def _slice_scorer(
-    requests: list[Row],
-    matrix: np.ndarray,
-    id_type: T.DataType,
-    n: int,
-    vector: str,
-    tie: str,
-    digits: int,
-) -> Callable:
-    """Task body: score every batch against the slice, remember the best ``n`` per query."""
-    dims = matrix.shape[1]
-    id_values = pa.array([r["query_id"] for r in requests], _ARROW_ID_TYPES[id_type.typeName()])
-    mask = _condition_mask(requests) if REQUEST_COLUMNS[0] in requests[0] else None
-
-    def candidates(scores: np.ndarray, ties: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, query) positions that may be among the best ``n``, ties settled by ``tie``."""
-        count = len(scores)
-        chosen = scores > -np.inf
-        if count > n:
-            chosen &= scores >= np.partition(scores, count - n, axis=0)[count - n]
-        crowded = np.flatnonzero(chosen.sum(axis=0) > n)
-        if len(crowded):
-            place = np.empty(count, dtype=np.int64)
-            place[pc.array_sort_indices(ties).to_numpy()] = np.arange(count)
-            for q in crowded:
-                tied = np.flatnonzero(chosen[:, q])
-                order = np.lexsort((place[tied], -scores[tied, q]))
-                chosen[tied[order[n:]], q] = False
-        return np.nonzero(chosen)
-
-    def best_of(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(
-            table,
-            sort_keys=[("_query", "ascending"), ("score", "descending"), (tie, "ascending")],
-        )
-        table = table.take(order)
-        query = table["_query"].to_numpy()
-        starts = np.searchsorted(query, query, side="left")
-        return table.filter(pa.array(np.arange(len(query)) - starts < n))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, SCORE_BLOCK_ROWS):
-                block = batch.slice(at, SCORE_BLOCK_ROWS)
-                units, usable = usable_matrix(block.column(vector), dims)
-                if not len(units):
-                    continue
-                kept = pa.Table.from_batches([block]).drop_columns([vector])
-                kept = kept.filter(pa.array(usable)).combine_chunks()
-                scores = np.round((1 + units @ matrix.T) / 2, digits)
-                if mask is not None:
-                    scores[~mask(kept)] = -np.inf
-                    kept = kept.drop_columns(list(FILTER_COLUMNS))
-                rows, queries = candidates(scores, kept[tie].combine_chunks())
-                found = kept.take(pa.array(rows))
-                found = found.append_column("_query", pa.array(queries.astype(np.int64)))
-                found = found.append_column("score", pa.array(scores[rows, queries]))
-                best = best_of(found if best is None else pa.concat_tables([best, found]))
-        if best is not None:
-            names = [c for c in best.column_names if c not in ("_query", "score")]
-            out = pa.table(
-                [id_values.take(best["_query"].combine_chunks()), *[best[c] for c in names], best["score"]],
-                names=["query_id", *names, "score"],
-            )
-            yield from out.to_batches()
-
-    return run
+    return best_per_query(rows, read, slices, id_type, n, tie, strict=True)
+
+
+def _similarity(queries: np.ndarray, vector: str, digits: int) -> BlockScorer:
+    def score(block: pa.Table) -> np.ndarray:
+        units, usable = usable_matrix(block[vector], queries.shape[1])
+        scores = np.full((len(usable), len(queries)), -np.inf)
+        scores[usable] = np.round((1 + units @ queries.T) / 2, digits)
+        return scores
+
+    return score
 
 
 # --- Exact search over cells -------------------------------------------------------------------

@@ -8,25 +8,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from wareseek.functions.text import WHITESPACE, primary_image
-from wareseek.operators.filters import FILTER_COLUMNS, REQUEST_COLUMNS, Conditions, request_matches
-from wareseek.operators.lexical import LexicalIndex, query_terms, score_names
+from wareseek.operators.filters import REQUEST_COLUMNS, Conditions
+from wareseek.operators.lexical import LexicalIndex, best_matches, score_names
 from wareseek.operators.ranking import (
     fuse,
     rank_score,
     top_n,
-    top_n_per_query,
     union_ranked,
     with_rank,
 )
 from wareseek.operators.vector import nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
-from wareseek.storage import is_small, materialise
+from wareseek.storage import materialise
 
 EMBEDDING_COLUMNS = ("name", "description")
 SEARCH_TYPES = frozenset({"vector", "lexical"})
-# Result lists of a query table are joined to the catalog by broadcast while they are known to
-# hold no more than this many (narrow) rows.
-MAX_BROADCAST_HITS = 200_000
 
 
 @dataclass(frozen=True)
@@ -145,18 +141,11 @@ def batch_lexical_search(
     """``(query_id, rank, _id, img, name, score)`` for a table ``(query_id, text)``.
 
     ``conditions`` are shared by all queries; None means that the table states them per query, in
-    the columns of ``REQUEST_COLUMNS``. A stored index must keep ``FILTER_COLUMNS``.
+    the columns of ``REQUEST_COLUMNS``. A stored index saves the passes that collect statistics.
     """
-    index = index or LexicalIndex.of(catalog, keep=FILTER_COLUMNS)
-    if conditions is None:
-        terms = query_terms(queries, keep=REQUEST_COLUMNS)
-        scores = index.score(terms, where=request_matches())
-    else:
-        scores = index.score(query_terms(queries), where=conditions.lenient())
-    best = top_n_per_query(scores, n)
-    if is_small(queries.select("query_id"), MAX_BROADCAST_HITS // n):
-        best = F.broadcast(best)
-    return catalog.select("_id", "img", "name").join(best, "_id")
+    index = index or LexicalIndex.of(catalog)
+    where = None if conditions is None else conditions.lenient()
+    return best_matches(catalog, queries, index, n, where)
 
 
 def batch_hybrid_search(
