@@ -9,7 +9,7 @@ from wareseek.plans.enrich import OfflineModels, enrich_offline, enrich_online,
 from wareseek.schemas import RAW_CATALOG
 from wareseek.sources import table as table_module
 from wareseek.sources.assets import fetch_assets, has_asset, join_assets, read_stored_assets
-from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
+from wareseek.sources.csv import read_catalog_csv
 from wareseek.sources.table import CatalogTable, DuplicateKeyError, duplicated_keys, merge_updates, write_batches, write_search_layout
 from wareseek.storage import is_small, materialise, rows_if_at_most
 from wareseek.streaming.updates import start_updates

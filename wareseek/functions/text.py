@@ -118,7 +118,8 @@ def split_tokens(text: str) -> list[str]:
 
 DESCRIPTION_PROMPT = Prompt(
     (
-        IMAGE_PLACEHOLDER * IMAGE_PLACEHOLDER_COUNT + "\nUSER: Write a product description for a shop page. The product is called: ",
+        IMAGE_PLACEHOLDER * IMAGE_PLACEHOLDER_COUNT
+        + "\nUSER: Write a product description for a shop page. The product is called: ",
         "name",
         ". Mention the color seen in the picture.\nASSISTANT:",
     )

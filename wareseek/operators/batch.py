@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
-from wareseek.operators.filters import FACET_LISTS, FILTER_COLUMNS, REQUEST_COLUMNS
+from wareseek.operators.filters import FACET_LISTS, REQUEST_COLUMNS
 from wareseek.operators.ranking import top_n_per_query
 from wareseek.storage import rows_if_at_most
 

@@ -185,21 +185,19 @@ class LexicalIndex:
             wanted &= F.col("term").isin([r["term"] for r in few])
         return self.postings.filter(wanted), self.terms.filter(wanted)
 
-    def weights(self, query_terms: DataFrame, terms: DataFrame) -> DataFrame:
+    def weights(self, query_terms: DataFrame, terms: DataFrame, docs: Column) -> DataFrame:
         """Query terms that occur, with their weight: repeats times inverse document frequency."""
         words = query_terms.select("term").distinct()
         small = is_small(query_terms, MAX_BROADCAST_TERMS)
-        corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
         # Every term of the index has one row here, so this join has no hot key.
         known = terms.select("term", "df").join(
             F.broadcast(words) if small else words, "term", "left_semi"
         )
-        weight = F.col("repeats") * idf(F.col("_corpus.docs"), F.col("df"))
         return (
             query_terms.join(F.broadcast(known) if small else known, "term")
-            .withColumn("_corpus", corpus)
-            .withColumn("weight", weight)
-            .drop("_corpus", "df", "repeats")
+            .withColumn("_docs", docs)
+            .withColumn("weight", F.col("repeats") * idf(F.col("_docs"), F.col("df")))
+            .select("query_id", "term", "weight")
         )
 
     def score(self, query_terms: DataFrame, digits: int = 9) -> DataFrame:
@@ -209,7 +207,7 @@ class LexicalIndex:
         the best n of many.
         """
         postings, terms = self._read_for(query_terms.select("term").distinct())
-        weights = self.weights(query_terms, terms).select("query_id", "term", "weight")
+        weights = self.weights(query_terms, terms, self.corpus.select("docs").scalar())
         if is_small(query_terms, MAX_BROADCAST_TERMS):
             hits = postings.join(F.broadcast(weights), "term")
         else:
@@ -217,10 +215,9 @@ class LexicalIndex:
             hits = postings.withColumn(
                 "_salt", F.pmod(F.xxhash64(self.key), F.lit(TERM_SALTS)).cast("int")
             ).join(weights.withColumn("_salt", salts), ["term", "_salt"])
-        corpus = self.corpus.select(F.struct("docs", "mean_length")).scalar()
-        part = F.col("weight") * tf_weight(F.col("tf"), F.col("length"), F.col("_corpus.mean_length"))
+        part = F.col("weight") * tf_weight(F.col("tf"), F.col("length"), F.col("_mean_length"))
         return (
-            hits.withColumn("_corpus", corpus)
+            hits.withColumn("_mean_length", self.corpus.select("mean_length").scalar())
             .groupBy("query_id", self.key)
             .agg(F.round(F.sum(part), digits).alias("score"))
         )
@@ -248,15 +245,15 @@ def best_matches(
     rows = rows.select(index.key, "img", "name", tokens(F.col(text)).alias("_tokens"), *read[1:])
     wanted = query_terms(queries)
     _, terms = index._read_for(wanted.select("term").distinct())
+    corpus = index.corpus.first()
     grouped = (
-        index.weights(wanted, terms)
+        index.weights(wanted, terms, F.lit(corpus["docs"]))
         .groupBy("query_id")
         .agg(F.collect_list(F.struct("term", "weight")).alias("weights"))
     )
     requests = grouped.join(queries.select("query_id", *own), "query_id") if own else grouped
-    mean_length = index.corpus.first()["mean_length"]
     slices = [
-        (found, _relevance([r["weights"] for r in found], mean_length, digits))
+        (found, _relevance([r["weights"] for r in found], corpus["mean_length"], digits))
         for found in query_slices(requests, MAX_QUERIES_PER_PASS)
     ]
     id_type = queries.schema["query_id"].dataType
