@@ -48,7 +48,7 @@ def test_blank(spark):
 
 
 def test_tokens_agree_with_driver_side_split(spark):
-    texts = ["Red  widget, men's", "", "--", "Ça été 12x", "ΑΒΓ-δ", "a_b"]
+    texts = ["Red  widget, men's", "", "--", "Ça été 12x", "ΑΒΓ-δ", "a_b", "İstanbul ΟΔΟΣ ½"]
     assert run(column(spark, texts), tokens(F.col("x"))) == [split_tokens(t) for t in texts]
     assert run(column(spark, [None, "a b"]), token_count(tokens(F.col("x")))) == [None, 2]
 

@@ -113,7 +113,7 @@ class Prompt:
 
 def split_tokens(text: str) -> list[str]:
     """:func:`tokens` for one string known on the driver: a query, a label or a template."""
-    return "".join(c.lower() if c.isalnum() else " " for c in text).split()
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
 
 
 DESCRIPTION_PROMPT = Prompt(
