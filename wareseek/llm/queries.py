@@ -54,7 +54,7 @@ grams AS (
 ),
 repeated AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM repeated) GROUP BY 1
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY 1
 ),
 lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
