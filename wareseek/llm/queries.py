@@ -90,3 +90,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~q.passes(q.BASE)).alias("base_failed"), q.passes(q.POLICIES["v2"]).alias("kept"), "failed",
     )
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm import secret_scan as s
+
+    found = s.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base, added = F.col("base_spans"), F.col("entropy_spans")
+    return found.select(
+        "doc_id",
+        s.of_kind(base, "assign").alias("n_assign"),
+        s.of_kind(base, "access").alias("n_access"),
+        s.of_kind(base, "hex").alias("n_hex"),
+        F.sha2(s.listed(base), 256).alias("base_sha256"),
+        s.listed(F.array_sort(F.concat(base, added))).alias("spans"),
+        s.of_kind(added, "entropy").alias("n_entropy"),
+    )
