@@ -107,3 +107,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         s.listed(F.array_sort(F.concat(base, added))).alias("spans"),
         s.of_kind(added, "entropy").alias("n_entropy"),
     )
+
+
+@query("op5_chat_format")
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.chat_format import digests, expand
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(expand(turns.union(added.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])))).drop("n_examples")
