@@ -117,3 +117,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(expand(turns.union(added.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])))).drop("n_examples")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm import toxicity as t
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = t.fit(t.sample(docs, table(spark, sf_dir, "labels"), t.Training()))
+    return t.tag(docs, model).select(
+        "doc_id", t.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans"
+    )
