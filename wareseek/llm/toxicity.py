@@ -44,7 +44,7 @@ class Training:
 
     docs_per_class: int = 2000
     min_gain: float = 14.0
-    min_ratio: float = 20.0
+    min_ratio: float = 200.0
     window: int = 40
     windows: int = 5_000
     rounds: int = 80
@@ -84,7 +84,7 @@ def _label_features(docs: list[tuple[list[str], int]], t: Training) -> set[str]:
 
     def tells(feature: str, c: int) -> bool:
         other = clean[feature]
-        if not c or (c + 0.5) / (n[1] + 1) < t.min_ratio * (other + 0.5) / (n[0] + 1):
+        if not c or other and c / n[1] < t.min_ratio * other / n[0]:
             return False
         share = (c + other) / sum(n)
         gain = c * math.log(c / (n[1] * share)) + (other * math.log(other / (n[0] * share)) if other else 0.0)
