@@ -128,3 +128,39 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.tag(docs, model).select(
         "doc_id", t.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans"
     )
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm import fingerprints as f
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    near = f.with_next(f.fingerprint(docs), ["text", "sketch"])
+    size = F.length("text")
+    cut = F.floor(size / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), size - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    made = near.select("doc_id", size.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    made = made.withColumn("edited_sketch", f.sketch(F.col("edited")))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        f.as_text(F.col("sketch")).alias("fingerprint"),
+        f.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        f.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        f.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        f.containment(F.col("sketch"), F.col("edited_sketch")).alias("within_edited"),
+    )
+
+
+MIX_ENTROPY = 0.97
+
+
+@query("op3_source_mixing")
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.common import WORD
+    from wareseek.llm.mixing import Mixture, schedule
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return schedule(docs, tokens, Mixture(entropy=MIX_ENTROPY)).withColumnRenamed("tokens", "n_tokens")
