@@ -270,6 +270,7 @@ def remove_repeats(
     around = around.where("kinds > 1 AND a < b").select("anchor", "kinds")
     met = equal.join(around, "anchor", "left").where("first < last OR kinds IS NOT NULL")
     met = met.select("anchor", "digest", "first", F.coalesce("kinds", F.lit(1)).alias("kinds"))
+    met = materialise(met, "met-passages")
     found = rows.join(met, ["anchor", "digest"])
     repeats = found.where("_id > first").select("_id", "_hash", *place)
     repeats = repeats.select("_id", "_hash", "start", (F.col("start") + F.col("size")).alias("end"))
