@@ -172,3 +172,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.jaccard_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
