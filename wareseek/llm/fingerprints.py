@@ -16,7 +16,8 @@ from wareseek.llm.secret_scan import let
 SHINGLE = 5
 FRACTION = 1 / 4
 _ROWS_IN_RANGE = 2000
-_RANGES = 128
+_QUANTILES = 128
+_MAX_RANGES = 1 << 16
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -76,15 +77,16 @@ def as_text(hashes: Column) -> Column:
 def _range_of(docs: DataFrame, key: str) -> Column:
     """A number for contiguous ranges of the key with about as many rows each, null keys apart.
 
-    Quantiles give up to ``_RANGES`` ranges, whatever the keys are like; each of them is cut into
-    equal widths until a range has about ``_ROWS_IN_RANGE`` rows.
+    Quantiles give up to ``_QUANTILES`` ranges, whatever the keys are like; each of them is cut
+    into equal widths until a range has about ``_ROWS_IN_RANGE`` rows, or more where there would be
+    over ``_MAX_RANGES`` ranges.
     """
-    shares = [i / _RANGES for i in range(_RANGES + 1)]
+    shares = [i / _QUANTILES for i in range(_QUANTILES + 1)]
     found = docs.agg(F.count(key).alias("n"), F.percentile_approx(key, shares, 10_000).alias("cuts")).first()
     cuts = sorted(set(found["cuts"] or []))
     if len(cuts) < 2:
         return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
-    parts = max(1, round(found["n"] / _RANGES / _ROWS_IN_RANGE))
+    parts = max(1, min(_MAX_RANGES // _QUANTILES, round(found["n"] / _QUANTILES / _ROWS_IN_RANGE)))
 
     def place(low: int, high: int) -> Column:
         if high - low == 1:
@@ -100,26 +102,25 @@ def _range_of(docs: DataFrame, key: str) -> Column:
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text") -> DataFrame:
     """Each row with ``columns`` of the next one as ``next_…``, keys descending, the first after the last.
 
-    Rows meet their successors inside ranges of the key, one sort each; the last row of a range
-    gets the first row of the next range that has rows. Ties are ordered by ``tie``, null keys
-    come last. A single row is its own successor.
+    Rows meet their successors inside ranges of the key, one shuffle and sort of each row; the
+    last row of a range gets the first row of the next range that has rows. Ties are ordered by
+    ``tie``, null keys come last. A single row is its own successor.
     """
     ranged = docs.withColumn("_range", _range_of(docs, key))
-    order = (F.col(key).desc_nulls_last(), F.col(tie).asc_nulls_first())
-    within = Window.partitionBy("_range").orderBy(*order)
-    placed = ranged.select(
-        "*",
-        F.lead(F.struct(*columns)).over(within).alias("_next"),
-        F.lag(F.lit(True)).over(within).isNull().alias("_leads"),
-    )
-    heads = ranged.select("_range").distinct()
-    # One small row for each range: which range follows it, and then that range's first row.
+    within = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), F.col(tie).asc_nulls_first())
+    placed = ranged.select("*", F.lead(F.struct(*columns)).over(within).alias("_next"))
+    # The first rows of the ranges, of which there are no more than _MAX_RANGES (and one for null
+    # keys): few enough to look them up from a broadcast, so that no other row moves again.
+    heads = ranged.groupBy("_range").agg(F.max(key).alias("_top"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc())
     every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = heads.select(
         "_range", F.coalesce(F.lead("_range").over(down), F.first("_range").over(every)).alias("_after")
     )
-    firsts = placed.where("_leads").select(F.col("_range").alias("_after"), F.struct(*columns).alias("_first"))
+    tops = F.broadcast(heads.select(F.col("_range").alias("_after"), "_top"))
+    at_top = (F.col("_range") == F.col("_after")) & F.col(key).eqNullSafe(F.col("_top"))
+    ordered = F.struct(F.col(tie), F.struct(*columns).alias("_row"))
+    firsts = ranged.join(tops, at_top).groupBy("_after").agg(F.min(ordered)["_row"].alias("_first"))
     ends = follows.join(firsts, "_after").select("_range", "_first")
     return placed.join(ends, "_range").select(
         *docs.columns,

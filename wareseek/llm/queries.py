@@ -135,12 +135,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm import fingerprints as f
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = f.with_next(f.fingerprint(docs), ["text", "sketch"])
+    near = f.with_next(docs, ["text"])
     size = F.length("text")
     cut = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    made = near.select("doc_id", size.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    made = made.withColumn("edited_sketch", f.sketch(F.col("edited")))
+    # Sketches are taken once the texts have met their successors: cheaper than moving them along.
+    made = near.select("doc_id", size.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    made = f.fingerprint(f.fingerprint(f.fingerprint(made), "next_text", "next_sketch"), "edited", "edited_sketch")
     return made.select(
         "doc_id",
         "n_chars",
