@@ -1,15 +1,84 @@
-"""Documents to training examples: the stages in their order, and a run of them all."""
+"""Documents to training examples: the stages in their order, and a run of them all.
+
+Each stage takes what the one before kept. All but the last return the columns of ``documents``;
+the last returns the sampled pieces of every document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wareseek.llm import jaccard_join, mixing, piece_sampling, secret_scan, toxicity
+from wareseek.llm.common import WORD, table
+from wareseek.llm.queries import PIECE_SAMPLES, tokenizer_file
+from wareseek.storage import is_small, materialise
+
+#: How often the mixture may run through its most repeated source.
+MAX_REPEATS = 2.0
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that score as toxic. The model learns from the table of labels."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.sample(docs.select("doc_id", "text"), labels, toxicity.Training()))
+    tagged = toxicity.tag(docs, model, score="_score", spans="_spans")
+    return tagged.where("_score < 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group that links of 0.8 connect.
+
+    Documents without an id stay, as no group can be named after them; of repeated rows one stays.
+    """
+    found = jaccard_join.similar_components(docs.select("doc_id", "text"))
+    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    # A list that is measured to be small spares the texts a shuffle.
+    gone = F.broadcast(gone) if is_small(gone, MAX_BROADCAST_IDS) else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]) if _repeated(docs) else kept
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether an id occurs on several rows."""
+    return bool(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; ``n_chars`` follows the text."""
+    found = secret_scan.scan(docs, base="_base", added="_added")
+    clean = secret_scan.redact(F.coalesce(F.col("text"), F.lit("")), F.concat("_base", "_added"))
+    any_found = F.size("_base") + F.size("_added") > 0
+    text = F.when(any_found, clean).otherwise(F.col("text"))
+    size = F.when(any_found, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws sources to flatter weights: every document occurs, those of small sources more often."""
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return mixing.realise(docs, tokens, mixing.Mixture(max_repeats=MAX_REPEATS))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document the mixture drew."""
+    return piece_sampling.sample_pieces(docs.select("doc_id", "source", "text"), tokenizer_file(), PIECE_SAMPLES)
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxic),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secrets),
+    ("source_mixing", mixed),
+    ("sentencepiece", pieces),
+]
+#: SQL cannot express a fitted model, a bisection or a seeded draw; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each one written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,7 @@ from wareseek.storage import is_small, materialise
 _ROWS_IN_BUCKET = 512
 _LEVELS = 4
 _MAX_BROADCAST_SOURCES = 100_000
+_MAX_BROADCAST_DRAWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -159,6 +160,9 @@ def realise(docs: DataFrame, tokens: Column, m: Mixture, key: str = "doc_id", so
     times = drawn.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source")).agg(
         F.collect_list(F.struct("block", "slot")).alias("_times")
     )
+    # Where the schedule is measured to be small, documents move once, to their blocks.
+    times = materialise(times, "mix-times")
+    times = F.broadcast(times) if is_small(times, _MAX_BROADCAST_DRAWS) else times
     matched = docs.join(
         times, docs[key].eqNullSafe(times["_key"]) & docs[source].eqNullSafe(times["_source"])
     )

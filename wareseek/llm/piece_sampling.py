@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wareseek.llm.substring_dedup import _mixed
 from wareseek.llm.token_counts import _SEGMENT, SPACE_MARK
 
-_CHARS_IN_BATCH = 1 << 20
+_CHARS_IN_BATCH = 3 << 19
 _COMMON = 160
 _LONGEST = 16
 _NONE = np.float64(-np.inf)
@@ -156,8 +156,8 @@ class Lattices:
             at = ordered_stops[: np.searchsorted(descending, -distance, side="right")] - distance
             reach = score[at] + beta[np.minimum(slot[at][:, None] + ahead, last)]
             top = reach.max(1)
-            weight = np.exp(reach - top[:, None])
-            total = weight.sum(1)
+            weight = np.exp((reach - top[:, None]).astype(np.float32))
+            total = weight.sum(1, dtype=np.float64)
             beta[slot[at]] = top + np.log(total)
             share[at] = weight / total[:, None]
         self.share = share
