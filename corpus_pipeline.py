@@ -47,11 +47,14 @@ def _repeated(docs: DataFrame) -> bool:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; ``n_chars`` follows the text."""
     found = secret_scan.scan(docs, base="_base", added="_added")
-    clean = secret_scan.redact(F.coalesce(F.col("text"), F.lit("")), F.concat("_base", "_added"))
-    any_found = F.size("_base") + F.size("_added") > 0
-    text = F.when(any_found, clean).otherwise(F.col("text"))
-    size = F.when(any_found, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    spans = F.concat("_base", "_added")
+    clean = secret_scan.redact(F.coalesce(F.col("text"), F.lit("")), spans)
+    found = found.withColumn("_clean", F.when(F.size(spans) > 0, clean))
+    changed = {
+        "text": F.coalesce("_clean", "text").alias("text"),
+        "n_chars": F.coalesce(F.length("_clean").cast("long"), "n_chars").alias("n_chars"),
+    }
+    return found.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from wareseek.llm.common import WORD, slices
 from wareseek.llm.components import components
 from wareseek.llm.substring_dedup import _mixed
-from wareseek.storage import materialise
+from wareseek.storage import is_small, materialise
 
 GRAM = 5
 PERCENT = 80
@@ -39,6 +39,7 @@ _WANTED_BITS = 26
 _ROWS = 256
 _KNOWN_WORDS = 300_000
 _REMEMBERED = 500_000
+_MAX_BROADCAST_NODES = 500_000
 _LAST = (1 << 63) - 1
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +84,17 @@ def needed(first: int, second: int, percent: int) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """How many first members of a set of n to look at, for two similar sets to share ``shared_by``."""
+    return min(n, n - -(-percent * n // 100) + shared_by(n))
+
+
+def shared_by(n: int) -> int:
+    return 1 + n // 20
+
+
+def least_shared(n: int, percent: int) -> int:
+    """How many of its first members a set shares with a similar one, which may be smaller."""
+    return shared_by(-(-percent * n // 100))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -167,29 +178,55 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, table)
             yield pa.RecordBatch.from_arrays(arrays, ["gram", "n", "node"])
 
 
-def _coarse_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links the sets of each n-gram whose sizes allow it, to the first of their run of sizes.
+def _runs(batches: Iterator[pa.RecordBatch], percent: int):
+    """The rows of n-grams met twice, with whether a row begins a run.
 
-    Rows are sorted by n-gram, size and node; a run ends where a size is too large for the one before.
+    Rows are sorted by n-gram, size and node; a run ends where a size is too large for the one
+    before, since no sets on its two sides can be similar.
     """
-    hub = last_n = last_gram = None
-    sent: set[tuple[int, int]] = set()
+    last_gram = last_n = None
     for batch in slices(batches, 20_000):
         gram, n, node = (batch.column(c).to_numpy() for c in ("gram", "n", "node"))
-        # Only n-grams met twice matter; the last row may begin a run that the next batch goes on with.
+        # The last row of a batch may begin a run that the next batch goes on with.
         same = gram[1:] == gram[:-1]
         shared = np.concatenate([same, [True]]) | np.concatenate([[gram[0] == last_gram], same])
+        rows = []
+        for g, size, key in zip(gram[shared].tolist(), n[shared].tolist(), node[shared].tolist()):
+            rows.append((g, size, key, g != last_gram or 100 * last_n < percent * size))
+            last_gram, last_n = g, size
+        yield rows
+
+
+def _shared_members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of runs with two nodes or more, each node once."""
+    waiting = last_node = None
+    for rows in _runs(batches, percent):
+        kept = []
+        for g, n, node, begins in rows:
+            if begins:
+                waiting, last_node = (g, n, node), node
+            elif node != last_node:
+                if waiting is not None:
+                    kept.append(waiting)
+                kept.append((g, n, node))
+                waiting, last_node = None, node
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["gram", "n", "node"])
+
+
+def _coarse_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links the nodes of each run to its first."""
+    hub = None
+    sent: set[tuple[int, int]] = set()
+    for rows in _runs(batches, percent):
         links = []
-        rows = list(zip(gram[shared].tolist(), n[shared].tolist(), node[shared].tolist()))
-        for g, size, key in rows:
-            if g != last_gram or 100 * last_n < percent * size:
-                hub, last_gram, last_n = key, g, size
-                continue
-            last_n = size
-            if key != hub and (hub, key) not in sent:
+        for _, _, node, begins in rows:
+            if begins:
+                hub = node
+            elif node != hub and (hub, node) not in sent:
                 if len(sent) < _REMEMBERED:
-                    sent.add((hub, key))
-                links.append((hub, key))
+                    sent.add((hub, node))
+                links.append((hub, node))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
@@ -360,11 +397,13 @@ def similar_components(
         levels[row["block"] << _CELL_BLOCK_BITS : (row["block"] + 1) << _CELL_BLOCK_BITS] = row["levels"]
     table = spark.sparkContext.broadcast(bytes(levels))
     prefixes = read.select("text").mapInArrow(lambda b: _prefixes(b, gram, percent, table), "gram long, n long, node long")
-    coarse = (
-        prefixes.repartition("gram")
-        .sortWithinPartitions("gram", "n", "node")
-        .mapInArrow(lambda b: _coarse_links(b, percent), "a long, b long")
-    )
+    by_gram = lambda df: df.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    members = "gram long, n long, node long"
+    shared = materialise(by_gram(prefixes).mapInArrow(lambda b: _shared_members(b, percent), members), "shared-members")
+    least = F.expr(f"1 + (({percent} * max(n) + 99) DIV 100) DIV 20")  # least_shared in SQL
+    likely = shared.groupBy("node").agg(F.count(F.lit(1)).alias("found"), least.alias("least"))
+    likely = materialise(likely.where("found >= least").select("node"), "likely-nodes")
+    coarse = by_gram(shared.join(likely, "node")).mapInArrow(lambda b: _coarse_links(b, percent), "a long, b long")
     clusters = components(coarse).select("node", F.col("root").alias("cluster"))
     sets = summary.where("n > 0").select("_id", "_hash", "n", "node")
     # The first document of each node stands for it; shards of a cluster by its number of nodes.
@@ -384,7 +423,9 @@ def similar_components(
     whole = read.select("_id", "_hash", "text", place.alias("place")).mapInArrow(
         lambda b: _whole_sets(b, gram, table, wanted), "node long, _id long, _hash long, members binary"
     )
-    parts = members.join(sizes, "cluster").select("cluster", "shards", "node", "_id", "_hash", "n")
+    parts = materialise(members.join(sizes, "cluster").select("cluster", "shards", "node", "_id", "_hash", "n"), "parts")
+    # Measured to be small, the list of nodes is sent to the sets, which then move once.
+    parts = F.broadcast(parts) if is_small(parts, _MAX_BROADCAST_NODES) else parts
     streams = (
         whole.join(parts, ["node", "_id", "_hash"])
         .select("cluster", "node", "n", "members", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))

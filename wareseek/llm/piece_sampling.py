@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -33,6 +34,7 @@ from wareseek.llm.token_counts import _SEGMENT, SPACE_MARK
 _CHARS_IN_BATCH = 3 << 19
 _COMMON = 160
 _LONGEST = 16
+_UNIT = float(1 << 32)
 _NONE = np.float64(-np.inf)
 
 
@@ -254,13 +256,17 @@ class Batch:
         return np.repeat(place, count), nodes, edges
 
     def _finish(self, docs: np.ndarray, place: np.ndarray, node: np.ndarray, edge: np.ndarray) -> Paths:
-        """Adds up log-probabilities; ``docs`` has the tokens of each document."""
+        """Adds up log-probabilities; ``docs`` has the tokens of each document.
+
+        They are added as whole numbers of a fine unit, so that a document's sums are the same in
+        every batch.
+        """
         with np.errstate(divide="ignore"):
             step = np.log(self.lattices.share[node, edge].astype(np.float64)) if len(node) else np.empty(0)
         offset = np.concatenate([[0], np.cumsum(docs)])
-        whole = np.concatenate([[0.0], np.cumsum(step)])
+        whole = np.concatenate([[0], np.cumsum(np.rint(step * _UNIT).astype(np.int64))])
         before = np.repeat(whole[offset[:-1]], docs)
-        return Paths(offset, place, node, edge, whole[:-1] - before, whole[1:] - before)
+        return Paths(offset, place, node, edge, (whole[:-1] - before) / _UNIT, (whole[1:] - before) / _UNIT)
 
     def first_paths(self) -> Paths:
         place = np.arange(len(self.segment))
@@ -452,7 +458,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], model_file: str, power: float, k
         return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES])
 
     for batch in batches:
-        sizes = np.cumsum(batch.column(text).to_pandas().str.len().fillna(0).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy())
         start = 0
         while start < batch.num_rows:  # whole texts, as many as fit, one at least
             before = sizes[start - 1] if start else 0

@@ -255,13 +255,14 @@ class Chain:
         bias = self.model.bias
         moves = np.exp(self.model.transitions)
         # Runs longer than the table have the same direction to machine precision.
-        power = [self._powers[min(k, _POWERS)] for k in np.diff([-1, *at]) - 1]
+        power = [self._powers[min(k, _POWERS)] for k in np.diff([0, *at]) - 1]
         tail = self._powers[min(len(emissions) - 1 - at[-1], _POWERS)]
         local = [np.array([1.0, np.exp(min(emissions[i] + bias, 500.0))]) for i in at]
         local = [v / v.sum() for v in local]
-        forward, now = [], np.ones(2)
+        # No transition leads into the first word; powers hold the one into each word of a run, and
+        # the one into this word follows.
+        forward, now = [], np.array([1.0, np.exp(bias)])
         for i, (gap, v) in enumerate(zip(power, local)):
-            # Powers hold the transition into each word of a run; the one into this word follows.
             now = (now @ gap @ moves if i or at[0] else np.ones(2)) * v
             now /= now.sum()
             forward.append(now)
