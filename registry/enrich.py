@@ -30,7 +30,7 @@ from wareseek.plans.enrich import OfflineModels
 from wareseek.schemas import COLORS, FACETS, LABEL_OUTPUT_BUFFER_TOKENS, RAW_CATALOG, SEASONS
 from wareseek.sources.assets import fetch_assets, has_asset, join_assets
 from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
-from wareseek.sources.table import CatalogTable
+from wareseek.sources.table import CatalogTable, write_batches
 from wareseek.storage import scratch_path
 from wareseek.streaming.updates import start_updates
 
@@ -455,6 +455,31 @@ def _(spark, sf):
     return enrich.null_propagation(rows, ["category", "season"], on="rating")
 
 
+@query("sink_batches", f"WITH {PRODUCTS_SQL} SELECT _id, name, price FROM products")
+def _(spark, sf):
+    """Documents sent in batches to a store, here files in the shared folder, and read back."""
+    folder = scratch_path(spark, "sink")
+
+    def make_writer():
+        import json
+        import os
+        import uuid
+        from urllib.parse import urlparse
+
+        path = urlparse(folder).path
+        os.makedirs(path, exist_ok=True)
+
+        def write(documents):
+            with open(os.path.join(path, f"{uuid.uuid4().hex}.json"), "w") as out:
+                out.writelines(json.dumps(d) + "\n" for d in documents)
+
+        return write
+
+    rows = products(spark, sf).select("_id", "name", "price")
+    write_batches(rows, make_writer, batch_size=100)
+    return spark.read.schema(rows.schema).json(folder)
+
+
 # --- The product table --------------------------------------------------------------------------
 
 _ITEMS = T.StructType(

@@ -11,7 +11,7 @@ from wareseek.operators import batch, lexical, vector
 from wareseek.operators.filters import Conditions, drop_incomplete, facet_optional, facet_required, nan_to_null, rating_at_least
 from wareseek.operators.lexical import LexicalIndex, query_terms, score_names
 from wareseek.operators.ranking import keep_first, keep_last, rank_score, top_n_per_query
-from wareseek.operators.vector import CellIndex, nearest, nearest_per_query, vector_search
+from wareseek.operators.vector import nearest, nearest_per_query, vector_search
 from wareseek.plans.search import (
     SearchRequest,
     ai_search,
@@ -209,25 +209,6 @@ def test_query_without_direction_has_no_hits(spark, catalog):
     assert nearest_per_query(catalog, queries, 3).count() == 0
 
 
-def test_cells_are_exact(spark, catalog, tmp_path):
-    index = CellIndex.build(catalog, str(tmp_path / "cells"), pivots=6)
-    rows = catalog.collect()
-    rng = random.Random(3)
-    for query in ([1.0] * 8, *[[rng.uniform(-1, 1) for _ in range(8)] for _ in range(4)]):
-        got = [r["_id"] for r in index.search(query, 10).orderBy(F.desc("score"), "_id").collect()]
-        assert got == brute_nearest(rows, query, 10)
-    where = F.col("color") == "Red"
-    got = [r["_id"] for r in index.search([1.0] * 8, 10, where).orderBy(F.desc("score"), "_id").collect()]
-    assert got == brute_nearest(rows, [1.0] * 8, 10, lambda r: r["color"] == "Red")
-
-
-def test_cells_skip_what_cannot_win(spark, catalog, tmp_path):
-    index = CellIndex.build(catalog, str(tmp_path / "cells"), pivots=6)
-    scanned = index.search([1.0] * 8, 10)
-    plan = scanned._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "cell" in plan
-
-
 def test_batch_of_one_equals_the_single_search(spark, catalog):
     request = SearchRequest("red hat", EVERYTHING, 8, threshold=0.5)
     vector_of = [0.5, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, 1.0]

@@ -35,11 +35,17 @@ def crop_center_square(
     """Replace encoded images by the raw bytes of their centred square.
 
     ``load(data, size)`` is the caller's image library: it decodes one picture, scales its shorter
-    side to ``size`` and returns a height x width x channels array.
+    side to ``size`` and returns a height x width x channels array. Where it raises, the picture
+    becomes NULL.
     """
 
-    def one(data: bytes) -> bytes:
-        pixels = load(data, size)
+    def one(data: bytes | None) -> bytes | None:
+        if data is None:
+            return None
+        try:
+            pixels = load(data, size)
+        except Exception:
+            return None
         top, left = (pixels.shape[0] - size) // 2, (pixels.shape[1] - size) // 2
         return pixels[top : top + size, left : left + size].tobytes()
 

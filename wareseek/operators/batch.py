@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
-from wareseek.operators.filters import FACET_LISTS, REQUEST_COLUMNS
+from wareseek.operators.filters import FACET_LISTS, REQUEST_COLUMNS, Conditions
 from wareseek.operators.ranking import top_n_per_query
-from wareseek.storage import rows_if_at_most
+from wareseek.storage import scratch_path
 
 SCORE_BLOCK_ROWS = 4_096
 _ARROW_ID_TYPES = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
@@ -22,32 +22,50 @@ _ARROW_ID_TYPES = {"long": pa.int64(), "integer": pa.int32(), "string": pa.strin
 BlockScorer = Callable[[pa.Table], np.ndarray]
 
 
+def refuse_repeated(queries: DataFrame) -> None:
+    """Raise when a query has no id, or shares it with another."""
+    counted = queries.groupBy("query_id").count()
+    wrong = counted.filter((F.col("count") > 1) | F.col("query_id").isNull()).limit(5).collect()
+    if wrong:
+        raise ValueError(f"query ids missing or repeated: {[r['query_id'] for r in wrong]}")
+
+
 def query_slices(queries: DataFrame, max_rows: int) -> Iterator[list[Row]]:
-    """Cut a query table into slices of checked size, halving by hash until each one fits.
+    """Cut a query table into slices of about ``max_rows`` rows, by hash of the id.
 
-    All rows of one query stay together.
+    One count decides how many slices there are. More than one are staged in a folder each, so
+    that taking a slice reads nothing else, and only one at a time is held here.
     """
-    hashed = F.xxhash64("query_id")
-    pending = [(1, 0)]
-    while pending:
-        parts, part = pending.pop()
-        mine = queries if parts == 1 else queries.filter(F.pmod(hashed, F.lit(parts)) == part)
-        rows = rows_if_at_most(mine, max_rows)
-        if rows is None:
-            pending += [(2 * parts, part), (2 * parts, part + parts)]
-        elif rows:
+    refuse_repeated(queries)
+    parts = -(-queries.count() // max_rows)
+    if parts <= 1:
+        rows = queries.collect()
+        if rows:
+            yield rows
+        return
+    spark, path = queries.sparkSession, scratch_path(queries.sparkSession, "query-slices")
+    sliced = queries.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    sliced.write.partitionBy("_slice").parquet(path)
+    stored = spark.read.schema(sliced.schema).parquet(path)
+    for part in range(parts):
+        rows = stored.filter(F.col("_slice") == part).drop("_slice").collect()
+        if rows:
             yield rows
 
 
 def own_conditions(queries: DataFrame) -> tuple[str, ...]:
-    """The request columns, when the table states conditions per query."""
-    return REQUEST_COLUMNS if set(REQUEST_COLUMNS) <= set(queries.columns) else ()
+    """The request columns, when the table states conditions per query: all of them or none."""
+    stated = set(REQUEST_COLUMNS) & set(queries.columns)
+    if stated and stated != set(REQUEST_COLUMNS):
+        missing = [c for c in REQUEST_COLUMNS if c not in stated]
+        raise ValueError(f"conditions per query need all their columns; missing: {missing}")
+    return REQUEST_COLUMNS if stated else ()
 
 
 def best_per_query(
     rows: DataFrame,
     read: Sequence[str],
-    slices: Sequence[tuple[list[Row], BlockScorer]],
+    slices: Iterable[tuple[list[Row], BlockScorer]],
     id_type: T.DataType,
     n: int,
     tie: str,
@@ -59,6 +77,9 @@ def best_per_query(
     Columns in ``read`` are only scored. Requests with conditions of their own apply them in the
     strict or the lenient form. Each task keeps its best ``n`` per query, so what is
     shuffled does not grow with the rows that match.
+
+    Several slices run one after the other and their results are staged, so neither the driver
+    nor the plan grows with the number of queries.
     """
     unscored = rows.drop(*read)
     schema = T.StructType(
@@ -68,24 +89,37 @@ def best_per_query(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    passes = [
-        rows.mapInArrow(_task(requests, scorer, list(read), id_type, n, tie, strict), schema)
-        for requests, scorer in slices
-    ]
-    if not passes:
+
+    def best(of: tuple[list[Row], BlockScorer]) -> DataFrame:
+        requests, scorer = of
+        task = _task(requests, scorer, list(read), id_type, n, tie, strict)
+        return top_n_per_query(rows.mapInArrow(task, schema), n, tie=tie)
+
+    slices = iter(slices)
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
         none = F.lit(None).cast(id_type).alias("query_id")
         empty = unscored.limit(0).select(none, "*", F.lit(0.0).alias("score"))
         return empty.withColumn("rank", F.lit(0).cast("long"))
-    return top_n_per_query(reduce(DataFrame.unionByName, passes), n, tie=tie)
+    if second is None:
+        return best(first)
+    path = scratch_path(rows.sparkSession, "batch-results")
+    for of in chain([first, second], slices):
+        found = best(of)
+        found.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def condition_mask(requests: list[Row], strict: bool) -> Callable[[pa.Table], np.ndarray]:
     """Which rows of a block satisfy which request: a rows x requests matrix.
 
     Strict or lenient as in :class:`Conditions`: an empty facet list admits nothing or everything.
+    A missing bound is the default one.
     """
+    default = Conditions()
     low, high, floor = (
-        np.array([r[c] for r in requests], dtype=np.float64) for c in REQUEST_COLUMNS[:3]
+        np.array([getattr(default, c) if r[c] is None else r[c] for r in requests], dtype=np.float64)
+        for c in REQUEST_COLUMNS[:3]
     )
     vocabularies = {}
     for facet, column in FACET_LISTS.items():

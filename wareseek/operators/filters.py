@@ -79,6 +79,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(floats) if floats else df
 
 
-def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Keep the rows in which every column has a value."""
-    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in df.columns]))
+def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Keep the rows in which every column, or every one of ``columns``, has a value."""
+    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in columns or df.columns]))

@@ -16,6 +16,7 @@ from wareseek.schemas import FACETS, MAX_ATTEMPTS, MODEL_BATCH_SIZE
 
 # A model takes a batch and returns its new columns.
 Model = Callable[[pd.DataFrame], Mapping[str, Sequence[Any]]]
+_RESIDENT = "the model of this worker"
 
 
 def infer(
@@ -25,10 +26,13 @@ def infer(
     batch_size: int = MODEL_BATCH_SIZE,
     drop: Sequence[str] = (),
     profile: ResourceProfile | None = None,
+    model_name: str | None = None,
 ) -> DataFrame:
     """Add the columns ``outputs`` computed by a model.
 
-    ``make_model`` runs once per Python worker, which keeps the model for later tasks. Columns in
+    ``make_model`` runs once per Python worker, which keeps the model for later tasks of this call
+    and, with a ``model_name``, of later calls under that name. A worker holds one model: before
+    another is made, it lets go of the one it has. Columns in
     ``drop`` (images, prompts) are read by the model but not passed on. ``profile`` requests GPUs
     or other resources for this stage only.
     """
@@ -37,13 +41,15 @@ def infer(
     schema = T.StructType(
         [f for f in df.schema if f.name not in names and f.name not in drop] + list(added)
     )
-    cache_key = uuid.uuid4()
+    wanted = model_name or str(uuid.uuid4())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = ModelCache.get(cache_key)
-        if model is None:
+        held, model = ModelCache.get(_RESIDENT) or (None, None)
+        if held != wanted:
+            model = None
+            ModelCache.add(_RESIDENT, None)
             model = make_model()
-            ModelCache.add(cache_key, model)
+            ModelCache.add(_RESIDENT, (wanted, model))
         for batch in batches:
             for at in range(0, len(batch), batch_size):
                 part = batch.iloc[at : at + batch_size]
@@ -92,6 +98,7 @@ def describe(
     make_model: Callable[[], Model],
     batch_size: int = MODEL_BATCH_SIZE,
     profile: ResourceProfile | None = None,
+    model_name: str | None = None,
 ) -> DataFrame:
     """Add ``description`` from the prompt and the picture, and let go of both."""
     return infer(
@@ -101,6 +108,7 @@ def describe(
         batch_size,
         drop=("img", "description_prompt"),
         profile=profile,
+        model_name=model_name,
     )
 
 
@@ -114,6 +122,7 @@ def classify(
     make_model: Callable[[], Model],
     batch_size: int = MODEL_BATCH_SIZE,
     profile: ResourceProfile | None = None,
+    model_name: str | None = None,
 ) -> DataFrame:
     """Add every facet: prompts, one model pass that answers all of them, then label cleaning.
 
@@ -122,7 +131,7 @@ def classify(
     prompts = {f"{facet}_prompt": prompt.text() for facet, prompt in LABEL_PROMPTS.items()}
     answers = T.StructType([T.StructField(f"{facet}_response", T.StringType()) for facet in FACETS])
     answered = infer(
-        df.withColumns(prompts), make_model, answers, batch_size, drop=tuple(prompts), profile=profile
+        df.withColumns(prompts), make_model, answers, batch_size, tuple(prompts), profile, model_name
     )
     labels = label_columns({facet: F.col(f"{facet}_response") for facet in FACETS})
     return answered.withColumns(labels).drop(*answers.fieldNames())

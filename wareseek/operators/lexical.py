@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from wareseek.functions.text import has_token, run_starts, split_tokens, term_frequencies, tokens
-from wareseek.operators.batch import BlockScorer, best_per_query, own_conditions, query_slices
+from wareseek.operators.batch import best_per_query, BlockScorer, own_conditions, query_slices, refuse_repeated
 from wareseek.operators.filters import FILTER_COLUMNS
 from wareseek.schemas import BM25_B, BM25_K1
 from wareseek.storage import is_small, rows_if_at_most
@@ -239,6 +239,7 @@ def best_matches(
     scored where they lie, a slice of queries at a time, so frequent terms do not make the shuffle
     grow: listing every match of every query would.
     """
+    refuse_repeated(queries)
     own = own_conditions(queries)
     read = ["_tokens", *(FILTER_COLUMNS if own else ())]
     rows = catalog if where is None else catalog.filter(where)
@@ -252,10 +253,10 @@ def best_matches(
         .agg(F.collect_list(F.struct("term", "weight")).alias("weights"))
     )
     requests = grouped.join(queries.select("query_id", *own), "query_id") if own else grouped
-    slices = [
+    slices = (
         (found, _relevance([r["weights"] for r in found], corpus["mean_length"], digits))
         for found in query_slices(requests, MAX_QUERIES_PER_PASS)
-    ]
+    )
     id_type = queries.schema["query_id"].dataType
     return best_per_query(rows, read, slices, id_type, n, index.key, strict=False)
 

@@ -1,14 +1,12 @@
-"""Cosine search over stored vectors: one query, a table of queries, and a pruned exact index."""
+"""Cosine search over stored vectors: one query, or a table of queries."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from wareseek.functions.vectors import unit_query, unit_vector, usable_matrix, vector_score
 from wareseek.operators.batch import BlockScorer, best_per_query, own_conditions, query_slices
@@ -80,14 +78,16 @@ def nearest_per_query(
     rows = catalog if where is None else catalog.filter(where)
     rows = rows.select(tie, "img", "name", *read)
     usable = queries.select("query_id", "vector", *own).filter(F.col("vector").isNotNull())
-    slices = []
-    for found in query_slices(usable, MAX_QUERIES_PER_PASS):
-        directed = [r for r in found if np.isfinite(r["vector"]).all() and np.any(r["vector"])]
-        if directed:
-            units = np.stack([unit_query(r["vector"]) for r in directed])
-            slices.append((directed, _similarity(units, vector, digits)))
+
+    def slices() -> Iterator[tuple[list[Row], BlockScorer]]:
+        for found in query_slices(usable, MAX_QUERIES_PER_PASS):
+            directed = [r for r in found if np.isfinite(r["vector"]).all() and np.any(r["vector"])]
+            if directed:
+                units = np.stack([unit_query(r["vector"]) for r in directed])
+                yield directed, _similarity(units, vector, digits)
+
     id_type = queries.schema["query_id"].dataType
-    return best_per_query(rows, read, slices, id_type, n, tie, strict=True)
+    return best_per_query(rows, read, slices(), id_type, n, tie, strict=True)
 
 
 def _similarity(queries: np.ndarray, vector: str, digits: int) -> BlockScorer:
@@ -100,13 +100,6 @@ def _similarity(queries: np.ndarray, vector: str, digits: int) -> BlockScorer:
     return score
 
 
-# --- Exact search over cells -------------------------------------------------------------------
-
-PIVOTS = 16
-# Slack for the rounding of scores.
-_SLACK = 1e-6
-
-
 def build_vectors(
     catalog: DataFrame, dims: int, vector: str = "description_embedding", key: str = "_id"
 ) -> DataFrame:
@@ -114,89 +107,3 @@ def build_vectors(
     return catalog.select(key, unit_vector(F.col(vector), dims).alias("unit")).filter(
         F.col("unit").isNotNull()
     )
-
-
-@dataclass(frozen=True)
-class CellIndex:
-    """A catalog laid out in cells around pivot vectors, with the angular radius of every cell.
-
-    By the triangle inequality no vector of a cell is closer to the query than
-    ``angle(query, pivot) - radius``. A search first ranks the most promising cell, which gives a
-    score to beat, and then reads only the cells whose bound reaches it. Results are exact, however
-    uneven the cells are; the pivots only decide how many cells can be skipped.
-    """
-
-    rows: DataFrame
-    pivots: np.ndarray
-    radii: dict[int, float]
-    vector: str
-    key: str
-
-    @classmethod
-    def build(
-        cls,
-        catalog: DataFrame,
-        path: str,
-        vector: str = "description_embedding",
-        key: str = "_id",
-        pivots: int = PIVOTS,
-    ) -> CellIndex:
-        """Write the rows partitioned by cell, so that a search never opens a skipped cell."""
-        dims = catalog.filter(F.col(vector).isNotNull()).select(F.size(vector)).first()[0]
-        units = catalog.select(key, unit_vector(F.col(vector), dims).alias("unit"))
-        chosen = units.orderBy(F.isnull("unit"), F.xxhash64(key), key).limit(pivots).collect()
-        matrix = np.array([unit_query(r["unit"]) for r in chosen if r["unit"] is not None])
-        # Rows without a usable vector go to a cell of their own and are not read back.
-        celled = catalog.withColumn("cell", _nearest_pivot(F.col(vector), matrix))
-        celled.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
-        schema = celled.drop("cell").schema.add("cell", T.IntegerType())
-        stored = catalog.sparkSession.read.schema(schema).parquet(path).filter("cell >= 0")
-        return cls.over(stored, matrix, vector, key)
-
-    @classmethod
-    def over(cls, rows: DataFrame, pivots: np.ndarray, vector: str, key: str) -> CellIndex:
-        """Measure the radius of every cell: one row per cell comes back."""
-        to_pivot = _pivot_cosine(F.col(vector), F.col("cell"), pivots)
-        widest = rows.select("cell", to_pivot.alias("c")).groupBy("cell").agg(F.min("c").alias("c"))
-        radii = {r["cell"]: math.acos(max(-1.0, min(1.0, r["c"]))) for r in widest.collect()}
-        return cls(rows, pivots, radii, vector, key)
-
-    def bounds(self, query: Sequence[float]) -> dict[int, float]:
-        """Highest score any vector of each cell could have."""
-        angles = np.arccos(np.clip(self.pivots @ unit_query(query), -1, 1))
-        return {
-            cell: (1 + math.cos(max(0.0, angles[cell] - radius))) / 2 + _SLACK
-            for cell, radius in self.radii.items()
-        }
-
-    def search(self, query: Sequence[float], n: int, where: Column | None = None) -> DataFrame:
-        """Same rows as :func:`nearest` over the whole catalog."""
-        bounds = self.bounds(query)
-        best = lambda pool: nearest(pool, query, n, self.vector, where, self.key)
-        if not bounds:
-            return best(self.rows)
-        order = sorted(bounds, key=bounds.get, reverse=True)
-        probe = best(self.rows.filter(F.col("cell") == order[0])).select("score").collect()
-        to_beat = min(r["score"] for r in probe) if len(probe) == n else -math.inf
-        cells = [cell for cell in order if bounds[cell] >= to_beat]
-        return best(self.rows.filter(F.col("cell").isin(cells)))
-
-
-def _nearest_pivot(vector: Column, pivots: np.ndarray) -> Column:
-    @F.arrow_udf("int")
-    def assign(vectors: pa.Array) -> pa.Array:
-        units, usable = usable_matrix(vectors, pivots.shape[1])
-        cells = np.full(len(usable), -1, dtype=np.int32)
-        cells[usable] = (units @ pivots.T).argmax(axis=1)
-        return pa.array(cells)
-
-    return assign(vector)
-
-
-def _pivot_cosine(vector: Column, cell: Column, pivots: np.ndarray) -> Column:
-    @F.arrow_udf("double")
-    def measure(vectors: pa.Array, cells: pa.Array) -> pa.Array:
-        units, _ = usable_matrix(vectors, pivots.shape[1])
-        return pa.array(np.einsum("ij,ij->i", units, pivots[cells.to_numpy()]))
-
-    return measure(vector, cell)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any, Literal, Protocol
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from wareseek.functions.geometry import crop_center_square
@@ -95,7 +96,9 @@ class OfflineModels:
 
     ``add_assets`` adds the bytes ``img`` behind ``url``. ``load_image`` decodes and scales one
     picture (None: pictures go to the describer as they are). The ``make_*`` functions receive the
-    token budgets of their stages and return the model factory for :func:`infer`.
+    token budgets of their stages and return the model factory for :func:`infer`. ``profiles``
+    requests resources for the stages ``describe`` and ``classify``. With a ``name`` workers keep a
+    loaded model for later runs of the same name and budget, as for the batches of a stream.
     """
 
     add_assets: Callable[[DataFrame], DataFrame]
@@ -104,6 +107,13 @@ class OfflineModels:
     embed: Callable[[DataFrame, Sequence[str]], DataFrame] = hashed_embeddings
     load_image: Callable[[bytes, int], Any] | None = None
     batch_size: int = MODEL_BATCH_SIZE
+    profiles: Mapping[str, ResourceProfile] = field(default_factory=dict)
+    name: str | None = None
+
+    def stage(self, kind: str, budget: object) -> dict[str, Any]:
+        """What a model stage is run with: its resources, and the name it stays loaded under."""
+        named = None if self.name is None else f"{self.name} {kind} {budget!r}"
+        return {"profile": self.profiles.get(kind), "model_name": named}
 
 
 def pictured(raw: DataFrame, models: OfflineModels) -> DataFrame:
@@ -111,7 +121,10 @@ def pictured(raw: DataFrame, models: OfflineModels) -> DataFrame:
     rows = raw.withColumnRenamed("img", "images")
     rows = models.add_assets(rows.withColumn("url", primary_image(F.col("images"))))
     rows = rows.filter(has_asset())
-    return rows if models.load_image is None else crop_center_square(rows, models.load_image)
+    if models.load_image is None:
+        return rows
+    # A picture that cannot be decoded is a missing one.
+    return crop_center_square(rows, models.load_image).filter(F.col("img").isNotNull())
 
 
 def _input_rows(raw: DataFrame, key: str) -> DataFrame:
@@ -142,10 +155,21 @@ def enrich_offline(
     rows = pictured(_dealt_out(rows, partitions), models)
     prompted = rows.withColumn("description_prompt", DESCRIPTION_PROMPT.text())
     described = materialise(
-        describe(prompted, models.make_describer(budget), models.batch_size), "descriptions"
+        describe(
+            prompted,
+            models.make_describer(budget),
+            models.batch_size,
+            **models.stage("describe", budget),
+        ),
+        "descriptions",
     )
     budgets = budgets_of(described, list(FACETS))
-    labelled = classify(described, models.make_classifier(budgets), models.batch_size)
+    labelled = classify(
+        described,
+        models.make_classifier(budgets),
+        models.batch_size,
+        **models.stage("classify", budgets),
+    )
     return project_record(models.embed(labelled, ["name", "description"]), key, "images")
 
 
@@ -205,6 +229,8 @@ def enrich_online(
 
         def one(name: str, url: str) -> dict[str, Any]:
             made: dict[str, Any] = dict.fromkeys(outputs.fieldNames())
+            if name is None:  # nothing to ask about
+                return made
             made["name_embedding"] = ask["embed"](name)
             text = ask["describe"](REMOTE_DESCRIPTION_PROMPT.fill(name=name), url)
             if text is not None:
@@ -224,7 +250,8 @@ def enrich_online(
     answered = infer(rows, make_model, outputs, batch_size, drop=("url",))
     labels = label_columns({facet: F.col(f"{facet}_response") for facet in FACETS})
     records = project_record(answered.withColumns(labels), key)
-    return drop_incomplete(records) if require_complete else records
+    # The helper column that orders rows of one key is no part of a document.
+    return drop_incomplete(records, ENRICHED_CATALOG.fieldNames()) if require_complete else records
 
 
 def null_propagation(df: DataFrame, dependents: Sequence[str], on: str = "description") -> DataFrame:
@@ -240,12 +267,12 @@ def load(
 ) -> DataFrame:
     """Write records to the table and return its rows.
 
-    A first run empties the table and inserts; keys must be unique. An update upserts, and of rows
-    that share a key the last in ``order`` wins.
+    A first run replaces what the table holds; keys must be unique, and a run that is refused for
+    them leaves the table as it was. An update upserts, and of rows that share a key the last in
+    ``order`` wins.
     """
     if mode == "first_run":
-        table.reset()
-        table.insert(records.drop(*[c for c in order if c not in table.schema.fieldNames()]))
+        table.replace(records.drop(*[c for c in order if c not in table.schema.fieldNames()]))
     elif mode == "update":
         present = [c for c in order if c in records.columns]
         table.upsert(records, present or None)

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from wareseek.functions.text import WHITESPACE, primary_image
-from wareseek.operators.filters import REQUEST_COLUMNS, Conditions
+from wareseek.operators.batch import own_conditions, refuse_repeated
+from wareseek.operators.filters import Conditions
 from wareseek.operators.lexical import LexicalIndex, best_matches, score_names
 from wareseek.operators.ranking import (
     fuse,
@@ -19,10 +20,12 @@ from wareseek.operators.ranking import (
 )
 from wareseek.operators.vector import nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
-from wareseek.storage import materialise
+from wareseek.storage import is_small, materialise
 
 EMBEDDING_COLUMNS = ("name", "description")
 SEARCH_TYPES = frozenset({"vector", "lexical"})
+# Matches of one text that are broadcast to the catalog; more are joined by a shuffle.
+MAX_BROADCAST_HITS = 100_000
 
 
 @dataclass(frozen=True)
@@ -64,28 +67,48 @@ def browse(catalog: DataFrame, conditions: Conditions, n: int = DEFAULT_RESULTS)
 
 
 def lexical_search(
-    catalog: DataFrame, text: str, conditions: Conditions, n: int = DEFAULT_RESULTS
+    catalog: DataFrame,
+    text: str,
+    conditions: Conditions,
+    n: int = DEFAULT_RESULTS,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Best matching names among the products that satisfy the conditions.
 
-    The conditions filter rows; relevance statistics still cover the whole catalog.
+    The conditions filter rows; relevance statistics still cover the whole catalog. With a stored
+    index the statistics and matches come from the folders of the text's terms, and only the
+    matches are looked up in the catalog; without one, the names are scanned twice.
     """
-    hits = score_names(catalog, text).filter(conditions.lenient())
+    if index is None:
+        hits = score_names(catalog, text).filter(conditions.lenient())
+    else:
+        found = index.search(text)
+        found = F.broadcast(found) if is_small(found, MAX_BROADCAST_HITS) else found
+        hits = catalog.filter(conditions.lenient()).join(found, index.key)
     return top_n(hits.select("_id", "img", "name", "score"), n)
 
 
 def legacy_search(
-    catalog: DataFrame, text: str | None, conditions: Conditions, n: int = DEFAULT_RESULTS
+    catalog: DataFrame,
+    text: str | None,
+    conditions: Conditions,
+    n: int = DEFAULT_RESULTS,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Text search when there is text, otherwise browsing; facets play no part."""
     plain = Conditions(conditions.min_price, conditions.max_price, conditions.min_rating)
     request = SearchRequest(text, plain, n)
     if request.blank:
         return format_results(browse(catalog, plain, n), score="rating")
-    return format_results(lexical_search(catalog, text, plain, n))
+    return format_results(lexical_search(catalog, text, plain, n, index))
 
 
-def hybrid_search(catalog: DataFrame, request: SearchRequest, embedding: Sequence[float]) -> DataFrame:
+def hybrid_search(
+    catalog: DataFrame,
+    request: SearchRequest,
+    embedding: Sequence[float],
+    index: LexicalIndex | None = None,
+) -> DataFrame:
     """Vector hits and text hits, each turned into reciprocal rank scores and added up by name."""
     near = vector_search(
         catalog,
@@ -96,19 +119,22 @@ def hybrid_search(catalog: DataFrame, request: SearchRequest, embedding: Sequenc
         request.threshold,
     )
     near = with_rank(near).withColumn("vs_score", rank_score(request.vector_penalty))
-    text = lexical_search(catalog, request.text, request.conditions, request.n)
+    text = lexical_search(catalog, request.text, request.conditions, request.n, index)
     text = with_rank(text).withColumn("fts_score", rank_score(request.text_penalty))
     return fuse(union_ranked(near.drop("score"), text.drop("score")), request.n)
 
 
 def ai_search(
-    catalog: DataFrame, request: SearchRequest, embed: Callable[[str], Sequence[float]]
+    catalog: DataFrame,
+    request: SearchRequest,
+    embed: Callable[[str], Sequence[float]],
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Dispatch on the request and return ``(rank, image, name)``."""
     if request.blank:
         return format_results(browse(catalog, request.conditions, request.n), score="rating")
     if request.types == SEARCH_TYPES:
-        hits = hybrid_search(catalog, request, embed(request.text))
+        hits = hybrid_search(catalog, request, embed(request.text), index)
         return format_results(hits, tie="name")
     if request.types == {"vector"}:
         hits = vector_search(
@@ -121,7 +147,8 @@ def ai_search(
         )
         return format_results(hits)
     if request.types == {"lexical"}:
-        return format_results(lexical_search(catalog, request.text, request.conditions, request.n))
+        hits = lexical_search(catalog, request.text, request.conditions, request.n, index)
+        return format_results(hits)
     raise ValueError(f"search types must be taken from {sorted(SEARCH_TYPES)}")
 
 
@@ -161,10 +188,11 @@ def batch_hybrid_search(
     """
     # Every step below reads the queries; whatever produced them should run once.
     queries = materialise(queries, "queries")
-    own_conditions = set(REQUEST_COLUMNS) <= set(queries.columns)
+    refuse_repeated(queries)
+    conditions_stated = bool(own_conditions(queries))
     own_n = "n" in queries.columns
     n = (queries.agg(F.max("n")).first()[0] or 1) if own_n else request.n
-    shared = None if own_conditions else request.conditions
+    shared = None if conditions_stated else request.conditions
     near = nearest_per_query(
         catalog, queries, n, request.vector_column, shared.strict() if shared else None
     )

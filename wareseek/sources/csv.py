@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from wareseek.schemas import NULL_TOKENS, RAW_CATALOG
 
-# No cell contains this, so the reader leaves every text as it is, empty text included.
-_NO_TEXT_IS_NULL = ""
+_READING = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "",
+    "emptyValue": "",
+    "enforceSchema": False,
+    "mode": "FAILFAST",
+}
 
 
 def read_catalog_csv(
@@ -26,24 +33,28 @@ def read_catalog_csv(
     so that large files are split. ``partitions`` spreads the rows for the stages that follow and
     never changes how many there are; ``limit`` does.
     """
-    text = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
-    types = {f.name: f.dataType for f in schema}
-    df = text.select(*[_typed(c, types.get(c, T.StringType())).alias(c) for c in text.columns])
+    df = _typed_rows(spark.read.options(**_READING, multiLine=multiline).csv(path), schema)
     if limit is not None:
         df = df.limit(limit)
     return df if partitions is None else df.repartition(partitions)
 
 
+def stream_catalog_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = RAW_CATALOG,
+    multiline: bool = True,
+    files_per_batch: int = 1_000,
+) -> DataFrame:
+    """A stream of the rows of CSV files as they arrive, typed as by :func:`read_catalog_csv`.
+
+    A stream's columns must be known beforehand, so headers have to match ``schema``.
+    """
+    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    reader = spark.readStream.schema(strings).options(**_READING, multiLine=multiline)
+    return _typed_rows(reader.option("maxFilesPerTrigger", files_per_batch).csv(path), schema)
+
+
 def write_catalog_csv(df: DataFrame, path: str) -> None:
     """CSV files that :func:`read_catalog_csv` reads back unchanged."""
     (
@@ -59,6 +70,11 @@ def write_catalog_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def _typed_rows(text: DataFrame, schema: T.StructType) -> DataFrame:
+    types = {f.name: f.dataType for f in schema}
+    return text.select(*[_typed(c, types.get(c, T.StringType())).alias(c) for c in text.columns])
+
+
 def _typed(name: str, kind: T.DataType) -> Column:
     text = F.col(f"`{name}`")
     if isinstance(kind, T.StringType):

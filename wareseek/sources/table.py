@@ -112,15 +112,25 @@ class CatalogTable:
             _BUCKET
         ).parquet(self.path)
 
-    def _write(self, df: DataFrame, mode: str) -> None:
+    def _write(
+        self, df: DataFrame, mode: str, rebalance: bool = True, overwrites: str = "dynamic"
+    ) -> None:
         (
-            df.hint("rebalance", _BUCKET)
+            (df.hint("rebalance", _BUCKET) if rebalance else df)
             .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
+            .option("partitionOverwriteMode", overwrites)
             .partitionBy(_BUCKET)
             .parquet(self.path)
         )
 
+    def replace(self, df: DataFrame) -> None:
+        """Put new rows in place of all stored ones; a repeated or missing key changes nothing."""
+        staged = materialise(self._bucketed(self._conform(df)), "replacement")
+        taken = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
+        if taken:
+            raise DuplicateKeyError(f"keys missing or repeated: {[r[0] for r in taken]}")
+        self._write(staged, "overwrite", overwrites="static")
+
     def insert(self, df: DataFrame) -> None:
         """Append new rows; a key that is repeated, missing or already stored is an error."""
         staged = materialise(self._bucketed(self._conform(df)), "insert")
@@ -145,16 +155,13 @@ class CatalogTable:
         repeated = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
         if repeated:
             raise DuplicateKeyError(f"keys missing or repeated: {[r[0] for r in repeated]}")
-        merged = merge_updates(
-            self._touched_by(staged),
-            staged,
-            self.key,
-            broadcast=is_small(staged, MAX_BROADCAST_UPDATES),
-        )
+        small = is_small(staged, MAX_BROADCAST_UPDATES)
+        merged = merge_updates(self._touched_by(staged), staged, self.key, broadcast=small)
         # A dynamic overwrite stages the new buckets and swaps them in when the job commits, so the
         # old ones can be read, and re-read after a lost executor, until then. Applying the same
         # updates again gives the same table.
-        self._write(merged, "overwrite")
+        # A small update leaves stored rows where they were read, so they are not shuffled.
+        self._write(merged, "overwrite", rebalance=not small)
 
 
 def write_batches(
@@ -178,5 +185,6 @@ def write_batches(
                 written += len(documents)
         yield pd.DataFrame({"written": [written]})
 
-    counts = df.coalesce(concurrency).mapInPandas(run, "written long")
+    # An exchange, not a coalesce: the work before it keeps its own number of tasks.
+    counts = df.repartition(concurrency).mapInPandas(run, "written long")
     return counts.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]

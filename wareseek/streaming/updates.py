@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Literal
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from wareseek.operators.ranking import keep_last
 from wareseek.plans.enrich import load
 from wareseek.schemas import RAW_CATALOG
+from wareseek.sources.csv import stream_catalog_csv
 from wareseek.sources.table import CatalogTable
 
 
@@ -20,19 +23,25 @@ def start_updates(
     checkpoint: str,
     schema: T.StructType = RAW_CATALOG,
     files_per_batch: int = 1_000,
+    file_format: Literal["parquet", "csv"] = "parquet",
+    key: str = "name",
     **trigger: object,
 ) -> StreamingQuery:
-    """Watch a folder of raw Parquet files; each micro-batch is one batch update of the table.
+    """Watch a folder of raw Parquet or CSV files; each micro-batch updates the table.
 
-    A batch that is repeated after a failure changes nothing, because updates go by key. Without
+    Of several raw rows for one ``key`` only the last by ``id`` is enriched, so no model runs for a
+    row that would be overwritten at once. A batch that is repeated after a failure changes nothing, because updates go by key. Without
     a trigger, everything present is processed and the query ends.
     """
-    arrivals = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    )
+    if file_format == "csv":
+        arrivals = stream_catalog_csv(spark, source, schema, files_per_batch=files_per_batch)
+    else:
+        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        arrivals = reader.parquet(source)
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        load(table, enrich(batch), "update")
+        latest = keep_last(batch, [key], ["id"]) if "id" in batch.columns else batch
+        load(table, enrich(latest), "update")
 
     return (
         arrivals.writeStream.foreachBatch(apply)
