@@ -19,8 +19,10 @@ arrays of a batch. All randomness is a hash of the row's key, the path's number
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wareseek.llm.substring_dedup import _mixed
 from wareseek.llm.token_counts import _SEGMENT, SPACE_MARK
 
-_CHARS_IN_BATCH = 3 << 19
+_CHARS_IN_BATCH = 1 << 20
 _COMMON = 160
 _LONGEST = 16
+_SHORT = 8
 _UNIT = float(1 << 32)
 _NONE = np.float64(-np.inf)
 
@@ -58,7 +61,7 @@ class Vocabulary:
             self.bytes[i] = names[i].replace(SPACE_MARK, " ").encode()
         ranks = np.arange(1, len(plain) + 1)
         total = np.log((1.0 / ranks).sum())
-        self.score = np.full(size, _NONE)
+        self.score = np.full(size + 1, -np.inf, dtype=np.float32)
         self.score[plain] = power * (-np.log(ranks) - total)
         #: Of one byte of a character outside the vocabulary.
         self.byte_score = power * (-np.log(size) - total)
@@ -128,15 +131,19 @@ class Lattices:
         left = np.repeat(stops, sizes) - np.arange(n)
         # pieces[p, l - 1] is the piece of length l at p; characters without a piece become bytes.
         self.pieces = np.full((n, _LONGEST), -1, dtype=np.int32)
+        # Long pieces fit at few places, so most rows below are half as wide.
+        wide = np.zeros(n, dtype=bool)
         active, nodes = np.arange(n), np.zeros(n, dtype=np.int32)
         for length in range(1, _LONGEST + 1):
             nodes = v.follow(nodes, chars[active + length - 1])
             alive = nodes > 0
             active, nodes = active[alive], nodes[alive]
-            self.pieces[active, length - 1] = v.piece_at[nodes]
+            self.pieces[active, length - 1] = ends = v.piece_at[nodes]
+            if length > _SHORT:
+                wide[active[ends >= 0]] = True
             more = left[active] > length
             active, nodes = active[more], nodes[more]
-        score = np.where(self.pieces >= 0, v.score[self.pieces], _NONE)
+        score = v.score[self.pieces]  # the number -1 finds the last entry, which is no piece
         strange = np.flatnonzero(self.pieces[:, 0] < 0)
         if len(strange):
             codes = chars[strange]
@@ -152,26 +159,31 @@ class Lattices:
         ordered_stops = stops[by_size]
         descending = -sizes[by_size]
         last = len(beta) - 1
-        ahead = np.arange(1, _LONGEST + 1)
-        share = np.empty((n, _LONGEST), dtype=np.float32)
+        share = np.zeros((n, _LONGEST), dtype=np.float32)
         for distance in range(1, int(sizes.max(initial=0)) + 1):
-            at = ordered_stops[: np.searchsorted(descending, -distance, side="right")] - distance
-            reach = score[at] + beta[np.minimum(slot[at][:, None] + ahead, last)]
-            top = reach.max(1)
-            weight = np.exp((reach - top[:, None]).astype(np.float32))
-            total = weight.sum(1, dtype=np.float64)
-            beta[slot[at]] = top + np.log(total)
-            share[at] = weight / total[:, None]
+            places = ordered_stops[: np.searchsorted(descending, -distance, side="right")] - distance
+            is_wide = wide[places]
+            for at, width in ((places[~is_wide], _SHORT), (places[is_wide], _LONGEST)):
+                if not len(at):
+                    continue
+                ahead = np.arange(1, width + 1)
+                reach = score[at, :width] + beta[np.minimum(slot[at][:, None] + ahead, last)]
+                top = reach.max(1)
+                weight = np.exp((reach - top[:, None]).astype(np.float32))
+                total = weight.sum(1)
+                beta[slot[at]] = top + np.log(total)
+                share[at, :width] = weight / total[:, None]
         self.share = share
         self.upto = np.cumsum(share, axis=1)
         self.upto[:, -1] = 2.0  # the last fitting piece takes what rounding leaves over
-        best = share > 0
-        self.last_fit = _LONGEST - 1 - best[:, ::-1].argmax(1)
 
     def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Index of a drawn edge of each node."""
-        chosen = (self.upto[nodes] <= uniform[:, None].astype(np.float32)).sum(1)
-        return np.minimum(chosen, self.last_fit[nodes])
+        chosen = np.count_nonzero(self.upto[nodes] <= uniform[:, None].astype(np.float32), axis=1)
+        beyond = np.flatnonzero(self.share[nodes, chosen] == 0)
+        if len(beyond):
+            chosen[beyond] = _LONGEST - 1 - (self.share[nodes[beyond], ::-1] > 0).argmax(1)
+        return chosen
 
 
 def _uniform(keys: np.ndarray, number: int, place: np.ndarray) -> np.ndarray:
@@ -211,11 +223,11 @@ class Batch:
     """The search over one batch of texts, all documents side by side."""
 
     def __init__(self, texts: list[str], keys: np.ndarray, v: Vocabulary):
-        known: dict[str, int] = {}
+        known: dict[str, int] = defaultdict(count().__next__)
         ids, counts = [], []
         for text in texts:
             found = _SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
-            ids += [known.setdefault(s, len(known)) for s in found]
+            ids += map(known.__getitem__, found)
             counts.append(len(found))
         self.keys = keys
         self.docs = len(texts)
@@ -283,14 +295,17 @@ class Batch:
         doc = np.repeat(np.arange(self.docs), sizes)
         lat = self.lattices
         # What a node's other edges weigh, summed without the path's own, so small rests stay exact.
-        rest = lat.share[paths.node]
-        rest[np.arange(len(doc)), paths.edge] = 0
+        rest = 1.0 - lat.share[paths.node, paths.edge].astype(np.float64)
+        small = np.flatnonzero(rest < 0.1)
+        others = lat.share[paths.node[small]]
+        others[np.arange(len(small)), paths.edge[small]] = 0
+        rest[small] = others.sum(1, dtype=np.float64)
         branch = np.flatnonzero((since < sizes) & (taken > 0))
         at = paths.offset[branch] + since[branch]
         used = (taken[branch][:, None] >> np.arange(_LONGEST)) & 1
-        rest[at] *= used == 0
+        rest[at] = (lat.share[paths.node[at]] * (used == 0)).sum(1, dtype=np.float64)
         with np.errstate(divide="ignore"):
-            location = paths.mass + np.log(rest.sum(1, dtype=np.float64))
+            location = paths.mass + np.log(rest)
         location[np.arange(len(doc)) - paths.offset[doc] < since[doc]] = _NONE
         token = np.arange(len(doc)) - paths.offset[doc]
         return _below(location, bound[doc], _uniform(self.keys[doc], 1000 + number, token))
@@ -504,7 +519,7 @@ def sample_pieces(
 
 def decoded(ids: list[int], v: Vocabulary) -> str:
     """The text that pieces stand for. A space mark in the text comes back as a space."""
-    joined = b"".join([v.bytes[i] for i in ids]).decode("utf-8", "replace")
+    joined = b"".join(map(v.bytes.__getitem__, ids)).decode("utf-8", "replace")
     return joined[1:] if joined.startswith(" ") else joined
 
 
