@@ -120,71 +120,97 @@ def _load(model_file: str, power: float) -> Vocabulary:
 
 
 class Lattices:
-    """The lattices of distinct segments, one after the other; nodes are places in their text."""
+    """The lattices of distinct segments; a node is a place in a segment.
+
+    Nodes are numbered by their distance from the segment's end, and within a distance by the
+    segments' sizes, the longest first. Then the nodes that lie so many characters further on, in
+    the same segments, are again the first ones of their distance, and log-sums need no lookups.
+    """
 
     def __init__(self, segments: list[str], v: Vocabulary):
         chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
         stops = np.cumsum(sizes)
-        self.start, self.size = stops - sizes, sizes
-        n = len(chars)
+        n, longest = len(chars), int(sizes.max(initial=0))
         left = np.repeat(stops, sizes) - np.arange(n)
-        # pieces[p, l - 1] is the piece of length l at p; characters without a piece become bytes.
-        self.pieces = np.full((n, _LONGEST), -1, dtype=np.int32)
-        # Long pieces fit at few places, so most rows below are half as wide.
+        by_size = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(segments), dtype=np.int64)
+        rank[by_size] = np.arange(len(segments))
+        # Nodes of each distance, and where their numbers begin; none has distance 0.
+        counts = np.searchsorted(-sizes[by_size], -np.arange(longest + 1), side="right")
+        self.base = np.concatenate([[0, 0], np.cumsum(counts[1:])])
+        node_of = self.base[left] + np.repeat(rank, sizes)
+        self.distance = np.repeat(np.arange(1, longest + 1), counts[1:])
+        self.size = sizes
+        self.start = self.base[sizes] + rank
+        # pieces[l - 1, node] is the piece of length l there; characters without one become bytes.
+        self.pieces = np.full((_LONGEST, n), -1, dtype=np.int32)
+        # Long pieces fit at few places, so most nodes need half of the lengths.
         wide = np.zeros(n, dtype=bool)
         active, nodes = np.arange(n), np.zeros(n, dtype=np.int32)
         for length in range(1, _LONGEST + 1):
             nodes = v.follow(nodes, chars[active + length - 1])
             alive = nodes > 0
             active, nodes = active[alive], nodes[alive]
-            self.pieces[active, length - 1] = ends = v.piece_at[nodes]
+            ends = v.piece_at[nodes]
+            self.pieces[length - 1, node_of[active]] = ends
             if length > _SHORT:
-                wide[active[ends >= 0]] = True
+                wide[node_of[active[ends >= 0]]] = True
             more = left[active] > length
             active, nodes = active[more], nodes[more]
         score = v.score[self.pieces]  # the number -1 finds the last entry, which is no piece
-        strange = np.flatnonzero(self.pieces[:, 0] < 0)
+        codes = np.empty(n, dtype=np.int64)
+        codes[node_of] = chars
+        strange = np.flatnonzero(self.pieces[0] < 0)
         if len(strange):
-            codes = chars[strange]
+            codes = codes[strange]
             width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-            score[strange, 0] = width * v.byte_score
+            score[0, strange] = width * v.byte_score
             # Bytes of one-byte characters are ids already; others are told by their negative code.
-            self.pieces[strange, 0] = np.where(width == 1, v.byte_ids[np.minimum(codes, 255)], -2 - codes)
-        # Log-sums of all paths from a place to its segment's end, from the end backwards. A
-        # segment's end has a slot of its own, hence the shift by the segment's number.
-        slot = np.arange(n) + np.repeat(np.arange(len(segments)), sizes)
-        beta = np.zeros(n + len(segments))
-        by_size = np.argsort(-sizes, kind="stable")
-        ordered_stops = stops[by_size]
-        descending = -sizes[by_size]
-        last = len(beta) - 1
-        share = np.zeros((n, _LONGEST), dtype=np.float32)
-        for distance in range(1, int(sizes.max(initial=0)) + 1):
-            places = ordered_stops[: np.searchsorted(descending, -distance, side="right")] - distance
-            is_wide = wide[places]
-            for at, width in ((places[~is_wide], _SHORT), (places[is_wide], _LONGEST)):
-                if not len(at):
-                    continue
-                ahead = np.arange(1, width + 1)
-                reach = score[at, :width] + beta[np.minimum(slot[at][:, None] + ahead, last)]
-                top = reach.max(1)
-                weight = np.exp((reach - top[:, None]).astype(np.float32))
-                total = weight.sum(1)
-                beta[slot[at]] = top + np.log(total)
-                share[at, :width] = weight / total[:, None]
-        self.share = share
-        self.upto = np.cumsum(share, axis=1)
-        self.upto[:, -1] = 2.0  # the last fitting piece takes what rounding leaves over
+            self.pieces[0, strange] = np.where(width == 1, v.byte_ids[np.minimum(codes, 255)], -2 - codes)
+        # Log-sums of all paths from a node to its segment's end, from the end backwards, and from
+        # them each edge's share of its node.
+        sums = [np.zeros(len(segments))]
+        self.share = share = np.zeros((_LONGEST, n), dtype=np.float32)
+        wide_nodes = np.flatnonzero(wide)
+        wide_from = np.searchsorted(wide_nodes, self.base[1:])
+        for distance in range(1, longest + 1):
+            lo, hi = self.base[distance], self.base[distance + 1]
+            lengths = range(1, min(distance, _SHORT) + 1)
+            reach = np.stack([score[i - 1, lo:hi] + sums[distance - i][: hi - lo] for i in lengths])
+            total, share[: len(lengths), lo:hi] = _normal(reach)
+            some = wide_nodes[wide_from[distance - 1] : wide_from[distance]]
+            if len(some):
+                lengths = range(1, min(distance, _LONGEST) + 1)
+                reach = np.stack([score[i - 1, some] + sums[distance - i][some - lo] for i in lengths])
+                total[some - lo], share[: len(lengths), some] = _normal(reach)
+            sums.append(total)
+        upto = np.cumsum(share, axis=0)
+        upto[-1] = 2.0  # the last fitting piece takes what rounding leaves over
+        self.upto = np.ascontiguousarray(upto.T)
 
     def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Index of a drawn edge of each node."""
         chosen = np.count_nonzero(self.upto[nodes] <= uniform[:, None].astype(np.float32), axis=1)
-        beyond = np.flatnonzero(self.share[nodes, chosen] == 0)
+        beyond = np.flatnonzero(self.share[chosen, nodes] == 0)
         if len(beyond):
-            chosen[beyond] = _LONGEST - 1 - (self.share[nodes[beyond], ::-1] > 0).argmax(1)
+            chosen[beyond] = _LONGEST - 1 - (self.share[::-1, nodes[beyond]] > 0).argmax(0)
         return chosen
 
+    def after(self, nodes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes at the ends of edges, and whether those are not yet their segments' ends."""
+        here = self.distance[nodes]
+        there = here - edges - 1
+        return self.base[there] + nodes - self.base[here], there > 0
+
+
+def _normal(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-sums over the first axis, and each entry's share of its sum."""
+    top = reach.max(0)
+    weight = np.exp((reach - top).astype(np.float32))
+    total = weight.sum(0)
+    return top + np.log(total), weight / total
+
 
 def _uniform(keys: np.ndarray, number: int, place: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 that depend on the row, the path and the place alone."""
@@ -246,15 +272,14 @@ class Batch:
     def _walk(self, place: np.ndarray, node: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
         """Draws the rest of each given segment occurrence, from a node on. Tokens come in order."""
         lat = self.lattices
-        stop = lat.start[self.segment[place]] + lat.size[self.segment[place]]
         which = np.arange(len(place))
         steps = []
         while len(which):
-            at = self.begin[place[which]] + node - lat.start[self.segment[place[which]]]
-            edge = lat.draw(node, _uniform(self.keys[self.doc[place[which]]], number, at))
+            where = place[which]
+            at = self.begin[where] + lat.size[self.segment[where]] - lat.distance[node]
+            edge = lat.draw(node, _uniform(self.keys[self.doc[where]], number, at))
             steps.append((which, node, edge))
-            node = node + edge + 1
-            more = node < stop[which]
+            node, more = lat.after(node, edge)
             which, node = which[more], node[more]
         if not steps:
             empty = np.empty(0, dtype=np.int64)
@@ -274,7 +299,7 @@ class Batch:
         every batch.
         """
         with np.errstate(divide="ignore"):
-            step = np.log(self.lattices.share[node, edge].astype(np.float64)) if len(node) else np.empty(0)
+            step = np.log(self.lattices.share[edge, node].astype(np.float64)) if len(node) else np.empty(0)
         offset = np.concatenate([[0], np.cumsum(docs)])
         whole = np.concatenate([[0], np.cumsum(np.rint(step * _UNIT).astype(np.int64))])
         before = np.repeat(whole[offset[:-1]], docs)
@@ -295,15 +320,15 @@ class Batch:
         doc = np.repeat(np.arange(self.docs), sizes)
         lat = self.lattices
         # What a node's other edges weigh, summed without the path's own, so small rests stay exact.
-        rest = 1.0 - lat.share[paths.node, paths.edge].astype(np.float64)
+        rest = 1.0 - lat.share[paths.edge, paths.node].astype(np.float64)
         small = np.flatnonzero(rest < 0.1)
-        others = lat.share[paths.node[small]]
-        others[np.arange(len(small)), paths.edge[small]] = 0
-        rest[small] = others.sum(1, dtype=np.float64)
+        others = lat.share[:, paths.node[small]]
+        others[paths.edge[small], np.arange(len(small))] = 0
+        rest[small] = others.sum(0, dtype=np.float64)
         branch = np.flatnonzero((since < sizes) & (taken > 0))
         at = paths.offset[branch] + since[branch]
         used = (taken[branch][:, None] >> np.arange(_LONGEST)) & 1
-        rest[at] = (lat.share[paths.node[at]] * (used == 0)).sum(1, dtype=np.float64)
+        rest[at] = (lat.share[:, paths.node[at]].T * (used == 0)).sum(1, dtype=np.float64)
         with np.errstate(divide="ignore"):
             location = paths.mass + np.log(rest)
         location[np.arange(len(doc)) - paths.offset[doc] < since[doc]] = _NONE
@@ -325,9 +350,8 @@ class Batch:
             kept_edge += [old.edge[rows], edge[mine]]
             kept_doc += [np.repeat(mine, token[mine]), mine]
             # The rest of the segment after the new edge, and all segments behind it.
-            where, now = old.place[at], old.node[at] + edge[mine] + 1
-            stop = self.lattices.start[self.segment[where]] + self.lattices.size[self.segment[where]]
-            unfinished = now < stop
+            where = old.place[at]
+            now, unfinished = self.lattices.after(old.node[at], edge[mine])
             behind = self.first[mine] + self.segments_of[mine] - where - 1
             rest = _ranges(where + 1, behind)
             starts += [where[unfinished], rest]
@@ -371,7 +395,7 @@ class Batch:
             mine = np.flatnonzero(alive)
             if len(mine):
                 open_ = ((used[mine][:, None] >> np.arange(_LONGEST)) & 1) == 0
-                share = self.lattices.share[node[mine]].astype(np.float64) * open_
+                share = self.lattices.share[:, node[mine]].T.astype(np.float64) * open_
                 upto = np.cumsum(share, axis=1)
                 u = _uniform(self.keys[mine], 2000 + number, at[mine]) * upto[:, -1]
                 edge[mine] = np.minimum((upto <= u[:, None]).sum(1), _LONGEST - 1 - (share > 0)[:, ::-1].argmax(1))
@@ -412,7 +436,7 @@ class Batch:
 
     def ids(self, paths: Paths, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all tokens and the number of each document; strange characters as bytes."""
-        made = self.lattices.pieces[paths.node, paths.edge] if len(paths.node) else np.empty(0, dtype=np.int32)
+        made = self.lattices.pieces[paths.edge, paths.node] if len(paths.node) else np.empty(0, dtype=np.int32)
         sizes = np.diff(paths.offset)
         if not (made < 0).any():
             return made, sizes
