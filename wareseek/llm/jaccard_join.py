@@ -1,9 +1,10 @@
 """Documents whose sets of word n-grams are similar, joined over prefix trees.
 
-Sets are ordered by one global order, rare n-grams first, so two similar sets must share one of
-their first members: a set of n members with similarity t to another has that member among its
-first ``n - ceil(t n) + 1``. Sets that share such a member and are of fitting sizes fall into one
-cluster, a coarse one that holds every possible link. Inside a cluster the ordered sets are kept
+Sets are ordered by one global order, rare n-grams first. Two sets of similarity t then share m
+members or more among each one's first ``n - ceil(t n) + m``. With m at a twentieth of the set,
+counting tells most sets that merely share a passage apart from similar ones. The rest, where they
+share one of those members and are of fitting sizes, fall into one cluster, a coarse one that
+holds every possible link. Inside a cluster the ordered sets are kept
 in a trie with joined paths, and each set is traversed against it: sets with a common beginning
 share the overlap counted so far, and a subtree is left as soon as what remains on both sides
 cannot reach the overlap that its sizes ask for. Where a subtree already belongs to the
