@@ -445,16 +445,6 @@ def _(spark, sf):
     return drop_incomplete(products(spark, sf).select("_id", "name", "rating", "season", "color"))
 
 
-@query(
-    "null_propagation",
-    f"""WITH {PRODUCTS_SQL} SELECT _id, name, rating, CASE WHEN rating IS NOT NULL THEN category END AS category,
-    CASE WHEN rating IS NOT NULL THEN season END AS season FROM products""",
-)
-def _(spark, sf):
-    rows = products(spark, sf).select("_id", "name", "rating", "category", "season")
-    return enrich.null_propagation(rows, ["category", "season"], on="rating")
-
-
 @query("sink_batches", f"WITH {PRODUCTS_SQL} SELECT _id, name, price FROM products")
 def _(spark, sf):
     """Documents sent in batches to a store, here files in the shared folder, and read back."""
@@ -652,6 +642,31 @@ def _(spark, sf):
     ).drop("name_embedding", "description_embedding")
 
 
+@query(
+    "null_propagation",
+    f"""WITH {raw_sql('raw0')}, raw AS (SELECT * REPLACE (CASE WHEN id % 11 <> 0 THEN name END AS name) FROM raw0),
+    {_ONLINE.format(raw='raw')}
+    SELECT name AS _id, CASE WHEN name IS NOT NULL THEN description END AS description,
+           CASE WHEN length(name) % 2 = 1 AND description IS NOT NULL THEN 'Footwear' END AS category,
+           CASE WHEN description IS NOT NULL THEN CASE length(name) % 4 WHEN 0 THEN 'Summer' WHEN 1 THEN 'Winter'
+             WHEN 2 THEN 'Spring' WHEN 3 THEN 'Fall' END END AS season,
+           CASE WHEN description IS NOT NULL AND name IS NOT NULL THEN {label_sql("concat('the color is ', name)", COLORS)} END AS color,
+           CAST(length(name) AS DOUBLE) AS name_size,
+           CASE WHEN name IS NOT NULL THEN CAST(length(description) AS DOUBLE) END AS text_size FROM answered""",
+)
+def _(spark, sf):
+    """What depends on a missing description or name is missing too, and the rows stay. Some have no id."""
+    raw = raw_products(spark, sf)
+    raw = raw.withColumn("name", F.when(F.col("id") % 11 != 0, F.col("name")))
+    raw = raw.withColumn("id", F.when(F.col("id") % 7 != 0, F.col("id")))
+    records = online(raw, require_complete=False, partitions=spark.sparkContext.defaultParallelism)
+    size = lambda c: F.element_at(c, 1).cast("double")
+    return records.select(
+        "_id", "description", "category", "season", "color",
+        size("name_embedding").alias("name_size"), size("description_embedding").alias("text_size"),
+    )
+
+
 @query(
     "embed_columns",
     f"""WITH {DESCRIBED_SQL} SELECT _id, CAST(length(name) AS FLOAT) AS name_size,

@@ -254,11 +254,6 @@ def enrich_online(
     return drop_incomplete(records, ENRICHED_CATALOG.fieldNames()) if require_complete else records
 
 
-def null_propagation(df: DataFrame, dependents: Sequence[str], on: str = "description") -> DataFrame:
-    """Clear the columns derived from a value that is missing."""
-    return df.withColumns({c: F.when(F.col(on).isNotNull(), F.col(c)) for c in dependents})
-
-
 def load(
     table: CatalogTable,
     records: DataFrame,
