@@ -13,7 +13,7 @@ from wareseek.operators.inference import infer
 from wareseek.operators.lexical import LexicalIndex
 from wareseek.operators.vector import nearest_per_query
 from wareseek.plans.enrich import OfflineModels, enrich_online, load
-from wareseek.plans.search import SearchRequest, ai_search, hybrid_search, legacy_search, lexical_search
+from wareseek.plans.search import SearchRequest, ai_search, batch_ai_search, hybrid_search, legacy_search, lexical_search
 from wareseek.sources.assets import fetch_assets
 from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
 from wareseek.sources.table import CatalogTable, DuplicateKeyError, write_batches
@@ -166,3 +166,35 @@ def test_stream_of_csv_files(spark, tmp_path):
     ).awaitTermination()
     assert seen == [2] and sorted(r["_id"] for r in store.read().collect()) == ["a", "b"]
     assert rows_of(read_catalog_csv(spark, source, given.schema)) == rows_of(given.fillna(""))
+
+
+def test_table_of_requests_is_dispatched_as_single_ones(spark, catalog):  # noqa: F811
+    vector_of = [0.5, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, 1.0]
+    stated = [
+        ("red hat", ["Lexical", "vector"], Conditions(0, 1000, 0, ["Tops"], ["Red"], ["Summer"])),
+        ("red hat", None, EVERYTHING),
+        ("long dress", ["lexical"], EVERYTHING),
+        ("red hat", ["vector"], Conditions(10, 60, 1.0, ["Tops", "Bottoms"], ["Red"], ["Winter"])),
+        ("  ", ["vector"], Conditions(10, 60, 1.0, ["Tops"], [], [])),
+        (None, None, EVERYTHING),
+    ]
+    rows = [
+        (i, text, vector_of, types, 3 + i, float(c.min_price), float(c.max_price), float(c.min_rating), c.categories, c.colors, c.seasons)
+        for i, (text, types, c) in enumerate(stated)
+    ]
+    requests = spark.createDataFrame(
+        rows,
+        "query_id long, text string, vector array<float>, search_types array<string>, n int, min_price double, "
+        "max_price double, min_rating double, categories array<string>, colors array<string>, seasons array<string>",
+    )
+    shared = SearchRequest("", Conditions(), 1, threshold=0.5)
+    found = {}
+    for r in batch_ai_search(catalog, requests, shared).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["image"], r["name"]))
+    for i, (text, types, conditions) in enumerate(stated):
+        one = SearchRequest(text, conditions, 3 + i, types or ("lexical", "vector"), threshold=0.5)
+        single = ai_search(catalog, one, lambda text: vector_of).orderBy("rank").collect()
+        assert found.get(i, []) == [(r["rank"], r["image"], r["name"]) for r in single] != [], i
+    with pytest.raises(ValueError):
+        batch_ai_search(catalog, requests.withColumn("search_types", F.array(F.lit("other"))), shared)
+    assert batch_ai_search(catalog, requests.limit(0), shared).count() == 0

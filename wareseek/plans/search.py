@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wareseek.functions.text import WHITESPACE, primary_image
-from wareseek.operators.batch import own_conditions, refuse_repeated
-from wareseek.operators.filters import Conditions
+from wareseek.functions.text import WHITESPACE, is_blank, primary_image
+from wareseek.operators.batch import (
+    BlockScorer,
+    best_per_query,
+    own_conditions,
+    query_slices,
+    refuse_repeated,
+)
+from wareseek.operators.filters import FILTER_COLUMNS, Conditions
 from wareseek.operators.lexical import LexicalIndex, best_matches, score_names
 from wareseek.operators.ranking import (
     fuse,
@@ -18,7 +27,7 @@ from wareseek.operators.ranking import (
     union_ranked,
     with_rank,
 )
-from wareseek.operators.vector import nearest_per_query, vector_search
+from wareseek.operators.vector import MAX_QUERIES_PER_PASS, nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
 from wareseek.storage import is_small, materialise
 
@@ -206,3 +215,86 @@ def batch_hybrid_search(
     wanted = queries.select("query_id", "n")
     cut = lambda hits: hits.join(wanted, "query_id").filter(F.col("rank") < F.col("n")).drop("n")
     return cut(fuse(cut(ranked), n, "query_id"))
+
+
+def batch_browse(
+    catalog: DataFrame, queries: DataFrame, conditions: Conditions | None, n: int = DEFAULT_RESULTS
+) -> DataFrame:
+    """Browsing for a table of requests: ``(query_id, rank, _id, img, name, score)``.
+
+    The score is the rating. ``conditions`` are shared, or None where the table states them.
+    """
+    own = own_conditions(queries)
+    read = list(dict.fromkeys(["rating", *(FILTER_COLUMNS if own else ())]))
+    rows = catalog if conditions is None else catalog.filter(conditions.lenient())
+    rows = rows.filter(F.col("rating").isNotNull()).select("_id", "img", "name", *read)
+    slices = (
+        (found, _ratings(len(found)))
+        for found in query_slices(queries.select("query_id", *own), MAX_QUERIES_PER_PASS)
+    )
+    id_type = queries.schema["query_id"].dataType
+    return best_per_query(rows, read, slices, id_type, n, "_id", strict=False)
+
+
+def _ratings(queries: int) -> BlockScorer:
+    def score(block: pa.Table) -> np.ndarray:
+        rating = block["rating"].cast(pa.float64()).to_numpy()
+        return np.tile(rating[:, None], (1, queries))
+
+    return score
+
+
+def batch_ai_search(
+    catalog: DataFrame,
+    queries: DataFrame,
+    request: SearchRequest,
+    index: LexicalIndex | None = None,
+) -> DataFrame:
+    """Dispatch every request of a table ``(query_id, text, vector)``: ``(query_id, rank, image, name)``.
+
+    A blank text is browsed, other requests go by their ``search_types`` where the table has that
+    column (an array) and it is not NULL, and by those of ``request`` otherwise. As in the single
+    form unknown types are an error. Conditions and numbers of results per request are as in
+    :func:`batch_hybrid_search`. Each kind of search is one batch; kinds nobody asked for cost nothing.
+    """
+    queries = materialise(queries, "requests")
+    refuse_repeated(queries)
+    shared = F.array(*[F.lit(t) for t in sorted(request.types)])
+    stated = F.col("search_types") if "search_types" in queries.columns else F.lit(None)
+    types = F.array_sort(F.array_distinct(F.transform(F.coalesce(stated, shared), F.lower)))
+    kind = (
+        F.when(is_blank(F.col("text")), "browse")
+        .when(types == F.array(F.lit("lexical"), F.lit("vector")), "hybrid")
+        .when(types == F.array(F.lit("vector")), "vector")
+        .when(types == F.array(F.lit("lexical")), "lexical")
+    )
+    sorted_out = materialise(queries.withColumn("_kind", kind).drop("search_types"), "requests")
+    kinds = {r["_kind"] for r in sorted_out.select("_kind").distinct().collect()}
+    if None in kinds:
+        raise ValueError(f"search types must be taken from {sorted(SEARCH_TYPES)}")
+    conditions = None if own_conditions(queries) else request.conditions
+    own_n = "n" in queries.columns
+    most = (queries.agg(F.max("n")).first()[0] or 1) if own_n else request.n
+
+    def hits(kind: str) -> DataFrame:
+        mine = sorted_out.filter(F.col("_kind") == kind).drop("_kind")
+        if kind == "hybrid":
+            return batch_hybrid_search(catalog, mine, request, index)
+        if kind == "browse":
+            found = batch_browse(catalog, mine, conditions, most)
+        elif kind == "lexical":
+            found = batch_lexical_search(catalog, mine, conditions, most, index)
+        else:
+            where = conditions.strict() if conditions else None
+            found = nearest_per_query(catalog, mine, most, request.vector_column, where)
+            found = found.filter(F.col("score") >= request.threshold)
+        if own_n:
+            found = found.join(mine.select("query_id", "n"), "query_id").filter(F.col("rank") < F.col("n"))
+        return found
+
+    image = primary_image(F.col("img")).alias("image")
+    parts = [hits(k).select("query_id", "rank", image, "name") for k in sorted(kinds)]
+    if not parts:
+        empty = queries.select("query_id", F.lit(0).cast("long").alias("rank"))
+        return empty.select("*", F.lit("").alias("image"), F.lit("").alias("name")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
