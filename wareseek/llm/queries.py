@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wareseek.llm import oracles
 from wareseek.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -44,44 +45,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_WORDS_SQL = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-OP8_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, {_WORDS_SQL.format("text")} AS words FROM d),
-grams AS (
-  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
-),
-repeated AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
-covered AS (
-  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated) GROUP BY 1
-),
-lines AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
-),
-m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words,
-         coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
-         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-         coalesce(n_lines, 0)::BIGINT AS n_lines, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclaims
-  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
-),
-f AS (
-  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
-             + 4 * (10 * n_symbols > n_words)::BIGINT
-             + 8 * (n_dup_lines > 4 AND 2 * n_dup_lines > n_lines)::BIGINT
-             + 16 * (5 * n_exclaims > n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT) AS failed
-  FROM m
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed
-FROM f"""
-
-
-@query("op8_quality_rules", OP8_SQL)
+@query("op8_quality_rules", oracles.OP8)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm import quality_rules as q
 
@@ -92,7 +56,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_secret_scan")
+@query("op2_secret_scan", oracles.OP2)
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm import secret_scan as s
 
@@ -109,7 +73,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_chat_format")
+@query("op5_chat_format", oracles.OP5)
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm.chat_format import digests, expand
 
@@ -167,7 +131,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(docs, tokens, Mixture(entropy=MIX_ENTROPY)).withColumnRenamed("tokens", "n_tokens")
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", oracles.OP6)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm.substring_dedup import remove_repeats
 
@@ -175,7 +139,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", oracles.OP9)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm.jaccard_join import similar_components
 
