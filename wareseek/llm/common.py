@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,10 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def words(text: Column) -> Column:
     """The words of a text, as an array; none for a null text."""
     return F.filter(F.split(text, rf"[{SPACE}]+"), lambda word: word != "")
@@ -32,5 +29,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(start, rows)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [text or "" for text in batch.column(column).to_pylist()]
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers scrambled one to one, so that near numbers become unlike."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -26,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wareseek.llm.common import WORD, slices
+from wareseek.llm.common import WORD, mixed, slices
 from wareseek.llm.components import components
-from wareseek.llm.substring_dedup import _mixed
 from wareseek.storage import is_small, materialise
 
 GRAM = 5
@@ -70,13 +69,13 @@ class Grams(dict):
         grams = np.zeros(len(words) - size + 1, dtype=np.uint64)
         for i in range(size):
             grams = grams * _BASE + hashes[i : i + len(grams)]
-        return np.unique(_mixed(grams + np.uint64(size)))
+        return np.unique(mixed(grams + np.uint64(size)))
 
 
 def set_key(grams: np.ndarray) -> int:
     """A hash of a whole set: equal sets are one node of the join."""
-    total = _mixed(grams ^ _BASE).sum(dtype=np.uint64) + np.uint64(len(grams))
-    return int(_mixed(np.array([total]))[0].view(np.int64))
+    total = mixed(grams ^ _BASE).sum(dtype=np.uint64) + np.uint64(len(grams))
+    return int(mixed(np.array([total]))[0].view(np.int64))
 
 
 def needed(first: int, second: int, percent: int) -> int:

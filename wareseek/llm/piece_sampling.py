@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.ml.model_cache import ModelCache
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wareseek.llm.substring_dedup import _mixed
-from wareseek.llm.token_counts import _SEGMENT, SPACE_MARK
+from wareseek.llm.common import mixed
+from wareseek.llm.token_counts import SEGMENT, SPACE_MARK
 
 _CHARS_IN_BATCH = 1 << 20
 _COMMON = 160
@@ -214,8 +214,8 @@ def _normal(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _uniform(keys: np.ndarray, number: int, place: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 that depend on the row, the path and the place alone."""
-    x = _mixed(keys + np.uint64((number * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-    x = _mixed(x ^ (place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    x = mixed(keys + np.uint64((number * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+    x = mixed(x ^ (place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -252,7 +252,7 @@ class Batch:
         known: dict[str, int] = defaultdict(count().__next__)
         ids, counts = [], []
         for text in texts:
-            found = _SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
+            found = SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
             ids += map(known.__getitem__, found)
             counts.append(len(found))
         self.keys = keys

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wareseek.llm.common import WORD, slices
+from wareseek.llm.common import WORD, mixed, slices
 from wareseek.storage import materialise
 
 WINDOW = 50
@@ -59,12 +59,6 @@ class WordHashes(dict):
         return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def passages(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor, digest, start and length of each passage of a text's word hashes."""
     n = len(hashes)
@@ -76,12 +70,12 @@ def passages(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ..
     power[0] = back[0] = 1
     power, back = np.cumprod(power), np.cumprod(back)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
-    grams = _mixed((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
+    grams = mixed((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     inside = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1)
     anchor = inside.argmin(1) + np.arange(n - window + 1)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     end = np.concatenate([first[1:], [len(anchor)]]) - 1 + window
-    digest = _mixed((sums[end] - sums[first]) * back[first])
+    digest = mixed((sums[end] - sums[first]) * back[first])
     return grams[anchor[first]].view(np.int64), digest.view(np.int64), first, end - first
 
 

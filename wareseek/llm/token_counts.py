@@ -116,14 +116,14 @@ class PrefixTable(dict):
             self._pair.clear()
 
 
-_SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
+SEGMENT = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 
 
 def prefix_counts(text: str, table: PrefixTable) -> np.ndarray:
     """The number of tokens of each non-empty prefix of ``text``."""
     if not text:
         return np.empty(0, dtype=np.int32)
-    segments = _SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+    segments = SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
     counts = np.frombuffer(b"".join([table[s] for s in segments]), dtype=np.int32).copy()
     lengths = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
     totals = counts[np.cumsum(lengths) - 1]
