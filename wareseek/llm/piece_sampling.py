@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wareseek.llm.common import mixed
 from wareseek.llm.token_counts import SEGMENT, SPACE_MARK
 
-_CHARS_IN_BATCH = 1 << 20
+_CHARS_IN_BATCH = 1 << 19
 _COMMON = 160
 _LONGEST = 16
 _SHORT = 8
@@ -158,7 +158,9 @@ class Lattices:
                 wide[node_of[active[ends >= 0]]] = True
             more = left[active] > length
             active, nodes = active[more], nodes[more]
-        score = v.score[self.pieces]  # the number -1 finds the last entry, which is no piece
+        score = np.empty((_LONGEST, n), dtype=np.float32)
+        for i, row in enumerate(self.pieces):
+            score[i] = v.score[row]  # the number -1 finds the last entry, which is no piece
         codes = np.empty(n, dtype=np.int64)
         codes[node_of] = chars
         strange = np.flatnonzero(self.pieces[0] < 0)
