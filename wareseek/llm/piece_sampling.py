@@ -483,7 +483,9 @@ def _rows(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
     return [np.concatenate(c) for c in columns]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], model_file: str, power: float, k: int, text: str, key: str) -> Iterator[pa.RecordBatch]:
+def _sampled(
+    batches: Iterator[pa.RecordBatch], model_file: str, power: float, k: int, text: str, key: str, read_back: str | None
+) -> Iterator[pa.RecordBatch]:
     v = _load(model_file, power)
 
     def done(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -496,7 +498,10 @@ def _sampled(batches: Iterator[pa.RecordBatch], model_file: str, power: float, k
         arrays = [rows.column(n).take(take) for n in names]
         arrays += [pa.array(numbers[0].astype(np.int32)), pa.array(numbers[1].astype(np.int64)), *map(pa.array, numbers[2:])]
         arrays.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))))
-        return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES])
+        if read_back is None:
+            return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES])
+        arrays.append(pa.array([decoded(ids[a:b].tolist(), v) for a, b in zip(offsets, offsets[1:])], pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES, read_back])
 
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy())
@@ -516,6 +521,7 @@ def sample_pieces(
     key: str = "doc_id",
     seed: int = 11,
     power: float = 1.0,
+    read_back: str | None = None,
 ) -> DataFrame:
     """Up to ``k`` distinct segmentations of every text: a row each, the text left out.
 
@@ -526,10 +532,11 @@ def sample_pieces(
 
     A null or empty text has one segmentation, the empty one; a text with fewer than k
     segmentations gives all of them. The draw depends on the key, the text and ``seed`` alone, so
-    repeated rows get equal samples; null keys share one seed. Columns of ``docs`` with the names
+    repeated rows get equal samples; ``read_back`` names a further column with the text decoded
+    from the ids, in the same pass; null keys share one seed. Columns of ``docs`` with the names
     of added ones are replaced. An empty table gives no rows.
     """
-    kept = [f for f in docs.schema.fields if f.name != text and f.name not in _NAMES]
+    kept = [f for f in docs.schema.fields if f.name not in (text, read_back, *_NAMES)]
     schema = T.StructType(
         [
             *kept,
@@ -537,10 +544,11 @@ def sample_pieces(
             T.StructField("n_pieces", T.LongType()),
             *[T.StructField(n, T.DoubleType()) for n in _NAMES[2:5]],
             T.StructField("ids", T.ArrayType(T.IntegerType())),
+            *([] if read_back is None else [T.StructField(read_back, T.StringType())]),
         ]
     )
     seeded = docs.select(*[f.name for f in kept], F.col(text), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"))
-    return seeded.mapInArrow(lambda b: _sampled(b, model_file, power, k, text, "_seed"), schema)
+    return seeded.mapInArrow(lambda b: _sampled(b, model_file, power, k, text, "_seed", read_back), schema)
 
 
 def decoded(ids: list[int], v: Vocabulary) -> str:

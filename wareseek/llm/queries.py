@@ -151,12 +151,11 @@ PIECE_SAMPLES = 2
 
 @query("op7_piece_sampling")
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wareseek.llm.piece_sampling import decode_pieces, sample_pieces
+    from wareseek.llm.piece_sampling import sample_pieces
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    sampled = sample_pieces(docs, tokenizer_file(), PIECE_SAMPLES)
-    return decode_pieces(sampled, tokenizer_file()).select(
+    return sample_pieces(docs, tokenizer_file(), PIECE_SAMPLES, read_back="decoded").select(
         "doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids",
         (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
     )
