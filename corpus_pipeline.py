@@ -29,14 +29,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that links of 0.8 connect.
 
-    Documents without an id stay, as no group can be named after them; of repeated rows one stays.
+    A document is an id with a text: rows that share an id and differ in their texts are told apart
+    by a 64-bit hash of the text, and of those in one group the least hash stays. Documents
+    without an id all stay, as no group can be named after them; of rows with the same id and text
+    one stays.
     """
-    found = jaccard_join.similar_components(docs.select("doc_id", "text"))
-    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
+    found = jaccard_join.similar_components(docs.select("doc_id", "text"), hashes=True)
+    later = found.where("doc_id IS NOT NULL AND (component_id <> doc_id OR component_hash <> text_hash)")
+    document = ["doc_id", "_text_hash"]
+    gone = later.select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
+    gone = materialise(gone, "near-duplicates")
     # A list that is measured to be small spares the texts a shuffle.
     gone = F.broadcast(gone) if is_small(gone, MAX_BROADCAST_IDS) else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if _repeated(docs) else kept
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, document, "left_anti")
+    if _repeated(docs):
+        named = kept.where("doc_id IS NOT NULL").dropDuplicates(document)
+        kept = named.union(kept.where("doc_id IS NULL").select(*named.columns))
+    return kept.select(*docs.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -1,3 +1,5 @@
+import random
+
 import cases
 
 import corpus_pipeline as c
@@ -43,3 +45,23 @@ def test_odd_rows(spark):
     for _, stage in c.STAGES:
         empty = stage(spark, empty, cases.SF_DIR)
     assert empty.count() == 0
+
+
+def test_only_copies_are_dropped(spark):
+    random.seed(6)
+    a, b, c_, d, e, f = ([f"{name}{random.randrange(10**6)}" for _ in range(80)] for name in "abcdef")
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    a, b, c_, d, e, f = [" ".join(w) for w in (a, b, c_, d, e, f)]
+    rows = [(None, c_), (None, d), (None, c_), (None, None), (1, a), (3, None), (3, ""), (3, None)]
+    rows += [(2, b), (2, near(a.split())), (2, b)]  # one text of the id is a copy, the other is not
+    rows += [(5, e), (5, f), (5, near(e.split()))]  # of two near copies under one id one stays
+    schema = "doc_id long, text string"
+    kept = [tuple(r) for r in c.near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()]
+    of = lambda key: sorted((t for k, t in kept if k == key), key=str)
+    assert of(None) == sorted([c_, d, c_, None], key=str)
+    assert of(1) == [a] and of(2) == [b] and of(3) == ["", None]
+    assert len(of(5)) == 2 and f in of(5)
+    # What stays of other rows does not depend on whether some id repeats.
+    once = [r for r in rows if r[0] in (None, 1)]
+    alone = [tuple(r) for r in c.near_duplicates(spark, spark.createDataFrame(once, schema), "").collect()]
+    assert sorted(alone, key=str) == sorted((r for r in kept if r[0] in (None, 1)), key=str)

@@ -368,7 +368,7 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def similar_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT, hashes: bool = False
 ) -> DataFrame:
     """For every row: the key, ``n_shingles``, and ``component_id``, the smallest key reached by links.
 
@@ -379,6 +379,10 @@ def similar_components(
     Repeated rows each give a row; a null key counts as larger than all others, and only
     components of null keys alone have a null id. An empty table gives no rows. N-grams and sets
     are compared by 64-bit hashes.
+
+    Where keys repeat with other texts, ``hashes`` tells the rows apart: it adds ``text_hash``, the
+    xxhash64 of the row's text, and ``component_hash``, that of the row the component is named
+    after, the one with the least key and, of those with it, the least hash.
     """
     spark = docs.sparkSession
     texts = docs.select(
@@ -437,11 +441,20 @@ def similar_components(
     links = streams.mapInArrow(lambda b: _joined(b, percent), "a long, b long")
     roots = components(links)
     labelled = sets.join(roots, "node", "left").select("_id", "_hash", "n", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = labelled.join(least, "root").select("_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = summary.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     known = lambda c: F.when(F.col(c) < _LAST, F.col(c))
     kind = docs.schema[key].dataType
-    return named.union(empty).select(
-        known("_id").cast(kind).alias(key), "n_shingles", known("component_id").cast(kind).alias("component_id")
-    )
+    out = [known("_id").cast(kind).alias(key), "n_shingles", known("component_id").cast(kind).alias("component_id")]
+    columns = ["_id", F.col("n").alias("n_shingles")]
+    own = [F.col("_id").alias("component_id")]
+    least = labelled.groupBy("root")
+    if hashes:
+        least = least.agg(F.min(F.struct("_id", "_hash")).alias("first"))
+        least = least.select("root", F.col("first._id").alias("component_id"), F.col("first._hash").alias("component_hash"))
+        columns.append(F.col("_hash").alias("text_hash"))
+        own.append(F.col("_hash").alias("component_hash"))
+        out += ["text_hash", "component_hash"]
+    else:
+        least = least.agg(F.min("_id").alias("component_id"))
+    named = labelled.join(least, "root").select(*columns, *[c for c in least.columns if c != "root"])
+    empty = summary.where("n = 0").select(*columns, *own)
+    return named.union(empty).select(*out)
