@@ -55,3 +55,11 @@ def test_edge_rows(spark):
     assert {r["score"] for r in t.tag(docs, empty).collect()} != set() and t.tag(docs.limit(0), empty).count() == 0
     repeated = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (6, None), (7, 0)], "doc_id long, toxic int")
     assert {y for _, y in t.sample(docs, repeated, t.Training())} <= {0, 1}
+
+
+def test_all_windows_train():
+    names = [a + b for a in "bcdfghjk" for b in "aeiouy"]
+    toxic = [f"{names[i % 48]} idiot " + "calm " * 119 for i in range(1800)]
+    toxic = [text * 3 for text in toxic] + [f"calm {names[i % 48]} moron speaks" for i in range(200)]
+    model = t.fit([("calm speaks of nothing " + " ".join(names), 0)] * 2000 + [(text, 1) for text in toxic])
+    assert model.weights["=idiot"] > 0.5 and model.weights["=moron"] > 0.5

@@ -28,6 +28,8 @@ from wareseek.llm.common import slices
 _TOKEN = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
 _ROWS = 256
+#: Windows that training looks at together; any number of such groups is gone through.
+_WINDOWS = 5_000
 _KNOWN_WORDS = 300_000
 _POWERS = 64
 
@@ -40,13 +42,13 @@ def features_of(word: str) -> list[str]:
 @dataclass(frozen=True)
 class Training:
     """What the model is fitted on. The sample is bounded: the labelled rows of each class that
-    come first in the order of a hash of their id, ``docs_per_class`` at most."""
+    come first in the order of a hash of their id, ``docs_per_class`` at most. All windows of these
+    rows that hold a feature train the field."""
 
     docs_per_class: int = 2000
     min_gain: float = 14.0
     min_ratio: float = 200.0
     window: int = 40
-    windows: int = 5_000
     rounds: int = 80
     rate: float = 0.1
     penalty: float = 1e-4
@@ -160,13 +162,12 @@ def fit(rows: list[tuple[str, int]], t: Training = Training()) -> Field:
             if not any(found):
                 plain += 1
                 continue
-            if len(sizes) < t.windows:
-                row = len(sizes)
-                sizes.append(len(part))
-                truth.append([bool(ids) and toxic == 1 for ids in found] + [False] * (t.window - len(part)))
-                for i, ids in enumerate(found):
-                    feature_rows += [row * t.window + i] * len(ids)
-                    feature_ids += ids
+            row = len(sizes)
+            sizes.append(len(part))
+            truth.append([bool(ids) and toxic == 1 for ids in found] + [False] * (t.window - len(part)))
+            for i, ids in enumerate(found):
+                feature_rows += [row * t.window + i] * len(ids)
+                feature_ids += ids
     n = len(sizes) + 1
     sizes = np.array([*sizes, t.window])
     truth = np.array([*truth, [False] * t.window], dtype=float).reshape(n, t.window)
@@ -183,10 +184,15 @@ def fit(rows: list[tuple[str, int]], t: Training = Training()) -> Field:
     held = np.bincount(which, minlength=len(chosen)).astype(float) + 1
     state = [np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
     total = times.sum()
+    # The window that stands for all plain ones tells the bias only; transitions learn from the rest.
+    learns = np.arange(n) < n - 1
     for step in range(1, t.rounds + 1):
         emissions = bias + np.bincount(where, weights[which], n * t.window).reshape(n, t.window)
-        # The window that stands for all plain ones tells the bias only; transitions learn from the rest.
-        marginal, pairs = forward_backward(emissions, sizes, moves, np.arange(n) < n - 1)
+        marginal, pairs = np.empty_like(emissions), np.zeros((2, 2))
+        for at in range(0, n, _WINDOWS):
+            part = slice(at, at + _WINDOWS)
+            marginal[part], more = forward_backward(emissions[part], sizes[part], moves, learns[part])
+            pairs += more
         miss = (truth - marginal) * inside
         gradients = (
             np.bincount(which, miss.reshape(-1)[where], len(chosen)) / held - t.penalty * weights,
