@@ -37,3 +37,8 @@ def test_clean_documents_stay(spark):
     clean = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 1]
     junk = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 0]
     assert clean and all(clean) and sum(junk) <= len(junk) / 2
+
+
+def test_ablations_of_whole_table(spark):
+    assert compare.difference(spark, RUNS["op8_rule_ablations"], ORACLES["op8_rule_ablations"], cases.SF_DIR) is None
+    assert {r["rule"] for r in RUNS["op8_rule_ablations"](spark, cases.SF_DIR).collect()} == set(q.POLICIES["v2"])

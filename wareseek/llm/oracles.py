@@ -187,3 +187,11 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed
 FROM f"""
+
+OP8_ABLATIONS = f"""
+WITH ledger AS ({OP8}),
+rules(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('exclamations', 16), ('long_words', 32)
+)
+SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & 63 = bit) AS n_only
+FROM ledger CROSS JOIN rules GROUP BY rule"""

@@ -56,6 +56,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_rule_ablations", oracles.OP8_ABLATIONS)
+def op8_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm import quality_rules as q
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return q.ablations(q.ledger(q.measure(docs)), q.POLICIES["v2"])
+
+
 @query("op2_secret_scan", oracles.OP2)
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm import secret_scan as s
