@@ -167,3 +167,10 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids",
         (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
     )
+
+
+@query("op13_simhash_dedup")
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.simhash_dedup import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
