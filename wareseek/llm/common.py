@@ -34,3 +34,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def splitter(kept: bytes = b"") -> bytes:
+    """A table for ``bytes.translate``: A to Z become small, and all ASCII but letters and ``kept`` a space.
+
+    Splitting what it gives yields the runs of letters, of ``kept`` and of characters beyond ASCII.
+    """
+    table = bytearray(b" " * 128 + bytes(range(128, 256)))
+    for byte in b"abcdefghijklmnopqrstuvwxyz" + kept:
+        table[byte] = byte
+    for byte in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        table[byte] = byte + 32
+    return bytes(table)

@@ -195,3 +195,74 @@ rules(rule, bit) AS (
 )
 SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & 63 = bit) AS n_only
 FROM ledger CROSS JOIN rules GROUP BY rule"""
+
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_SMALL.format("coalesce(text, '')")}, '{_ITEM_TERM}') AS terms
+  FROM documents
+),
+sizes AS (SELECT count(*) AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_SMALL.format("text")}, '{_ITEM_TERM}')) AS term FROM benchmark),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM items) GROUP BY r, doc_id, n, term
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sizes GROUP BY term
+),
+scored AS (
+  SELECT item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term), sizes GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_SMALL.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+words AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+n AS (
+  SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+),
+lang_n AS (SELECT lang, sum(c)::HUGEINT AS n FROM counts GROUP BY lang),
+p AS (
+  SELECT n.lang, n.source, kept.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (n.n + 2 * v.v) AS p
+  FROM n JOIN kept ON n.lang = kept.lang JOIN v ON v.lang = n.lang
+       LEFT JOIN counts ON counts.lang = n.lang AND counts.source = n.source AND counts.term = kept.term
+),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // (any_value(n) + 2 * any_value(v)) AS q
+  FROM counts JOIN lang_n USING (lang) JOIN v USING (lang) GROUP BY lang, term
+),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM n a JOIN n b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -174,3 +174,18 @@ def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm.simhash_dedup import near_copies
 
     return near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_lexical_topk", oracles.OP11)
+def op11_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.lexical_topk import rank_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_source_divergence", oracles.OP12)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wareseek.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
