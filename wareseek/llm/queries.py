@@ -56,8 +56,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_rule_ablations", oracles.OP8_ABLATIONS)
-def op8_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("rule_ablations", oracles.OP8_ABLATIONS)
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wareseek.llm import quality_rules as q
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
