@@ -40,5 +40,5 @@ def test_clean_documents_stay(spark):
 
 
 def test_ablations_of_whole_table(spark):
-    assert compare.difference(spark, RUNS["op8_rule_ablations"], ORACLES["op8_rule_ablations"], cases.SF_DIR) is None
-    assert {r["rule"] for r in RUNS["op8_rule_ablations"](spark, cases.SF_DIR).collect()} == set(q.POLICIES["v2"])
+    assert compare.difference(spark, RUNS["rule_ablations"], ORACLES["rule_ablations"], cases.SF_DIR) is None
+    assert {r["rule"] for r in RUNS["rule_ablations"](spark, cases.SF_DIR).collect()} == set(q.POLICIES["v2"])
