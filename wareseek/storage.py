@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWNED: ContextVar[list[str] | None] = ContextVar("scratch folders of the run that is going on", default=None)
 MAX_BROADCAST_BYTES = 64 << 20
 
 
@@ -27,7 +31,43 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes what was staged inside the block when it ends, also when it fails.
+
+    For runs that leave their results in a table of their own: DataFrames over staged copies
+    cannot be read afterwards.
+    """
+    token = _OWNED.set([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.get() or ():
+            delete_folder(spark, path)
+        _OWNED.reset(token)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write one; a missing one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names of the folders below ``path`` and when each was last changed, in seconds since 1970."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = files.listStatus(folder)
+    return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in found if f.isDirectory()]
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
