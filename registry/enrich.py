@@ -15,9 +15,7 @@ from wareseek.functions.geometry import center_square
 from wareseek.functions.text import (
     DESCRIPTION_PROMPT,
     LABEL_PROMPTS,
-    Prompt,
     clean_label,
-    label_output_tokens,
     primary_image,
     token_count,
     tokens,
@@ -31,6 +29,7 @@ from wareseek.schemas import COLORS, FACETS, LABEL_OUTPUT_BUFFER_TOKENS, RAW_CAT
 from wareseek.sources.assets import fetch_assets, has_asset, join_assets
 from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
 from wareseek.sources.table import CatalogTable, write_batches
+from wareseek.sources.versions import VersionedTable
 from wareseek.storage import scratch_path
 from wareseek.streaming.updates import start_updates
 
@@ -164,16 +163,30 @@ def _(spark, sf):
     return turns.select("conv_id", "turn", token_count(tokens(F.col("text"))).alias("num_tokens"))
 
 
-def prompt_sql(prompt: Prompt) -> str:
-    literal = lambda text: "'" + text.replace("'", "''") + "'"
-    parts = [p if i % 2 else literal(p) for i, p in enumerate(prompt.parts)]
-    return " || ".join(parts).replace("\n", "' || chr(10) || '")
+def _described_as(title: str) -> str:
+    return f"""repeat('<image>', 1176) || chr(10) || 'USER: Write a product description for a shop page. The product is called: '
+    || {title} || '. Mention the color seen in the picture.' || chr(10) || 'ASSISTANT:'"""
+
+
+def _asked(facet: str, labels: str) -> str:
+    return f"""'Product title: ' || name || chr(10) || 'Product description: ' || description || chr(10)
+    || 'Which {facet} fits the product best? Answer with one of these words only: {labels}.'"""
+
+
+# The prompts and answer lengths that the queries must arrive at, written out.
+DESCRIPTION_SQL = _described_as("name")
+LABEL_PROMPTS_SQL = {
+    "category": _asked("category", "Tops, Bottoms, Dresses, Footwear, Accessories"),
+    "season": _asked("season", "Summer, Winter, Spring, Fall"),
+    "color": _asked("color", "Red, Blue, Green, Yellow, Black, White, Pink, Purple, Orange, Brown, Grey"),
+}
+ANSWER_TOKENS = {"description": 256, "category": 41, "season": 41, "color": 41}
 
 
 @query(
     "description_prompt",
     f"""WITH {PRODUCTS_SQL} SELECT _id, CAST(length(prompt) AS INTEGER) AS length, md5(prompt) AS digest
-    FROM (SELECT _id, {prompt_sql(DESCRIPTION_PROMPT)} AS prompt FROM products)""",
+    FROM (SELECT _id, {DESCRIPTION_SQL} AS prompt FROM products)""",
 )
 def _(spark, sf):
     prompts = products(spark, sf).select("_id", DESCRIPTION_PROMPT.text().alias("prompt"))
@@ -183,7 +196,7 @@ def _(spark, sf):
 @query(
     "classifier_prompts",
     f"""WITH {DESCRIBED_SQL}
-    SELECT _id, {', '.join(f'md5({prompt_sql(p)}) AS {facet}_prompt' for facet, p in LABEL_PROMPTS.items())}
+    SELECT _id, {', '.join(f'md5({p}) AS {facet}_prompt' for facet, p in LABEL_PROMPTS_SQL.items())}
     FROM described""",
 )
 def _(spark, sf):
@@ -263,11 +276,10 @@ def _(spark, sf):
 
 
 def budget_sql() -> str:
-    output = {"description": 256} | {f: label_output_tokens(x) for f, x in FACETS.items()}
-    prompts = {"description": DESCRIPTION_PROMPT, **LABEL_PROMPTS}
+    prompts = {"description": DESCRIPTION_SQL, **LABEL_PROMPTS_SQL}
     rows = [
-        f"""SELECT '{stage}' AS stage, CAST(max(len({tokens_sql(prompt_sql(prompt))})) AS BIGINT) AS max_input,
-        CAST({output[stage]} AS BIGINT) AS max_output FROM described"""
+        f"""SELECT '{stage}' AS stage, CAST(max(len({tokens_sql(prompt)})) AS BIGINT) AS max_input,
+        CAST({ANSWER_TOKENS[stage]} AS BIGINT) AS max_output FROM described"""
         for stage, prompt in prompts.items()
     ]
     return f"WITH {DESCRIBED_SQL} SELECT *, max_input + max_output AS max_total FROM ({' UNION ALL '.join(rows)})"
@@ -280,7 +292,7 @@ def _(spark, sf):
 
 @query(
     "max_prompt_tokens",
-    f"""WITH {PRODUCTS_SQL} SELECT CAST(max(len({tokens_sql(prompt_sql(DESCRIPTION_PROMPT))})) AS BIGINT) AS num_tokens
+    f"""WITH {PRODUCTS_SQL} SELECT CAST(max(len({tokens_sql(DESCRIPTION_SQL)})) AS BIGINT) AS num_tokens
     FROM products""",
 )
 def _(spark, sf):
@@ -522,7 +534,7 @@ def _(spark, sf):
     FROM stored s FULL JOIN incoming i ON s._id = i._id""",
 )
 def _(spark, sf):
-    items = CatalogTable(spark, scratch_path(spark, "items"), _ITEMS)
+    items = VersionedTable(spark, scratch_path(spark, "items"), _ITEMS)
     items.insert(stored_items(spark, sf))
     items.upsert(item_updates(spark, sf))
     return items.read()
@@ -688,8 +700,8 @@ def _(spark, sf):
     f"WITH {raw_sql('raw')}, {_ASSETS}, {enriched_sql('raw', 'done')} SELECT * FROM done",
 )
 def _(spark, sf):
-    items = CatalogTable(spark, scratch_path(spark, "catalog"))
-    return report(enrich.load(items, offline(spark, sf, raw_products(spark, sf)), "first_run"))
+    items = VersionedTable(spark, scratch_path(spark, "catalog"))
+    return report(enrich.enrich_into(items, raw_products(spark, sf), lambda raw: offline(spark, sf, raw), "first_run"))
 
 
 _UPDATED = f"""WITH {raw_sql('raw')}, {raw_sql('raw2', 100, 1.5)}, {_ASSETS}, {enriched_sql('raw', 'done')},
@@ -700,16 +712,16 @@ SELECT * FROM again UNION ALL SELECT * FROM done WHERE _id NOT IN (SELECT _id FR
 @query("catalog_update", _UPDATED)
 def _(spark, sf):
     """A second delivery: new prices for names that are stored already, and new names."""
-    items = CatalogTable(spark, scratch_path(spark, "catalog"))
-    enrich.load(items, offline(spark, sf, raw_products(spark, sf)), "first_run")
-    second = offline(spark, sf, raw_products(spark, sf, 100, 1.5))
-    return report(enrich.load(items, second, "update"))
+    items = VersionedTable(spark, scratch_path(spark, "catalog"))
+    enriched = lambda raw: offline(spark, sf, raw)
+    enrich.enrich_into(items, raw_products(spark, sf), enriched, "first_run")
+    return report(enrich.enrich_into(items, raw_products(spark, sf, 100, 1.5), enriched, "update"))
 
 
 @query("stream_update", _UPDATED)
 def _(spark, sf):
     """Both deliveries arrive as files; the second is upserted over the first."""
-    items = CatalogTable(spark, scratch_path(spark, "catalog"))
+    items = VersionedTable(spark, scratch_path(spark, "catalog"))
     arrivals, checkpoint = scratch_path(spark, "arrivals"), scratch_path(spark, "checkpoint")
     for raw in (raw_products(spark, sf), raw_products(spark, sf, 100, 1.5)):
         raw.write.mode("append").parquet(arrivals)

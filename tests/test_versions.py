@@ -1,15 +1,18 @@
 """Versioned tables: what readers see while, after and instead of an update."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from test_tables import ITEMS, items, rows_of
+from wareseek.plans.enrich import enrich_into
 from wareseek.sources import versions
 from wareseek.sources.table import DuplicateKeyError
 from wareseek.sources.versions import ConcurrentWriteError, Manifest, VersionedTable
 from wareseek.storage import materialise, scratch_root, scratch_scope
+from wareseek.streaming.updates import start_updates
 
 
 @pytest.fixture
@@ -146,8 +149,6 @@ def test_filters_reach_base_and_deltas(spark, store):
 
 
 def test_scratch_ends_with_its_scope(spark, tmp_path):
-    import os
-
     root = scratch_root(spark).removeprefix("file:")
     before = set(os.listdir(root))
     with pytest.raises(ZeroDivisionError):
@@ -158,3 +159,55 @@ def test_scratch_ends_with_its_scope(spark, tmp_path):
     assert set(os.listdir(root)) == before
     materialise(spark.range(5), "outside")
     assert len(set(os.listdir(root)) - before) == 1
+
+
+RAW = "id long, name string, price double"
+
+
+def models(spark, calls):
+    """Enrichment that counts the rows it is asked about, each in a staged pass of its own."""
+
+    def enrich(raw):
+        staged = materialise(raw, "descriptions")
+        calls.append(staged.count())
+        return staged.selectExpr("name AS _id", "price", "concat('about ', name) AS extra", "id")
+
+    return enrich
+
+
+@pytest.mark.parametrize("kind", [VersionedTable, versions.CatalogTable])
+def test_keys_are_checked_before_models_run(spark, tmp_path, kind):
+    table, calls = kind(spark, str(tmp_path / "items"), ITEMS, buckets=2), []
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    raw = lambda *rows: spark.createDataFrame(list(rows), RAW)
+    with pytest.raises(DuplicateKeyError):
+        enrich_into(table, raw((1, "a", 1.0), (2, "a", 2.0)), models(spark, calls), "first_run")
+    assert calls == []
+    enrich_into(table, raw((1, "a", 1.0), (2, "b", 2.0)), models(spark, calls), "first_run")
+    copies = [(i, "a", float(i)) for i in range(50)] + [(7, "c", 7.0)]
+    got = enrich_into(table, raw(*copies), models(spark, calls), "update")
+    assert calls == [2, 2]
+    assert rows_of(got) == [("a", 49.0, "about a"), ("b", 2.0, "about b"), ("c", 7.0, "about c")]
+    with pytest.raises(DuplicateKeyError):
+        enrich_into(table, raw((1, None, 1.0)), models(spark, calls), "update")
+    assert set(os.listdir(root)) == before  # what was staged is gone, after failures as well
+
+
+def test_a_replayed_batch_runs_no_model(spark, store, tmp_path):
+    calls, source = [], str(tmp_path / "arrivals")
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    for i, name in enumerate("ab"):
+        spark.createDataFrame([(i, name, 1.0)], RAW).write.mode("append").parquet(source)
+        start_updates(spark, source, store, models(spark, calls), str(tmp_path / "check"), schema=RAW).awaitTermination()
+    assert calls == [1, 1] and store.applied(str(tmp_path / "check")) == 1
+    # As after a crash between the table and the stream's own record of the batch.
+    commit = tmp_path / "check" / "commits" / "1"
+    commit.unlink()
+    (tmp_path / "check" / "commits" / ".1.crc").unlink(missing_ok=True)
+    version = store.manifest.latest()[0]
+    start_updates(spark, source, store, models(spark, calls), str(tmp_path / "check"), schema=RAW).awaitTermination()
+    assert calls == [1, 1] and store.manifest.latest()[0] == version and commit.exists()
+    assert rows_of(store.read()) == [("a", 1.0, "about a"), ("b", 1.0, "about b")]
+    assert set(os.listdir(root)) == before

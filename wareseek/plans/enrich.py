@@ -24,6 +24,7 @@ from wareseek.functions.text import (
 from wareseek.functions.vectors import hashed_embedding
 from wareseek.operators.filters import drop_incomplete, nan_to_null
 from wareseek.operators.inference import Model, classify, describe, infer, label_columns, with_retries
+from wareseek.operators.ranking import keep_last
 from wareseek.schemas import (
     DESCRIPTION_OUTPUT_TOKENS,
     EMBEDDING_DIMS,
@@ -33,8 +34,8 @@ from wareseek.schemas import (
     MODEL_BATCH_SIZE,
 )
 from wareseek.sources.assets import has_asset
-from wareseek.sources.table import CatalogTable
-from wareseek.storage import materialise
+from wareseek.sources.table import CatalogTable, DuplicateKeyError, duplicated_keys
+from wareseek.storage import materialise, scratch_scope
 
 
 @dataclass(frozen=True)
@@ -274,3 +275,38 @@ def load(
     else:
         raise ValueError("mode must be 'first_run' or 'update'")
     return table.read()
+
+
+def enrich_into(
+    table: CatalogTable,
+    raw: DataFrame,
+    enrich: Callable[[DataFrame], DataFrame],
+    mode: Literal["first_run", "update"],
+    key: str = "name",
+    order: Sequence[str] = ("id",),
+    batch: tuple[str, int] | None = None,
+) -> DataFrame:
+    """Enrich raw rows, write them to the table and return its rows; no model runs for a row that cannot stay.
+
+    A first run is refused for repeated keys before anything is enriched, even where enrichment would leave
+    only one of the rows. An update enriches only the last raw row of each key in ``order``. Rows without a key are
+    enriched, and refused by the table if they stay. ``batch`` goes to a table that keeps account of batches: one
+    that was applied before is not enriched again. Copies staged on the way are removed when the table is
+    written, also after a failure.
+    """
+    if batch is not None and batch[1] <= table.applied(batch[0]):
+        return table.read()
+    present = [c for c in order if c in raw.columns]
+    if mode == "first_run":
+        wrong = duplicated_keys(raw.filter(F.col(key).isNotNull()), key).select(key).limit(5).collect()
+        if wrong:
+            raise DuplicateKeyError(f"keys repeated: {[r[0] for r in wrong]}")
+    elif mode == "update" and present:
+        raw = keep_last(raw, [key], present)
+    with scratch_scope(table.spark):
+        records = enrich(raw)
+        if batch is None:
+            return load(table, records, mode, order)
+        known = [c for c in order if c in records.columns]
+        table.upsert(records, known or None, batch)
+    return table.read()

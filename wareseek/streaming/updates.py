@@ -8,11 +8,11 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wareseek.operators.ranking import keep_last
-from wareseek.plans.enrich import load
+from wareseek.plans.enrich import enrich_into
 from wareseek.schemas import RAW_CATALOG
 from wareseek.sources.csv import stream_catalog_csv
 from wareseek.sources.table import CatalogTable
+from wareseek.sources.versions import VersionedTable
 
 
 def start_updates(
@@ -29,9 +29,10 @@ def start_updates(
 ) -> StreamingQuery:
     """Watch a folder of raw Parquet or CSV files; each micro-batch updates the table.
 
-    Of several raw rows for one ``key`` only the last by ``id`` is enriched, so no model runs for a
-    row that would be overwritten at once. A batch that is repeated after a failure changes nothing, because updates go by key. Without
-    a trigger, everything present is processed and the query ends.
+    Of several raw rows for one ``key`` only the last by ``id`` is enriched, so no model runs for a row that would be
+    overwritten at once. Staged copies of a batch are removed with it. A batch that is repeated after a failure changes nothing, because updates go by key. A
+    :class:`VersionedTable` publishes the batch's number with its rows, under the name of the checkpoint, and a
+    repeated batch then runs no model either. Without a trigger, everything present is processed and the query ends.
     """
     if file_format == "csv":
         arrivals = stream_catalog_csv(spark, source, schema, files_per_batch=files_per_batch)
@@ -39,9 +40,9 @@ def start_updates(
         reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
         arrivals = reader.parquet(source)
 
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        latest = keep_last(batch, [key], ["id"]) if "id" in batch.columns else batch
-        load(table, enrich(latest), "update")
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        number = (checkpoint, batch_id) if isinstance(table, VersionedTable) else None
+        enrich_into(table, batch, enrich, "update", key, batch=number)
 
     return (
         arrivals.writeStream.foreachBatch(apply)
