@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from registry.base import (
     BASE_WHERE,
@@ -38,9 +38,11 @@ from wareseek.operators.ranking import (
     union_ranked,
     with_rank,
 )
+from wareseek.operators.text_index import TextIndex
 from wareseek.operators.vector import build_vectors, nearest, vector_search
 from wareseek.plans import search
 from wareseek.plans.search import SearchRequest
+from wareseek.sources.versions import VersionedTable
 from wareseek.storage import scratch_path
 
 REQUEST = SearchRequest(TEXT, CONDITIONS, N, threshold=THRESHOLD)
@@ -256,6 +258,49 @@ def _(spark, sf):
     return search.lexical_search(products(spark, sf), TEXT, CONDITIONS, N)
 
 
+_PRODUCTS = T.StructType(
+    [
+        T.StructField("_id", T.LongType()),
+        *[T.StructField(c, T.StringType()) for c in ("name", "img", "category", "season", "color")],
+        *[T.StructField(c, T.DoubleType()) for c in ("price", "rating")],
+    ]
+)
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+def indexed_table(spark, sf) -> tuple[VersionedTable, TextIndex]:
+    """Products that came with other names and were renamed by an update, and the index that followed."""
+    key = spark.sparkContext.applicationId, sf
+    path = _INDEXED.get(key) or scratch_path(spark, "indexed")
+    items = VersionedTable(spark, f"{path}/table", _PRODUCTS, buckets=8)
+    index = TextIndex(spark, f"{path}/index", key_type="long", buckets=8)
+    if key not in _INDEXED:
+        rows = products(spark, sf)
+        items.replace(rows.withColumn("name", F.when(F.col("_id") % 3 == 0, F.col("name")).otherwise(F.concat("img", "name"))))
+        index.follow(items)
+        items.upsert(rows.select("_id", "name"))
+        index.follow(items)
+        _INDEXED[key] = path
+    return items, index
+
+
+@query("indexed_search", f"WITH {PRODUCTS_SQL}, {_TEXT_HITS} SELECT _id, img, name, score FROM hits")
+def _(spark, sf):
+    items, index = indexed_table(spark, sf)
+    return search.lexical_search(items.read(), TEXT, CONDITIONS, N, index)
+
+
+@query(
+    "indexed_terms",
+    f"""WITH {PRODUCTS_SQL} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM (
+      SELECT _id, term, count(*) AS tf FROM (SELECT _id, unnest({tokens_sql('name')}) AS term FROM products) GROUP BY _id, term)
+    GROUP BY term""",
+)
+def _(spark, sf):
+    """The statistics that the index has arrived at by its updates."""
+    return indexed_table(spark, sf)[1].index().terms.select("term", "df", "total_tf")
+
+
 # --- Fusion ------------------------------------------------------------------------------------
 
 # Every product twice: as a vector hit ranked by key, and as a text hit ranked the other way round.

@@ -105,18 +105,22 @@ def score_names(
         .filter(F.arrays_overlap("_tokens", F.array(*[F.lit(w) for w in words])))
         .withColumn("_corpus", corpus)
     )
-    weights = []
-    for i, word in enumerate(words):
-        tf = _occurrences("_tokens", word)
-        weights.append(
-            terms[word]
-            * idf(F.col("_corpus.docs"), F.col(f"_corpus.df{i}"))
-            * tf_weight(tf, F.size("_tokens"), F.col("_corpus.mean_length"))
-        )
-    score = F.round(sum(weights[1:], weights[0]), digits)
+    frequencies = {word: F.col(f"_corpus.df{i}") for i, word in enumerate(words)}
+    score = relevance("_tokens", terms, F.col("_corpus.docs"), frequencies, F.col("_corpus.mean_length"), digits)
     return matched.withColumn("score", score).drop("_tokens", "_corpus")
 
 
+def relevance(
+    token_list: str, repeats: dict[str, int], docs: Column, frequencies: dict[str, Column], mean_length: Column, digits: int
+) -> Column:
+    """BM25 of a list of tokens for the words of one query, given the statistics."""
+    weights = [
+        times * idf(docs, frequencies[word]) * tf_weight(_occurrences(token_list, word), F.size(token_list), mean_length)
+        for word, times in repeats.items()
+    ]
+    return F.round(sum(weights[1:], weights[0]), digits)
+
+
 def _occurrences(token_list: str, word: str) -> Column:
     return F.size(F.filter(token_list, lambda t: t == word))
 

@@ -25,6 +25,7 @@ from wareseek.functions.vectors import hashed_embedding
 from wareseek.operators.filters import drop_incomplete, nan_to_null
 from wareseek.operators.inference import Model, classify, describe, infer, label_columns, with_retries
 from wareseek.operators.ranking import keep_last
+from wareseek.operators.text_index import TextIndex
 from wareseek.schemas import (
     DESCRIPTION_OUTPUT_TOKENS,
     EMBEDDING_DIMS,
@@ -260,8 +261,9 @@ def load(
     records: DataFrame,
     mode: Literal["first_run", "update"],
     order: Sequence[str] = ("id",),
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Write records to the table and return its rows.
+    """Write records to the table and return its rows. A text index of a versioned table follows.
 
     A first run replaces what the table holds; keys must be unique, and a run that is refused for
     them leaves the table as it was. An update upserts, and of rows that share a key the last in
@@ -274,6 +276,8 @@ def load(
         table.upsert(records, present or None)
     else:
         raise ValueError("mode must be 'first_run' or 'update'")
+    if index is not None:
+        index.follow(table)
     return table.read()
 
 
@@ -285,6 +289,7 @@ def enrich_into(
     key: str = "name",
     order: Sequence[str] = ("id",),
     batch: tuple[str, int] | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Enrich raw rows, write them to the table and return its rows; no model runs for a row that cannot stay.
 
@@ -306,7 +311,9 @@ def enrich_into(
     with scratch_scope(table.spark):
         records = enrich(raw)
         if batch is None:
-            return load(table, records, mode, order)
+            return load(table, records, mode, order, index)
         known = [c for c in order if c in records.columns]
         table.upsert(records, known or None, batch)
+        if index is not None:
+            index.follow(table)
     return table.read()

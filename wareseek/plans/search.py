@@ -27,6 +27,7 @@ from wareseek.operators.ranking import (
     union_ranked,
     with_rank,
 )
+from wareseek.operators.text_index import TextIndex
 from wareseek.operators.vector import MAX_QUERIES_PER_PASS, nearest_per_query, vector_search
 from wareseek.schemas import DEFAULT_RESULTS, SCORE_THRESHOLD, TEXT_PENALTY, VECTOR_PENALTY
 from wareseek.storage import is_small, materialise
@@ -80,15 +81,18 @@ def lexical_search(
     text: str,
     conditions: Conditions,
     n: int = DEFAULT_RESULTS,
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Best matching names among the products that satisfy the conditions.
 
     The conditions filter rows; relevance statistics still cover the whole catalog. With a stored
     index the statistics and matches come from the folders of the text's terms, and only the
-    matches are looked up in the catalog; without one, the names are scanned twice.
+    matches are looked up in the catalog; without one, the names are scanned twice. A :class:`TextIndex` reads
+    only the blocks of postings that can hold one of the best ``n``.
     """
-    if index is None:
+    if isinstance(index, TextIndex):
+        hits = index.best(catalog, text, n, conditions.lenient())
+    elif index is None:
         hits = score_names(catalog, text).filter(conditions.lenient())
     else:
         found = index.search(text)
@@ -102,7 +106,7 @@ def legacy_search(
     text: str | None,
     conditions: Conditions,
     n: int = DEFAULT_RESULTS,
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Text search when there is text, otherwise browsing; facets play no part."""
     plain = Conditions(conditions.min_price, conditions.max_price, conditions.min_rating)
@@ -116,7 +120,7 @@ def hybrid_search(
     catalog: DataFrame,
     request: SearchRequest,
     embedding: Sequence[float],
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Vector hits and text hits, each turned into reciprocal rank scores and added up by name."""
     near = vector_search(
@@ -137,7 +141,7 @@ def ai_search(
     catalog: DataFrame,
     request: SearchRequest,
     embed: Callable[[str], Sequence[float]],
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Dispatch on the request and return ``(rank, image, name)``."""
     if request.blank:
@@ -172,14 +176,14 @@ def batch_lexical_search(
     queries: DataFrame,
     conditions: Conditions | None,
     n: int = DEFAULT_RESULTS,
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """``(query_id, rank, _id, img, name, score)`` for a table ``(query_id, text)``.
 
     ``conditions`` are shared by all queries; None means that the table states them per query, in
     the columns of ``REQUEST_COLUMNS``. A stored index saves the passes that collect statistics.
     """
-    index = index or LexicalIndex.of(catalog)
+    index = index.index() if isinstance(index, TextIndex) else index or LexicalIndex.of(catalog)
     where = None if conditions is None else conditions.lenient()
     return best_matches(catalog, queries, index, n, where)
 
@@ -188,7 +192,7 @@ def batch_hybrid_search(
     catalog: DataFrame,
     queries: DataFrame,
     request: SearchRequest,
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Hybrid search for a table ``(query_id, text, vector)``; ``request`` holds what they share.
 
@@ -248,7 +252,7 @@ def batch_ai_search(
     catalog: DataFrame,
     queries: DataFrame,
     request: SearchRequest,
-    index: LexicalIndex | None = None,
+    index: LexicalIndex | TextIndex | None = None,
 ) -> DataFrame:
     """Dispatch every request of a table ``(query_id, text, vector)``: ``(query_id, rank, image, name)``.
 
