@@ -59,6 +59,10 @@ class Vocabulary:
                 self.bytes[i] = bytes([int(names[i][3:5], 16)])
         for i in plain:
             self.bytes[i] = names[i].replace(SPACE_MARK, " ").encode()
+        # The same pieces one after the other, for many at a time.
+        self.joined = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.sizes = np.fromiter(map(len, self.bytes), dtype=np.int64, count=size)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         ranks = np.arange(1, len(plain) + 1)
         total = np.log((1.0 / ranks).sum())
         self.score = np.full(size + 1, -np.inf, dtype=np.float32)
@@ -173,7 +177,7 @@ class Lattices:
         # Log-sums of all paths from a node to its segment's end, from the end backwards, and from
         # them each edge's share of its node.
         sums = [np.zeros(len(segments))]
-        self.share = share = np.zeros((_LONGEST, n), dtype=np.float32)
+        share = np.zeros((_LONGEST, n), dtype=np.float32)
         wide_nodes = np.flatnonzero(wide)
         wide_from = np.searchsorted(wide_nodes, self.base[1:])
         for distance in range(1, longest + 1):
@@ -187,16 +191,19 @@ class Lattices:
                 reach = np.stack([score[i - 1, some] + sums[distance - i][some - lo] for i in lengths])
                 total[some - lo], share[: len(lengths), some] = _normal(reach)
             sums.append(total)
-        upto = np.cumsum(share, axis=0)
-        upto[-1] = 2.0  # the last fitting piece takes what rounding leaves over
-        self.upto = np.ascontiguousarray(upto.T)
+        # Read node by node from here on, so a node's edges lie together.
+        self.share = np.ascontiguousarray(share.T)
+        for i in range(1, _LONGEST):
+            share[i] += share[i - 1]
+        share[-1] = 2.0  # the last fitting piece takes what rounding leaves over
+        self.upto = np.ascontiguousarray(share.T)
 
     def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Index of a drawn edge of each node."""
-        chosen = np.count_nonzero(self.upto[nodes] <= uniform[:, None].astype(np.float32), axis=1)
-        beyond = np.flatnonzero(self.share[chosen, nodes] == 0)
+        chosen = (self.upto[nodes] > uniform[:, None].astype(np.float32)).argmax(1)
+        beyond = np.flatnonzero(self.share[nodes, chosen] == 0)
         if len(beyond):
-            chosen[beyond] = _LONGEST - 1 - (self.share[::-1, nodes[beyond]] > 0).argmax(0)
+            chosen[beyond] = _LONGEST - 1 - (self.share[nodes[beyond], ::-1] > 0).argmax(1)
         return chosen
 
     def after(self, nodes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +308,7 @@ class Batch:
         every batch.
         """
         with np.errstate(divide="ignore"):
-            step = np.log(self.lattices.share[edge, node].astype(np.float64)) if len(node) else np.empty(0)
+            step = np.log(self.lattices.share[node, edge].astype(np.float64)) if len(node) else np.empty(0)
         offset = np.concatenate([[0], np.cumsum(docs)])
         whole = np.concatenate([[0], np.cumsum(np.rint(step * _UNIT).astype(np.int64))])
         before = np.repeat(whole[offset[:-1]], docs)
@@ -322,15 +329,15 @@ class Batch:
         doc = np.repeat(np.arange(self.docs), sizes)
         lat = self.lattices
         # What a node's other edges weigh, summed without the path's own, so small rests stay exact.
-        rest = 1.0 - lat.share[paths.edge, paths.node].astype(np.float64)
+        rest = 1.0 - lat.share[paths.node, paths.edge].astype(np.float64)
         small = np.flatnonzero(rest < 0.1)
-        others = lat.share[:, paths.node[small]]
-        others[paths.edge[small], np.arange(len(small))] = 0
-        rest[small] = others.sum(0, dtype=np.float64)
+        others = lat.share[paths.node[small]]
+        others[np.arange(len(small)), paths.edge[small]] = 0
+        rest[small] = np.einsum("ij->i", others, dtype=np.float64)
         branch = np.flatnonzero((since < sizes) & (taken > 0))
         at = paths.offset[branch] + since[branch]
         used = (taken[branch][:, None] >> np.arange(_LONGEST)) & 1
-        rest[at] = (lat.share[:, paths.node[at]].T * (used == 0)).sum(1, dtype=np.float64)
+        rest[at] = (lat.share[paths.node[at]] * (used == 0)).sum(1, dtype=np.float64)
         with np.errstate(divide="ignore"):
             location = paths.mass + np.log(rest)
         location[np.arange(len(doc)) - paths.offset[doc] < since[doc]] = _NONE
@@ -397,7 +404,7 @@ class Batch:
             mine = np.flatnonzero(alive)
             if len(mine):
                 open_ = ((used[mine][:, None] >> np.arange(_LONGEST)) & 1) == 0
-                share = self.lattices.share[:, node[mine]].T.astype(np.float64) * open_
+                share = self.lattices.share[node[mine]].astype(np.float64) * open_
                 upto = np.cumsum(share, axis=1)
                 u = _uniform(self.keys[mine], 2000 + number, at[mine]) * upto[:, -1]
                 edge[mine] = np.minimum((upto <= u[:, None]).sum(1), _LONGEST - 1 - (share > 0)[:, ::-1].argmax(1))
@@ -500,7 +507,7 @@ def _sampled(
         arrays.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))))
         if read_back is None:
             return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES])
-        arrays.append(pa.array([decoded(ids[a:b].tolist(), v) for a, b in zip(offsets, offsets[1:])], pa.string()))
+        arrays.append(pa.array(all_decoded(ids, offsets, v), pa.string()))
         return pa.RecordBatch.from_arrays(arrays, [*names, *_NAMES, read_back])
 
     for batch in batches:
@@ -557,14 +564,24 @@ def decoded(ids: list[int], v: Vocabulary) -> str:
     return joined[1:] if joined.startswith(" ") else joined
 
 
+def all_decoded(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[str]:
+    """``decoded`` for many lists of ids, which lie one after the other."""
+    sizes = v.sizes[ids]
+    ends = np.cumsum(sizes)
+    joined = v.joined[np.repeat(v.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    cuts = np.concatenate([[0], ends])[offsets].tolist()
+    texts = (joined[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:]))
+    return [t[1:] if t.startswith(" ") else t for t in texts]
+
+
 def _decode(batches: Iterator[pa.RecordBatch], model_file: str, ids: str, name: str) -> Iterator[pa.RecordBatch]:
     v = _load(model_file, 1.0)
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             values = part.column(ids)
-            flat, offsets = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())])
-            texts = [decoded(flat[a:b].tolist(), v) for a, b in zip(offsets, offsets[1:])]
+            offsets = np.concatenate([[0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())])
+            texts = all_decoded(values.flatten().to_numpy(), offsets, v)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, name])
 
 
