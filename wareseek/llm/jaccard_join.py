@@ -18,7 +18,6 @@ sets of the cluster traverse, so the memory of a task is bounded.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wareseek.llm.common import WORD, mixed, slices
+from wareseek.llm.common import mixed, slices
 from wareseek.llm.components import components
 from wareseek.storage import is_small, materialise
 
@@ -37,34 +36,25 @@ _CELL_BITS = 23
 _CELL_BLOCK_BITS = 15
 _WANTED_BITS = 26
 _ROWS = 256
-_KNOWN_WORDS = 300_000
 _REMEMBERED = 500_000
 _MAX_BROADCAST_NODES = 500_000
 _LAST = (1 << 63) - 1
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Grams(dict):
-    """Hashes of lower-cased words, the frequent ones kept, and the n-gram sets of texts."""
+class Grams:
+    """The n-gram sets of texts, from hashes of their lower-cased words."""
 
     def __init__(self, size: int):
-        super().__init__()
-        self._find = re.compile(WORD).findall
         self._size = size
 
-    def __missing__(self, word: str) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word.translate(_LOWER).encode())
-        return value
-
-    def set_of(self, text: str) -> np.ndarray:
+    def set_of(self, text: bytes) -> np.ndarray:
         """The sorted distinct hashes of a text's n-grams; of all its words when they are fewer."""
-        words = self._find(text)
+        words = text.lower().split()  # of bytes: A to Z, and the six spaces of ASCII
         if not words:
             return np.empty(0, dtype=np.uint64)
-        if len(self) > _KNOWN_WORDS:
-            self.clear()
-        hashes = np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
+        # Hashing a word takes no longer than looking it up among many.
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
         size = min(self._size, len(words))
         grams = np.zeros(len(words) - size + 1, dtype=np.uint64)
         for i in range(size):
@@ -105,7 +95,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
     used = False
     for batch in slices(batches, _ROWS):
         n, nodes, all_cells = [], [], []
-        for text in batch.column("text").to_pylist():
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = grams.set_of(text)
             n.append(len(found))
             nodes.append(set_key(found) if len(found) else None)
@@ -162,7 +152,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, table)
     seen: set[int] = set()
     for batch in slices(batches, _ROWS):
         columns: list[list[np.ndarray]] = [[], [], []]
-        for text in batch.column("text").to_pylist():
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = grams.set_of(text)
             n = len(found)
             node = set_key(found) if n else None
@@ -243,7 +233,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], size: int, table, wanted) ->
         rows = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
         if not len(rows):
             continue
-        texts = batch.column("text").take(pa.array(rows)).to_pylist()
+        texts = batch.column("text").take(pa.array(rows)).cast(pa.binary()).to_pylist()
         sets = [ordered(s, levels) for s in map(grams.set_of, texts)]
         rows = [r for r, s in zip(rows.tolist(), sets) if len(s)]
         sets = [s for s in sets if len(s)]
