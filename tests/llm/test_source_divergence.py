@@ -72,7 +72,8 @@ def test_tasks_that_forget_and_pass_on_in_parts(monkeypatch):
         batches = table.take(pa.array(np.array(order))).combine_chunks().to_batches()
         total = Counter()
         for batch in d._counted(iter(batches)):
-            for lang, source, term, n in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for lang, source, term, n, documents in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 total[lang, source, term] += n
+                total[lang, None, term] += documents
         sums.append(total)
-    assert sums[0] == sums[1] and sums[0]["en", "hot", "same"] == 133
+    assert sums[0] == sums[1] and sums[0]["en", "hot", "same"] == 133 and sums[0]["en", None, "same"] == 200

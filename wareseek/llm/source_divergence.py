@@ -72,18 +72,23 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums (lang, source, term, n) of occurrences, and of documents where the source is null.
+    """Sums (lang, source, term, n, documents) of occurrences in a source, and of documents of the language.
 
-    Rows come sorted by language and text, those that hold the text first.
+    A term's documents come with any one of its sources. Rows come sorted by language and text, those that hold
+    the text first.
     """
     counts: dict[tuple[str, str | None], Counter] = {}
 
     def sums() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in counts.items():
+            if source is None:
+                continue
             n = len(terms)
+            rest = counts[lang, None]
+            documents = [rest.pop(term, 0) for term in terms]
             arrays = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string())]
-            words = pa.array(list(terms), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, words, pa.array(list(terms.values()), pa.int64())], ["lang", "source", "term", "n"])
+            arrays += [pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(list(terms.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(documents, pa.int64())], ["lang", "source", "term", "n", "documents"])
         counts.clear()
 
     def add(lang: str, text: bytes, copies: Counter) -> None:
@@ -125,13 +130,10 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     texts = docs.mapInArrow(_collapsed, "lang string, digest binary, source string, text binary, copies long")
     texts = texts.repartition("lang", "digest").sortWithinPartitions("lang", "digest", F.col("text").isNull())
-    sums = texts.mapInArrow(_counted, "lang string, source string, term string, n long").repartition("lang", "term")
-    sums = sums.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
-    used = F.col("source").isNotNull()
+    sums = texts.mapInArrow(_counted, "lang string, source string, term string, n long, documents long")
+    sums = sums.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     by_term = sums.groupBy("lang", "term").agg(
-        F.max(F.when(~used, F.col("n"))).alias("documents"),
-        F.sum(F.when(used, F.col("n"))).alias("total"),
-        F.collect_list(F.when(used, F.struct("source", "n"))).alias("sources"),
+        F.sum("documents").alias("documents"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("sources")
     )
     return by_term.where(F.col("documents") >= min_docs).drop("documents")
 
