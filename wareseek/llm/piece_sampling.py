@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wareseek.llm.common import mixed
 from wareseek.llm.token_counts import SEGMENT, SPACE_MARK
 
-_CHARS_IN_BATCH = 1 << 19
+_CHARS_IN_BATCH = 3 << 18
 _COMMON = 160
 _LONGEST = 16
 _SHORT = 8
