@@ -461,11 +461,10 @@ _LENIENT = (
 )
 
 
-@query("batch_requests", batch_sql(_REQUESTS, _STRICT, _LENIENT, "want"))
-def _(spark, sf):
+def request_table(spark, sf):
     key = F.col("query_id")
     labels = lambda *values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    requests = query_table(spark, sf).select(
+    return query_table(spark, sf).select(
         "*",
         (key % 16 + 5).cast("int").alias("n"),
         F.lit(900.0).alias("min_price"),
@@ -475,13 +474,46 @@ def _(spark, sf):
         F.when(key % 4 == 0, labels("Red")).otherwise(labels("Red", "Blue")).alias("colors"),
         F.when(key % 3 == 0, labels()).otherwise(labels("Summer", "Winter")).alias("seasons"),
     )
-    hits = search.batch_hybrid_search(catalog(spark, sf), requests, REQUEST)
-    return hits.select("query_id", "rank", "name", "img", "score")
 
 
-# --- Complete searches -------------------------------------------------------------------------
+@query("batch_requests", batch_sql(_REQUESTS, _STRICT, _LENIENT, "want"))
+def _(spark, sf):
+    hits = search.batch_hybrid_search(catalog(spark, sf), request_table(spark, sf), REQUEST)
+    return hits.select("query_id", "rank", "name", "img", "score")
+
 
+# The same requests, some with a blank text, the others asking for one kind of search or both.
+_DISPATCHED = (
+    _REQUESTS.replace("queries AS (", "stated AS (")
+    + """,
+queries AS (
+  SELECT * REPLACE (CASE WHEN query_id % 7 = 0 THEN ' ' ELSE text END AS text),
+         CASE WHEN query_id % 7 = 0 THEN 'browse' WHEN query_id % 5 = 0 THEN 'vector' WHEN query_id % 5 = 1 THEN 'lexical'
+              ELSE 'hybrid' END AS kind FROM stated
+)"""
+)
 _IMAGE = "trim(string_split(img, ';')[-1])"
+_DISPATCH = f"""SELECT query_id, CAST(rank AS BIGINT) AS rank, {_IMAGE} AS image, name FROM (
+      SELECT query_id, rank, img, name FROM placed JOIN queries USING (query_id) WHERE kind = 'hybrid' AND rank < want
+      UNION ALL SELECT query_id, rank, img, name FROM near JOIN queries USING (query_id) WHERE kind = 'vector'
+      UNION ALL SELECT query_id, rank, img, name FROM hits JOIN queries USING (query_id) WHERE kind = 'lexical'
+      UNION ALL SELECT query_id, rank, img, name FROM (
+        SELECT query_id, want, img, name, row_number() OVER (PARTITION BY query_id ORDER BY rating DESC, _id) - 1 AS rank
+        FROM products CROSS JOIN queries WHERE kind = 'browse' AND rating IS NOT NULL AND {_LENIENT}) WHERE rank < want)"""
+_FINAL = "SELECT query_id, CAST(rank AS BIGINT) AS rank, name, img, score FROM placed WHERE rank < n"
+
+
+@query("batch_ai_search", batch_sql(_DISPATCHED, _STRICT, _LENIENT, "want").replace(_FINAL, _DISPATCH))
+def _(spark, sf):
+    key = F.col("query_id")
+    types = F.when(key % 5 == 0, F.array(F.lit("Vector"))).when(key % 5 == 1, F.array(F.lit("LEXICAL")))
+    requests = request_table(spark, sf).withColumns(
+        {"text": F.when(key % 7 == 0, F.lit(" ")).otherwise(F.col("text")), "search_types": types}
+    )
+    return search.batch_ai_search(catalog(spark, sf), requests, REQUEST)
+
+
+# --- Complete searches -------------------------------------------------------------------------
 
 
 @query(
