@@ -235,6 +235,7 @@ def best_matches(
     where: Column | None = None,
     text: str = "name",
     digits: int = 9,
+    checked: bool = False,
 ) -> DataFrame:
     """Best ``n`` matches for a table ``(query_id, text)``: ``(query_id, key, img, name, score, rank)``.
 
@@ -243,7 +244,8 @@ def best_matches(
     scored where they lie, a slice of queries at a time, so frequent terms do not make the shuffle
     grow: listing every match of every query would.
     """
-    refuse_repeated(queries)
+    if not checked:
+        refuse_repeated(queries)
     own = own_conditions(queries)
     read = ["_tokens", *(FILTER_COLUMNS if own else ())]
     rows = catalog if where is None else catalog.filter(where)
@@ -259,7 +261,7 @@ def best_matches(
     requests = grouped.join(queries.select("query_id", *own), "query_id") if own else grouped
     slices = (
         (found, _relevance([r["weights"] for r in found], corpus["mean_length"], digits))
-        for found in query_slices(requests, MAX_QUERIES_PER_PASS)
+        for found in query_slices(requests, MAX_QUERIES_PER_PASS, checked=True)
     )
     id_type = queries.schema["query_id"].dataType
     return best_per_query(rows, read, slices, id_type, n, index.key, strict=False)

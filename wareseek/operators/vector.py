@@ -66,6 +66,7 @@ def nearest_per_query(
     where: Column | None = None,
     tie: str = "_id",
     digits: int = 9,
+    checked: bool = False,
 ) -> DataFrame:
     """``nearest`` for a table ``(query_id, vector)``: ``(query_id, tie, img, name, score, rank)``.
 
@@ -80,7 +81,7 @@ def nearest_per_query(
     usable = queries.select("query_id", "vector", *own).filter(F.col("vector").isNotNull())
 
     def slices() -> Iterator[tuple[list[Row], BlockScorer]]:
-        for found in query_slices(usable, MAX_QUERIES_PER_PASS):
+        for found in query_slices(usable, MAX_QUERIES_PER_PASS, checked):
             directed = [r for r in found if np.isfinite(r["vector"]).all() and np.any(r["vector"])]
             if directed:
                 units = np.stack([unit_query(r["vector"]) for r in directed])

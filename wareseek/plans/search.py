@@ -177,6 +177,7 @@ def batch_lexical_search(
     conditions: Conditions | None,
     n: int = DEFAULT_RESULTS,
     index: LexicalIndex | TextIndex | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """``(query_id, rank, _id, img, name, score)`` for a table ``(query_id, text)``.
 
@@ -185,7 +186,7 @@ def batch_lexical_search(
     """
     index = index.index() if isinstance(index, TextIndex) else index or LexicalIndex.of(catalog)
     where = None if conditions is None else conditions.lenient()
-    return best_matches(catalog, queries, index, n, where)
+    return best_matches(catalog, queries, index, n, where, checked=checked)
 
 
 def batch_hybrid_search(
@@ -193,6 +194,7 @@ def batch_hybrid_search(
     queries: DataFrame,
     request: SearchRequest,
     index: LexicalIndex | TextIndex | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """Hybrid search for a table ``(query_id, text, vector)``; ``request`` holds what they share.
 
@@ -200,18 +202,20 @@ def batch_hybrid_search(
     number of results (``n``).
     """
     # Every step below reads the queries; whatever produced them should run once.
-    queries = materialise(queries, "queries")
-    refuse_repeated(queries)
+    # A caller that has checked the ids has staged them as well.
+    if not checked:
+        queries = materialise(queries, "queries")
+        refuse_repeated(queries)
     conditions_stated = bool(own_conditions(queries))
     own_n = "n" in queries.columns
     n = (queries.agg(F.max("n")).first()[0] or 1) if own_n else request.n
     shared = None if conditions_stated else request.conditions
     near = nearest_per_query(
-        catalog, queries, n, request.vector_column, shared.strict() if shared else None
+        catalog, queries, n, request.vector_column, shared.strict() if shared else None, checked=True
     )
     near = near.filter(F.col("score") >= request.threshold)
     near = near.withColumn("vs_score", rank_score(request.vector_penalty))
-    text = batch_lexical_search(catalog, queries, shared, n, index)
+    text = batch_lexical_search(catalog, queries, shared, n, index, checked=True)
     text = text.withColumn("fts_score", rank_score(request.text_penalty))
     ranked = union_ranked(near.drop("score"), text.drop("score"))
     if not own_n:
@@ -222,7 +226,11 @@ def batch_hybrid_search(
 
 
 def batch_browse(
-    catalog: DataFrame, queries: DataFrame, conditions: Conditions | None, n: int = DEFAULT_RESULTS
+    catalog: DataFrame,
+    queries: DataFrame,
+    conditions: Conditions | None,
+    n: int = DEFAULT_RESULTS,
+    checked: bool = False,
 ) -> DataFrame:
     """Browsing for a table of requests: ``(query_id, rank, _id, img, name, score)``.
 
@@ -234,7 +242,7 @@ def batch_browse(
     rows = rows.filter(F.col("rating").isNotNull()).select("_id", "img", "name", *read)
     slices = (
         (found, _ratings(len(found)))
-        for found in query_slices(queries.select("query_id", *own), MAX_QUERIES_PER_PASS)
+        for found in query_slices(queries.select("query_id", *own), MAX_QUERIES_PER_PASS, checked)
     )
     id_type = queries.schema["query_id"].dataType
     return best_per_query(rows, read, slices, id_type, n, "_id", strict=False)
@@ -283,14 +291,14 @@ def batch_ai_search(
     def hits(kind: str) -> DataFrame:
         mine = sorted_out.filter(F.col("_kind") == kind).drop("_kind")
         if kind == "hybrid":
-            return batch_hybrid_search(catalog, mine, request, index)
+            return batch_hybrid_search(catalog, mine, request, index, checked=True)
         if kind == "browse":
-            found = batch_browse(catalog, mine, conditions, most)
+            found = batch_browse(catalog, mine, conditions, most, checked=True)
         elif kind == "lexical":
-            found = batch_lexical_search(catalog, mine, conditions, most, index)
+            found = batch_lexical_search(catalog, mine, conditions, most, index, checked=True)
         else:
             where = conditions.strict() if conditions else None
-            found = nearest_per_query(catalog, mine, most, request.vector_column, where)
+            found = nearest_per_query(catalog, mine, most, request.vector_column, where, checked=True)
             found = found.filter(F.col("score") >= request.threshold)
         if own_n:
             found = found.join(mine.select("query_id", "n"), "query_id").filter(F.col("rank") < F.col("n"))
