@@ -2,6 +2,7 @@ import itertools
 
 import cases
 import numpy as np
+import pytest
 
 from wareseek.llm import toxicity as t
 from wareseek.llm.queries import RUNS
@@ -44,6 +45,49 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def held_out_rates(spark, scale, flipped):
+    """Shares of held-out toxic and clean labelled texts that score as toxic; ``flipped`` toxic
+    texts, as a share of the clean ones, are learned as clean."""
+    sf_dir = cases.SF_DIR.replace("sf0.001", scale)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    rows = t.sample(docs, labels, t.Training())
+    left = round(flipped * sum(y == 0 for _, y in rows))
+    learned = []
+    for text, y in rows:
+        wrong = y == 1 and left > 0
+        left -= wrong
+        learned.append((text, 0 if wrong else y))
+    chain = t.Chain(t.fit(learned))
+    judged = docs.join(labels, "doc_id").where(t.held_out()).where("toxic IS NOT NULL").collect()
+    found = [(chain.score([p for p, *_ in chain.marginals(r["text"] or "")]) >= 0.5, r["toxic"]) for r in judged]
+    return [np.mean([p for p, y in found if y == want]) for want in (1, 0)]
+
+
+@pytest.mark.parametrize("scale, flipped, caught", [("sf0.01", 0.0, 0.6), ("sf0.01", 0.03, 0.6), ("sf0.1", 0.0, 0.9), ("sf0.1", 0.01, 0.8)])
+def test_toxic_texts_are_found_beside_wrong_labels(spark, scale, flipped, caught):
+    toxic, clean = held_out_rates(spark, scale, flipped)
+    assert toxic >= caught and clean <= 0.02
+
+
+def test_few_labels_teach_something(spark):
+    docs = cases.documents(spark).select("doc_id", "text")
+    labels = spark.read.parquet(f"{cases.SF_DIR}/labels.parquet")
+    model = t.fit(t.sample(docs, labels, t.Training()))
+    scored = t.tag(docs, model).join(labels, "doc_id").collect()
+    assert np.mean([r["score"] >= 0.5 for r in scored if r["toxic"] == 1]) >= 0.5
+    assert not any(r["score"] >= 0.5 for r in scored if r["toxic"] == 0)
+
+
+def test_strength_of_features():
+    train = t.Training()
+    assert t.telling(0, 5, 100, 100, train) == 0.0 and t.telling(5, 5, 100, 100, train) == 0.0
+    few, many = t.telling(2, 0, 350, 2000, train), t.telling(100, 0, 350, 2000, train)
+    assert few < 0.1 and many > 0.9
+    assert 0.5 < t.telling(100, 17, 350, 2000, train) < many  # wrong labels lower it only
+    assert t.telling(200, 700, 350, 2000, train) < 0.1
+
+
 def test_edge_rows(spark):
     docs = cases.edge_docs(spark)
     model = t.fit([("good words here", 0), ("idiot speaks", 1)] * 40 + [("more good words", 0)] * 40)

@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 The field has two states, clean and toxic. It is trained here from document labels: features
-(words and their beginnings) that toxic documents hold and clean ones do not label the tokens of
-a bounded sample, and the field learns from those sequences how strongly each feature speaks and
-how toxic tokens follow each other. Forward-backward gives every token's marginal, marginals above
+(words and their beginnings) label the tokens of a bounded sample's toxic documents, each as far
+as its counts in both classes speak of toxicity, and the field learns from those sequences how
+strongly each feature speaks and how toxic tokens follow each other. Forward-backward gives every token's marginal, marginals above
 one half are offending spans, and a document's score is the calibrated chance that any token is
 toxic.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wareseek.llm.common import slices
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7, 8)
 _ROWS = 256
 #: Windows that training looks at together; any number of such groups is gone through.
 _WINDOWS = 5_000
@@ -43,11 +43,16 @@ def features_of(word: str) -> list[str]:
 class Training:
     """What the model is fitted on. The sample is bounded: the labelled rows of each class that
     come first in the order of a hash of their id, ``docs_per_class`` at most. All windows of these
-    rows that hold a feature train the field."""
+    rows that hold a feature train the field.
+
+    ``prior`` are the odds, before any count, that a feature tells the classes apart; a higher
+    ``sharpness`` trusts features less that clean documents hold too. Both are odds and rates, so
+    they mean the same for a sample of any size."""
 
     docs_per_class: int = 2000
-    min_gain: float = 14.0
-    min_ratio: float = 200.0
+    prior: float = 3e-4
+    sharpness: float = 8.0
+    least: float = 0.1
     window: int = 40
     rounds: int = 80
     rate: float = 0.1
@@ -70,12 +75,31 @@ class Field:
         return sum(found) if found else None
 
 
-def _label_features(docs: list[tuple[list[str], int]], t: Training) -> set[str]:
-    """Features that toxic documents of the sample hold far more often than clean ones.
+def _log_beta(a: float, b: float) -> float:
+    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+
+def telling(toxic: int, clean: int, n_toxic: int, n_clean: int, t: Training) -> float:
+    """How far, from 0 to 1, a feature's occurrences in toxic documents speak of toxicity.
+
+    The chance that the two classes hold the feature at rates of their own, by the evidence of the
+    counts against one common rate, times the part of its rate in toxic documents that clean
+    ones do not explain. Few counts or some wrong labels lower the number and rule nothing out.
+    """
+    rate = [(toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)]
+    if rate[0] <= rate[1]:
+        return 0.0
+    apart = _log_beta(toxic + 0.5, n_toxic - toxic + 0.5) + _log_beta(clean + 0.5, n_clean - clean + 0.5)
+    common = _log_beta(toxic + clean + 0.5, n_toxic + n_clean - toxic - clean + 0.5) + _log_beta(0.5, 0.5)
+    odds = math.log(t.prior) + apart - common
+    return (1 - rate[1] / rate[0]) ** t.sharpness / (1 + math.exp(-min(odds, 500.0)))
+
+
+def _label_features(docs: list[tuple[list[str], int]], t: Training) -> dict[str, float]:
+    """Features of the sample's toxic documents with how telling each is.
 
-    The difference must also be no chance find among very many words: the log-likelihood gained
-    by telling the classes apart is at least ``min_gain``. Copies of a document are no further
-    evidence, so a feature then counts once for each pair of words around it.
+    Copies of a document are no further evidence, so a feature counts at most once for each pair
+    of words around it. Those below ``least`` would move no token's label and are left out.
     """
     held = (Counter(), Counter())
     n = [0, 0]
@@ -83,16 +107,15 @@ def _label_features(docs: list[tuple[list[str], int]], t: Training) -> set[str]:
         n[toxic] += 1
         held[toxic].update({f for w in set(words) for f in features_of(w)})
     clean, toxic = held
+    cache: dict[tuple[int, int], float] = {}
 
-    def tells(feature: str, c: int) -> bool:
-        other = clean[feature]
-        if not c or other and c / n[1] < t.min_ratio * other / n[0]:
-            return False
-        share = (c + other) / sum(n)
-        gain = c * math.log(c / (n[1] * share)) + (other * math.log(other / (n[0] * share)) if other else 0.0)
-        return gain >= t.min_gain
+    def strength(feature: str, c: int) -> float:
+        pair = (c, clean[feature])
+        if pair not in cache:
+            cache[pair] = telling(*pair, n[1], n[0], t)
+        return cache[pair]
 
-    likely = {f for f, c in toxic.items() if tells(f, c)}
+    likely = {f for f, c in toxic.items() if strength(f, c) >= t.least}
     around: dict[str, set] = {f: set() for f in likely}
     known: dict[str, list[str]] = {}
     for words, is_toxic in docs:
@@ -103,7 +126,8 @@ def _label_features(docs: list[tuple[list[str], int]], t: Training) -> set[str]:
                     found = known[w] = [f for f in features_of(w) if f in likely]
                 for f in found:
                     around[f].add((before, after))
-    return {f for f in likely if tells(f, min(toxic[f], len(around[f])))}
+    found = {f: strength(f, min(toxic[f], len(around[f]))) for f in likely}
+    return {f: q for f, q in found.items() if q >= t.least}
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, counted: np.ndarray):
@@ -144,7 +168,8 @@ def fit(rows: list[tuple[str, int]], t: Training = Training()) -> Field:
     if len(set(labels)) < 2:
         model.offset = -4.0
         return model
-    chosen = sorted(_label_features(list(zip(tokens, labels)), t))
+    strength = _label_features(list(zip(tokens, labels)), t)
+    chosen = sorted(strength)
     place = {f: i for i, f in enumerate(chosen)}
     known: dict[str, list[int]] = {}
     # Windows of the token sequences; those without any feature are all alike and counted once.
@@ -164,13 +189,14 @@ def fit(rows: list[tuple[str, int]], t: Training = Training()) -> Field:
                 continue
             row = len(sizes)
             sizes.append(len(part))
-            truth.append([bool(ids) and toxic == 1 for ids in found] + [False] * (t.window - len(part)))
+            told = [max((strength[chosen[j]] for j in ids), default=0.0) if toxic else 0.0 for ids in found]
+            truth.append(told + [0.0] * (t.window - len(part)))
             for i, ids in enumerate(found):
                 feature_rows += [row * t.window + i] * len(ids)
                 feature_ids += ids
     n = len(sizes) + 1
     sizes = np.array([*sizes, t.window])
-    truth = np.array([*truth, [False] * t.window], dtype=float).reshape(n, t.window)
+    truth = np.array([*truth, [0.0] * t.window]).reshape(n, t.window)
     count = np.ones(n)
     count[-1] = max(plain, 1)
     where, which = np.array(feature_rows, dtype=np.int64), np.array(feature_ids, dtype=np.int64)
@@ -179,7 +205,8 @@ def fit(rows: list[tuple[str, int]], t: Training = Training()) -> Field:
     seen = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
-            seen[a, b] = ((truth[:, :-1] == a) & (truth[:, 1:] == b) & inside[:, 1:])[:-1].sum()
+            first, second = (truth if x else 1 - truth for x in (a, b))
+            seen[a, b] = (first[:, :-1] * second[:, 1:] * inside[:, 1:])[:-1].sum()
     weights, bias, moves = np.zeros(len(chosen)), -4.0, np.zeros((2, 2))
     held = np.bincount(which, minlength=len(chosen)).astype(float) + 1
     state = [np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
