@@ -127,6 +127,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_ENTROPY = 0.97
+#: A source of a few documents is run through this often at most, whatever the entropy asks for.
+MIX_REPEATS = 64.0
 
 
 @query("op3_source_mixing")
@@ -136,7 +138,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return schedule(docs, tokens, Mixture(entropy=MIX_ENTROPY)).withColumnRenamed("tokens", "n_tokens")
+    return schedule(docs, tokens, Mixture(entropy=MIX_ENTROPY, max_repeats=MIX_REPEATS)).withColumnRenamed("tokens", "n_tokens")
 
 
 @query("op6_substring_dedup", oracles.OP6)
