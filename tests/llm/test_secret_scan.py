@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import itertools
 import math
+import random
 import re
 
 import cases
@@ -103,3 +105,27 @@ def test_no_python(spark, capsys):
     RUNS["op2_secret_scan"](spark, cases.SF_DIR).explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Arrow" not in plan and "Python" not in plan
+
+
+def test_many_matches_in_long_texts(spark):
+    random.seed(4)
+    words = ["%016x" % random.getrandbits(64) for _ in range(9000)]
+    mixed = [f"é{w} token={w}Zq8 AKIA{w.upper()}" if i % 5 == 0 else w[: random.randrange(3, 17)] for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(mixed), "日" * 70000 + " " + words[0], words[0] + "x" * 70000, "a", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = s.scan(docs).withColumn("clean", s.redact(F.col("text"), F.concat("base_spans", "entropy_spans")))
+    for r in found.collect():
+        text = r["text"] or ""
+        spans = [tuple(x) for x in r["base_spans"] + r["entropy_spans"]]
+        assert sorted(spans) == sorted(x for x in base_spans(text) + entropy_spans(text))
+        assert r["clean"] == (redacted(text, spans) if spans else r["text"])
+
+
+def test_what_lies_before(spark):
+    random.seed(5)
+    lists = [[random.randrange(100) for _ in range(n)] for n in (0, 1, 63, 64, 65, 4096, 4097, 9000)]
+    rows = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    sums, tops = s._sums_before(F.col("x")), s._before(F.col("x"), lambda most, x: F.greatest(most, x))
+    for x, total, top in rows.select("x", sums, tops).collect():
+        assert total == [0, *itertools.accumulate(x)][: len(x)]
+        assert top == [0, *itertools.accumulate(x, max)][: len(x)]

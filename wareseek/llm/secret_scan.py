@@ -64,27 +64,44 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda total, x: total + x)
-
-
 _CHUNK = 64
+_CHARS = 1024
 
 
-def _sums_before(sizes: Column) -> Column:
-    """For each element the sum of those before it, by way of sums of chunks."""
+def _before(values: Column, combine: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """For each element what ``combine`` makes of those before it, beginning with 0.
+
+    Chunks are combined first, and what lies before each chunk follows from those in the same way, so
+    the work stays in proportion to the elements.
+    """
 
-    def of_chunks(chunk_sums: Column) -> Column:
-        def one(_, i):
-            chunk = F.floor(i / _CHUNK).cast("int")
-            return _sum(F.slice(chunk_sums, F.lit(1), chunk)) + _sum(
-                F.slice(sizes, chunk * _CHUNK + 1, i - chunk * _CHUNK)
+    def of(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), combine)
+
+    if levels == 0:
+        return F.transform(values, lambda _, i: of(F.slice(values, F.lit(1), i)))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int"))
+    chunked = F.when(F.size(values) > 0, F.transform(chunks, lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK))))
+    chunked = F.coalesce(chunked, F.array().cast("array<array<int>>"))
+
+    def of_parts(parts: Column) -> Column:
+        def of_starts(starts: Column) -> Column:
+            return F.flatten(
+                F.transform(
+                    parts,
+                    lambda part, c: F.transform(
+                        part, lambda _, i: combine(starts[c], of(F.slice(part, F.lit(1), i)))
+                    ),
+                )
             )
 
-        return F.transform(sizes, one)
+        return let(_before(F.transform(parts, of), combine, levels - 1), of_starts)
+
+    return let(chunked, of_parts)
+
 
-    chunks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int"))
-    return let(F.transform(chunks, lambda c: _sum(F.slice(sizes, c * _CHUNK + 1, F.lit(_CHUNK)))), of_chunks)
+def _sums_before(sizes: Column) -> Column:
+    return _before(sizes, lambda total, x: total + x)
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int,body:string>>"
@@ -265,33 +282,38 @@ def of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == KINDS.index(kind))).cast("long")
 
 
+def _cut(text: Column, size: int) -> Column:
+    last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.substring(text, c * size + 1, F.lit(size)))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text in chunks, without a walk from its beginning."""
+    first = F.floor(start / _CHARS).cast("int")
+    n = F.floor(F.greatest(end - 1, start) / _CHARS).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(chunks, first + 1, n), ""), start - first * _CHARS + 1, end - start)
+
+
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with each span, or group of overlapping spans, replaced by a mark."""
 
-    def merged(done: Column, x: Column) -> Column:
-        n = F.size(done)
-        last = F.get(done, n - 1)
-        longer = F.concat(
-            F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
-        )
-        new = F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-        return F.when((n > 0) & (last["end"] > x["start"]), longer).otherwise(new)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    ordered = F.array_sort(F.coalesce(spans, none))
 
-    def rebuilt(groups: Column) -> Column:
+    def rebuilt(ordered: Column, chunks: Column) -> Column:
+        # A span that begins at or after the end of all before it begins a new group.
+        ends = _before(F.transform(ordered, lambda x: x["end"]), lambda most, x: F.greatest(most, x))
+        cuts = F.transform(F.arrays_zip(ordered.alias("span"), ends.alias("reached")), lambda x: F.struct(
+            x["reached"].alias("from"), x["span"]["start"].alias("to")
+        ))
         kept = F.transform(
-            groups,
-            lambda x, i: F.concat(
-                F.substring(
-                    text,
-                    F.when(i > 0, groups[i - 1]["end"]).otherwise(F.lit(0)) + 1,
-                    x["start"] - F.when(i > 0, groups[i - 1]["end"]).otherwise(F.lit(0)),
-                ),
-                F.lit(mark),
-            ),
+            F.filter(cuts, lambda x: x["to"] >= x["from"]),
+            lambda x: F.concat(_piece(chunks, x["from"], x["to"]), F.lit(mark)),
         )
-        end = groups[F.size(groups) - 1]["end"]
-        return F.concat(F.array_join(kept, ""), F.substring(text, end + 1, F.length(text)))
+        end = F.array_max(F.transform(ordered, lambda x: x["end"]))
+        return F.concat(F.array_join(kept, ""), _piece(chunks, end, F.greatest(end, F.length(text))))
 
-    groups = F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int>>"), merged)
-    return F.when(F.size(spans) > 0, let(groups, rebuilt)).otherwise(text)
+    # Finding a place costs a walk to it, so places are looked up in two steps.
+    chunks = F.flatten(F.transform(_cut(text, _CHARS * _CHUNK), lambda part: _cut(part, _CHARS)))
+    made = let(ordered, lambda spans: let(chunks, lambda parts: rebuilt(spans, parts)))
+    return F.when(F.size(spans) > 0, made).otherwise(text)
