@@ -27,7 +27,8 @@ from wareseek.plans import enrich
 from wareseek.plans.enrich import OfflineModels
 from wareseek.schemas import COLORS, FACETS, LABEL_OUTPUT_BUFFER_TOKENS, RAW_CATALOG, SEASONS
 from wareseek.sources.assets import fetch_assets, has_asset, join_assets
-from wareseek.sources.csv import read_catalog_csv, write_catalog_csv
+from wareseek.sources.csv import read_catalog_csv, read_catalog_csv_split, write_catalog_csv
+from wareseek.sources.sink import JsonFolder, register_sink, send
 from wareseek.sources.table import CatalogTable, write_batches
 from wareseek.sources.versions import VersionedTable
 from wareseek.storage import scratch_path
@@ -89,19 +90,28 @@ def stored_assets(spark, sf):
     return pages.select("url", F.encode("html", "UTF-8").alias("img"))
 
 
-@query(
-    "read_catalog_csv",
-    f"""WITH {raw_sql('raw')} SELECT id, name, img, asin, price, mrp, rating, "ratingTotal", discount,
-    coalesce(text, '') AS seller, purl FROM raw LEFT JOIN documents ON doc_id = id""",
-)
-def _(spark, sf):
+def csv_with_documents(spark, sf) -> str:
     """Whole documents stand in the seller column: line breaks, quotes and commas must survive."""
     texts = table(spark, sf, "documents").select("doc_id", "text")
     raw = raw_products(spark, sf).join(texts, F.col("id") == F.col("doc_id"), "left")
     raw = raw.withColumn("seller", F.coalesce("text", F.lit(""))).select(*RAW_CATALOG.fieldNames())
     path = scratch_path(spark, "csv")
     write_catalog_csv(raw, path)
-    return read_catalog_csv(spark, path)
+    return path
+
+
+_CSV_SQL = f"""WITH {raw_sql('raw')} SELECT id, name, img, asin, price, mrp, rating, "ratingTotal", discount,
+    coalesce(text, '') AS seller, purl FROM raw LEFT JOIN documents ON doc_id = id"""
+
+
+@query("read_catalog_csv", _CSV_SQL)
+def _(spark, sf):
+    return read_catalog_csv(spark, csv_with_documents(spark, sf))
+
+
+@query("read_catalog_csv_split", _CSV_SQL)
+def _(spark, sf):
+    return read_catalog_csv_split(spark, csv_with_documents(spark, sf))
 
 
 def fetch_stub(url: str) -> bytes:
@@ -482,6 +492,16 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).json(folder)
 
 
+@query("sink_data_source", f"WITH {PRODUCTS_SQL} SELECT _id, name, price FROM products")
+def _(spark, sf):
+    """The same documents through a data source: staged by tasks, published when the job commits."""
+    folder = scratch_path(spark, "sink")
+    rows = products(spark, sf).select("_id", "name", "price")
+    register_sink(spark, "product_documents", JsonFolder(folder))
+    send(rows, "product_documents", batch_size=100)
+    return spark.read.schema(rows.schema).json(folder)
+
+
 # --- The product table --------------------------------------------------------------------------
 
 _ITEMS = T.StructType(

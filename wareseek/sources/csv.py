@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wareseek.schemas import NULL_TOKENS, RAW_CATALOG
+from wareseek.sources.records import parse_records, read_records
 
 _READING = {
     "header": True,
@@ -29,8 +30,8 @@ def read_catalog_csv(
 
     Text keeps empty values; a number column reads the usual missing-value tokens as NULL and
     fails on anything else that is not a number. Values may span lines, which ties a file to one
-    task: at scale, ship many files, or pass ``multiline=False`` when no value contains a newline
-    so that large files are split. ``partitions`` spreads the rows for the stages that follow and
+    task: at scale, ship many files, read large ones by :func:`read_catalog_csv_split`, or pass
+    ``multiline=False`` when no value contains a newline. ``partitions`` spreads the rows for the stages that follow and
     never changes how many there are; ``limit`` does.
     """
     df = _typed_rows(spark.read.options(**_READING, multiLine=multiline).csv(path), schema)
@@ -39,6 +40,19 @@ def read_catalog_csv(
     return df if partitions is None else df.repartition(partitions)
 
 
+def read_catalog_csv_split(spark: SparkSession, path: str, schema: T.StructType = RAW_CATALOG) -> DataFrame:
+    """The rows of :func:`read_catalog_csv`, with files that hold multi-line values read by many tasks.
+
+    Reads the files twice. All must have the header of the first; ``read_records`` says what is refused.
+    Values keep their line breaks; the reader of whole files turns CR LF inside values to LF where lines
+    end in CR LF.
+    """
+    names = spark.read.options(**_READING, multiLine=True).csv(path).columns
+    reading = {k: str(v) for k, v in _READING.items() if k not in ("header", "enforceSchema")}
+    rows = parse_records(read_records(spark, path), names, {**reading, "multiLine": "true"})
+    return _typed_rows(rows, schema)
+
+
 def stream_catalog_csv(
     spark: SparkSession,
     path: str,
