@@ -83,3 +83,9 @@ def test_edge_rows_and_repeatability(spark):
     assert all(r["decoded"] == texts[r["doc_id"]] for r in one)
     assert [r["ids"] for r in one if r["doc_id"] == 3] == [[]]
     assert p.sample_pieces(docs.limit(0), tokenizer_file(), 2).count() == 0
+
+
+def test_batches_change_no_sample(spark):
+    docs = spark.createDataFrame([(i, "some words again and again " * (i % 4) + str(i % 3)) for i in range(40)], "doc_id long, text string")
+    whole, small = (p.sample_pieces(docs, tokenizer_file(), 2, batch_chars=n) for n in (1 << 18, 50))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect()))

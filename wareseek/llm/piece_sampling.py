@@ -491,7 +491,7 @@ def _rows(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary):
 
 
 def _sampled(
-    batches: Iterator[pa.RecordBatch], model_file: str, power: float, k: int, text: str, key: str, read_back: str | None
+    batches: Iterator[pa.RecordBatch], model_file: str, power: float, k: int, text: str, key: str, read_back: str | None, most_chars: int
 ) -> Iterator[pa.RecordBatch]:
     v = _load(model_file, power)
 
@@ -515,7 +515,7 @@ def _sampled(
         start = 0
         while start < batch.num_rows:  # whole texts, as many as fit, one at least
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + _CHARS_IN_BATCH, side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, before + most_chars, side="right")))
             yield done(batch.slice(start, end - start))
             start = end
 
@@ -529,6 +529,7 @@ def sample_pieces(
     seed: int = 11,
     power: float = 1.0,
     read_back: str | None = None,
+    batch_chars: int = _CHARS_IN_BATCH,
 ) -> DataFrame:
     """Up to ``k`` distinct segmentations of every text: a row each, the text left out.
 
@@ -542,6 +543,9 @@ def sample_pieces(
     repeated rows get equal samples; ``read_back`` names a further column with the text decoded
     from the ids, in the same pass; null keys share one seed. Columns of ``docs`` with the names
     of added ones are replaced. An empty table gives no rows.
+
+    ``batch_chars`` sets how many characters are worked on at once, whole texts and one at least. It
+    changes no sample: more share the work on repeated segments, fewer need less memory.
     """
     kept = [f for f in docs.schema.fields if f.name not in (text, read_back, *_NAMES)]
     schema = T.StructType(
@@ -555,7 +559,7 @@ def sample_pieces(
         ]
     )
     seeded = docs.select(*[f.name for f in kept], F.col(text), F.xxhash64(F.lit(seed), F.col(key)).alias("_seed"))
-    return seeded.mapInArrow(lambda b: _sampled(b, model_file, power, k, text, "_seed", read_back), schema)
+    return seeded.mapInArrow(lambda b: _sampled(b, model_file, power, k, text, "_seed", read_back, batch_chars), schema)
 
 
 def decoded(ids: list[int], v: Vocabulary) -> str:
