@@ -16,6 +16,8 @@ from wareseek.storage import is_small, materialise
 #: How often the mixture may run through its most repeated source.
 MAX_REPEATS = 2.0
 MAX_BROADCAST_IDS = 1_000_000
+#: Characters that piece sampling holds at once. Executors still hold what earlier stages took, so fewer than by default.
+BATCH_CHARS = 1 << 18
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +76,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document the mixture drew."""
-    return piece_sampling.sample_pieces(docs.select("doc_id", "source", "text"), tokenizer_file(), PIECE_SAMPLES)
+    docs = docs.select("doc_id", "source", "text")
+    return piece_sampling.sample_pieces(docs, tokenizer_file(), PIECE_SAMPLES, batch_chars=BATCH_CHARS)
 
 
 STAGES = [
