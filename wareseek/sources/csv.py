@@ -43,7 +43,7 @@ def read_catalog_csv(
 def read_catalog_csv_split(spark: SparkSession, path: str, schema: T.StructType = RAW_CATALOG) -> DataFrame:
     """The rows of :func:`read_catalog_csv`, with files that hold multi-line values read by many tasks.
 
-    Reads the files twice. All must have the header of the first; ``read_records`` says what is refused.
+    Reads the files three times. All must have the header of the first; ``read_records`` says what is refused.
     Values keep their line breaks; the reader of whole files turns CR LF inside values to LF where lines
     end in CR LF.
     """

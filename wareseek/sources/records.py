@@ -3,7 +3,8 @@
 A line break ends a record only where the quotes before it are even in number. A first pass over the
 splits of the files counts each split's quotes; sums over the splits before one tell whether it starts
 inside a value. With that a second pass puts the lines of each split together to records by itself.
-What a split's end cuts, one record at most, meets its rest in a small shuffle.
+What a split's end cuts, one record at most, meets its rest in a small shuffle, for which the files are
+read once more.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from wareseek.storage import is_small
+from wareseek.storage import is_small, materialise
 
 # A split is a row of some hundred bytes; 100 TB in splits of 128 MB are 800,000.
 MAX_BROADCAST_SPLITS = 1_000_000
@@ -45,7 +46,7 @@ def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     are byte order marks. Quotes must enclose values or be doubled inside them: a lone quote within an
     unquoted value would move all later ends, so a file whose quotes are odd in number is refused.
 
-    The two passes must see the same splits: a cluster whose default parallelism changes between
+    All passes must see the same splits: a cluster whose default parallelism changes between
     them fails with an error, and ``spark.sql.files.minPartitionNum`` keeps it from doing so.
     """
     lines = spark.read.text(path, lineSep="\n").select(
@@ -69,23 +70,22 @@ def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def parse_records(records: DataFrame, names: Sequence[str], options: dict) -> DataFrame:
     """Columns of text from the records of :func:`read_records`, headers left out.
 
-    Every file's header must be ``names``, in that order. It is the first record of the split at byte 0.
+    Every file's header must be ``names``, in that order, or the job fails. It is the first record of the
+    split at byte 0.
     """
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     header = (F.col("split") == 0) & (F.col("number") == 0)
-    headers = records.where(header)
-    values = F.from_csv("record", schema, options)
-    wrong = headers.select("file", F.array(*[values[n] for n in names]).alias("found"))
-    wrong = wrong.where(~F.col("found").eqNullSafe(F.array(*[F.lit(n) for n in names]))).take(1)
-    if wrong:
-        raise ValueError(f"{wrong[0]['file']} has the header {wrong[0]['found']} instead of {list(names)}")
-    return records.where(~header).select(F.from_csv("record", schema, options).alias("row")).select("row.*")
+    rows = records.select("*", F.from_csv("record", schema, options).alias("row"))
+    same = F.array(*[F.col("row")[n] for n in names]).eqNullSafe(F.array(*[F.lit(n) for n in names]))
+    other = F.raise_error(F.concat("file", F.lit(f" has another header than {', '.join(names)}: "), "record"))
+    body = rows.where(F.when(~header, True).when(same, False).otherwise(other.cast("boolean")))
+    return body.select("row.*")
 
 
 def _open_splits(lines: DataFrame) -> DataFrame:
     """For every split whether it starts inside a value."""
     odd = F.sum(F.regexp_count("line", F.lit('"'))) % 2
-    splits = lines.groupBy("file", "split").agg(odd.alias("odd"))
+    splits = materialise(lines.groupBy("file", "split").agg(odd.alias("odd")), "csv-splits")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     upto = splits.select("file", "split", "odd", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("before"))
     last = upto.groupBy("file").agg(F.max_by(F.col("before") + F.col("odd"), "split").alias("odd"))
