@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from registry import search as registered
 from registry.base import catalog as registered_catalog
@@ -91,6 +92,34 @@ def test_large_buckets_are_split_without_loss(spark, tmp_path):
     assert [(r["_id"], r["score"]) for r in best] == [(f"k{i:05d}", 1.0) for i in range(5)]
 
 
+def test_many_pairs_are_met_in_blocks_and_not_listed(spark, tmp_path, monkeypatch):
+    random.seed(2)
+    vectors = clustered(600).tolist() + [[1.0] * 32] * 200
+    odd = [("zero", "n", "img", 1.0, [0.0] * 32), ("short", "n", "img", 1.0, [1.0]), ("null", "n", "img", 1.0, None)]
+    rows = make(spark, vectors, odd).repartition(4).cache()
+    index = VectorIndex.build(rows, str(tmp_path / "index"), Planes(32, 4, 6), part_rows=50)
+    asked = [(i, vectors[i]) for i in range(0, 800, 8)] + [(-1, [0.0] * 32), (-2, None), (-3, [1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    monkeypatch.setattr(approximate, "MAX_QUERIES_PER_PASS", 40)
+    monkeypatch.setattr(VectorIndex, "candidates", None)
+    read = lambda found: sorted((r["query_id"], r["rank"], r["_id"], r["name"], r["img"], r["score"]) for r in found.collect())
+    assert not index.few_pairs(queries)
+    blocks = read(index.nearest(rows, queries, 20))
+    monkeypatch.undo()
+    monkeypatch.setattr(approximate, "PAIRS_PER_ROW", 10_000)
+    assert index.few_pairs(queries)
+    assert blocks == read(index.nearest(rows, queries, 20))
+    assert {r[0] for r in blocks} == set(range(0, 800, 8))
+
+
+def test_repeated_query_ids_are_refused(spark, tmp_path):
+    rows = make(spark, clustered(50).tolist())
+    index = VectorIndex.build(rows, str(tmp_path / "index"), Planes(32, 2, 2))
+    queries = spark.createDataFrame([(1, [1.0] * 32), (1, [2.0] * 32)], "query_id long, vector array<float>")
+    with pytest.raises(ValueError, match="repeated"):
+        index.nearest(rows, queries, 5)
+
+
 def test_batch_form_is_a_join_of_buckets(spark, tmp_path):
     rows = make(spark, clustered(500).tolist())
     index = VectorIndex.build(rows, str(tmp_path / "index"), Planes(32, 8, 4))

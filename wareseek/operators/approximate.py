@@ -5,6 +5,10 @@ Vectors at an angle share a bucket with probability ``(1 - angle / pi) ** bits``
 together find most near ones. Searching is an equi-join of the queries' buckets with the stored ones; the rows
 found are scored exactly. Buckets of many rows, such as those of copies, are stored in parts, and a query goes
 to all parts of its bucket, so no join key holds more than ``PART_ROWS`` rows of a bucket.
+
+The pairs of that join grow with queries times rows. The sizes of the buckets tell how many there will be; where
+they are more than ``PAIRS_PER_ROW`` for each row, they are never listed: slices of queries with their buckets go to
+the rows, each task meets and scores a block of rows at a time, and only its best rows of each query leave it.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
-from wareseek.functions.vectors import usable_matrix
+from wareseek.functions.vectors import unit_query, usable_matrix
+from wareseek.operators.batch import BlockScorer, best_per_query, query_slices, refuse_repeated
 from wareseek.operators.ranking import top_n_per_query
-from wareseek.operators.vector import nearest_per_query
-from wareseek.storage import is_small, materialise
+from wareseek.operators.vector import MAX_QUERIES_PER_PASS, nearest_per_query
+from wareseek.storage import is_small, materialise, scratch_scope
 
 PART_ROWS = 50_000
 MAX_BROADCAST = 1_000_000
@@ -29,6 +34,8 @@ MAX_CELLS_IN_FILTER = 1_000
 EXACT_ROWS = 100_000
 #: Rows that the choice of a number of bits and tables looks at.
 SAMPLE_ROWS = 4_000
+#: Pairs of a query and a row in one of its buckets that are listed and shuffled, for each indexed row.
+PAIRS_PER_ROW = 4
 _BLOCK = 2_048
 
 
@@ -110,12 +117,42 @@ def _pair_score(a: str, b: str, dims: int, digits: int) -> Column:
     return F.round((1 + score(F.col(a), F.col(b))) / 2, digits)
 
 
+def _meeting(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Which of the rows share a bucket with which of the queries: rows x queries, from the cells of both."""
+    meets = np.zeros((len(rows), len(queries)), dtype=bool)
+    for table in range(rows.shape[1]):
+        order = np.argsort(queries[:, table], kind="stable")
+        sorted_cells = queries[order, table]
+        first = np.searchsorted(sorted_cells, rows[:, table], side="left")
+        found = np.searchsorted(sorted_cells, rows[:, table], side="right") - first
+        row = np.repeat(np.arange(len(rows)), found)
+        at = np.arange(len(row)) + np.repeat(first - (np.cumsum(found) - found), found)
+        meets[row, order[at]] = True
+    return meets
+
+
+def _bucket_similarity(units: np.ndarray, planes: Planes, vector: str, digits: int) -> BlockScorer:
+    """Scores of the pairs that share a bucket; all others are no results."""
+    asked = planes.cells(units)
+
+    def score(block: pa.Table) -> np.ndarray:
+        scores = np.full((block.num_rows, len(units)), -np.inf)
+        column = block.column(vector).combine_chunks()
+        for at in range(0, block.num_rows, _BLOCK):
+            rows, usable = usable_matrix(column.slice(at, _BLOCK), planes.dims)
+            cosine = np.round((1 + rows @ units.T) / 2, digits)
+            scores[at : at + _BLOCK][usable] = np.where(_meeting(planes.cells(rows), asked), cosine, -np.inf)
+        return scores
+
+    return score
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """The buckets of a stored catalog's vectors."""
 
     entries: DataFrame
-    large: DataFrame
+    cells: DataFrame
     planes: Planes
     key: str = "_id"
     vector: str = "description_embedding"
@@ -142,15 +179,18 @@ class VectorIndex:
             sample = np.array([r[vector] for r in taken.collect()], dtype=np.float64).reshape(-1, dims)
             sample = sample[np.isfinite(sample).all(axis=1) & sample.any(axis=1)]
             planes = choose_planes(sample) if len(sample) else Planes(dims, 1, 1)
-        cells = materialise(_with_cells(catalog, planes, key, vector), "vector-cells")
-        parts = F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")
-        cells.groupBy("cell").agg(parts).filter("parts > 1").write.parquet(f"{path}/large")
-        large = spark.read.parquet(f"{path}/large")
-        sent = F.broadcast(large) if is_small(large, MAX_BROADCAST) else large
-        dealt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(key), F.col("parts"))).otherwise(0).cast("int")
-        placed = cells.join(sent, "cell", "left").select("cell", dealt.alias("part"), key)
-        # Sorted by cell, so that a few queries open only the row groups of their cells.
-        placed.repartitionByRange("cell", "part", key).sortWithinPartitions("cell", "part").write.parquet(f"{path}/entries")
+        with scratch_scope(spark):
+            cells = materialise(_with_cells(catalog, planes, key, vector), "vector-cells")
+            size = F.count(F.lit(1))
+            sizes = cells.groupBy("cell").agg(size.alias("rows"), F.ceil(size / part_rows).cast("int").alias("parts"))
+            sizes.write.parquet(f"{path}/cells")
+            large = spark.read.parquet(f"{path}/cells").filter("parts > 1").drop("rows")
+            sent = F.broadcast(large) if is_small(large, MAX_BROADCAST) else large
+            dealt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(key), F.col("parts"))).otherwise(0).cast("int")
+            placed = cells.join(sent, "cell", "left").select("cell", dealt.alias("part"), key)
+            # Sorted by cell, so that a few queries open only the row groups of their cells.
+            placed = placed.repartitionByRange("cell", "part", key).sortWithinPartitions("cell", "part")
+            placed.write.parquet(f"{path}/entries")
         spark.createDataFrame([{**asdict(planes), "key": key, "vector": vector}]).write.parquet(f"{path}/planes")
         return cls.load(spark, path)
 
@@ -159,7 +199,19 @@ class VectorIndex:
         stored = spark.read.parquet(f"{path}/planes").first().asDict()
         key, vector = stored.pop("key"), stored.pop("vector")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("entries"), read("large"), Planes(**stored), key, vector)
+        return cls(read("entries"), read("cells"), Planes(**stored), key, vector)
+
+    @property
+    def large(self) -> DataFrame:
+        """The cells that are stored in parts, and in how many."""
+        return self.cells.filter("parts > 1").drop("rows")
+
+    def few_pairs(self, queries: DataFrame) -> bool:
+        """Whether the pairs of a query and a row in one of its buckets are at most ``PAIRS_PER_ROW`` for each row."""
+        probes = _with_cells(queries, self.planes, "query_id", "vector").groupBy("cell").count()
+        pairs = probes.join(self.cells, "cell").agg(F.sum(F.col("count") * F.col("rows"))).first()[0]
+        stored = self.cells.agg(F.sum("rows")).first()[0]
+        return (pairs or 0) * self.planes.tables <= PAIRS_PER_ROW * (stored or 0)
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """(query_id, key) of all rows that share a bucket with a query, each pair once."""
@@ -189,18 +241,36 @@ class VectorIndex:
         Gives ``(query_id, key, img, name, score, rank)`` like :func:`nearest_per_query`, which ``exact`` runs instead.
         Scores are exact; a near row that shares no bucket with the query is missed. Conditions apply before
         the cut to ``n``. Unless ``exact`` says otherwise, conditions that leave at most ``EXACT_ROWS`` rows are
-        searched exactly. Queries without a direction have no results.
+        searched exactly. Queries without a direction have no results; repeated or missing ids are refused.
+        ``catalog`` is the table that the index was built on.
         """
         queries = queries.select("query_id", "vector")
         if exact is None:
             exact = where is not None and catalog.filter(where).limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
         if exact:
             return nearest_per_query(catalog, queries, n, self.vector, where, self.key, digits)
-        queries = materialise(queries, "queries")
+        queries = materialise(queries.filter(F.col("vector").isNotNull()), "queries")
+        refuse_repeated(queries)
         rows = catalog if where is None else catalog.filter(where)
         rows = rows.select(self.key, "img", "name", self.vector)
+        if not self.few_pairs(queries):
+            return self._nearest_of_blocks(rows, queries, n, digits)
         asked = F.broadcast(queries) if is_small(queries, MAX_BROADCAST) else queries
         pairs = self.candidates(queries).join(rows, self.key).join(asked, "query_id")
         scored = pairs.withColumn("score", _pair_score(self.vector, "vector", self.planes.dims, digits))
         scored = scored.select("query_id", self.key, "img", "name", "score").filter(F.col("score").isNotNull())
         return top_n_per_query(scored, n, tie=self.key)
+
+    def _nearest_of_blocks(self, rows: DataFrame, queries: DataFrame, n: int, digits: int) -> DataFrame:
+        """The same by a pass over the rows for each slice of queries; no pair is shuffled but the best."""
+
+        def slices() -> Iterator[tuple[list[Row], BlockScorer]]:
+            for found in query_slices(queries, MAX_QUERIES_PER_PASS, checked=True):
+                directed = [r for r in found if len(r["vector"]) == self.planes.dims]
+                directed = [r for r in directed if np.isfinite(r["vector"]).all() and np.any(r["vector"])]
+                if directed:
+                    units = np.stack([unit_query(r["vector"]) for r in directed])
+                    yield directed, _bucket_similarity(units, self.planes, self.vector, digits)
+
+        id_type = queries.schema["query_id"].dataType
+        return best_per_query(rows, [self.vector], slices(), id_type, n, self.key, strict=True)
