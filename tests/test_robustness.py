@@ -198,3 +198,18 @@ def test_table_of_requests_is_dispatched_as_single_ones(spark, catalog):  # noqa
     with pytest.raises(ValueError):
         batch_ai_search(catalog, requests.withColumn("search_types", F.array(F.lit("other"))), shared)
     assert batch_ai_search(catalog, requests.limit(0), shared).count() == 0
+
+
+def test_a_model_holds_few_rows_and_leaves_the_others_as_they_are(spark):
+    big = 2**53 + 1
+    rows = [(i, big if i % 3 else None, bytes([i % 7]) * 5) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "id long, big long, picture binary").coalesce(1)
+
+    def make_model():
+        return lambda part: {"seen": [len(part)] * len(part), "none": [None if i % 2 else float("nan") for i in part["id"]]}
+
+    done = infer(df, make_model, "seen int, none string", batch_size=100, drop=("picture",))
+    assert done.columns == ["id", "big", "seen", "none"]
+    assert sorted(map(tuple, done.collect())) == [(i, b, 100, None) for i, b, _ in rows]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

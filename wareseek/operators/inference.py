@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.model_cache import ModelCache
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wareseek.functions.text import LABEL_PROMPTS, clean_label
 from wareseek.schemas import FACETS, MAX_ATTEMPTS, MODEL_BATCH_SIZE
@@ -17,6 +19,8 @@ from wareseek.schemas import FACETS, MAX_ATTEMPTS, MODEL_BATCH_SIZE
 # A model takes a batch and returns its new columns.
 Model = Callable[[pd.DataFrame], Mapping[str, Sequence[Any]]]
 _RESIDENT = "the model of this worker"
+#: Rows whose answers leave a worker together, in whole batches of the model.
+_ROWS_OUT = 512
 
 
 def infer(
@@ -35,6 +39,9 @@ def infer(
     another is made, it lets go of the one it has. Columns in
     ``drop`` (images, prompts) are read by the model but not passed on. ``profile`` requests GPUs
     or other resources for this stage only.
+
+    Only the ``batch_size`` rows that the model works on, and the answers of some ``_ROWS_OUT`` rows, are Python
+    objects at a time; the other rows wait as Arrow data, and columns that are passed on stay such.
     """
     added = T._parse_datatype_string(outputs) if isinstance(outputs, str) else outputs
     names = [f.name for f in added]
@@ -43,7 +50,10 @@ def infer(
     )
     wanted = model_name or str(uuid.uuid4())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = {f.name: to_arrow_type(f.dataType) for f in added}
+    rows_out = batch_size * -(-_ROWS_OUT // batch_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, model = ModelCache.get(_RESIDENT) or (None, None)
         if held != wanted:
             model = None
@@ -51,13 +61,32 @@ def infer(
             model = make_model()
             ModelCache.add(_RESIDENT, (wanted, model))
         for batch in batches:
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at : at + batch_size]
-                made = model(part)
-                columns = {name: pd.Series(list(made[name]), part.index, object) for name in names}
-                yield part.assign(**columns)[schema.fieldNames()]
-
-    return df.mapInPandas(run, schema, profile=profile)
+            for start in range(0, batch.num_rows, rows_out):
+                rows = batch.slice(start, rows_out)
+                found: dict[str, list] = {name: [] for name in names}
+                for at in range(0, rows.num_rows, batch_size):
+                    made = model(_as_pandas(rows.slice(at, batch_size)))
+                    for name in names:
+                        found[name] += list(made[name])
+                columns = {name: _as_arrow(found[name], kind) for name, kind in types.items()}
+                arrays = [columns[c] if c in columns else rows.column(c) for c in schema.fieldNames()]
+                yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
+
+    return df.mapInArrow(run, schema, profile=profile)
+
+
+def _as_pandas(rows: pa.RecordBatch) -> pd.DataFrame:
+    """What a model reads; times without their zone, as pandas functions of Spark get them."""
+    frame = rows.to_pandas(date_as_object=True, maps_as_pydicts="lossy")
+    for field in rows.schema:
+        if pa.types.is_timestamp(field.type) and field.type.tz is not None:
+            frame[field.name] = frame[field.name].dt.tz_localize(None)
+    return frame
+
+
+def _as_arrow(values: list, kind: pa.DataType) -> pa.Array:
+    """A model's answers as a column; NaN stands for a missing one, as in pandas."""
+    return pa.array(pd.Series(values, dtype=object), kind, from_pandas=True)
 
 
 def with_retries(call: Callable[..., Any], attempts: int = MAX_ATTEMPTS) -> Callable[..., Any]:
