@@ -92,6 +92,9 @@ def test_edge_rows(spark):
     docs = cases.edge_docs(spark)
     model = t.fit([("good words here", 0), ("idiot speaks", 1)] * 40 + [("more good words", 0)] * 40)
     rows = t.tag(docs, model).collect()
+    bare = t.tag(docs, model, drop=("text",))
+    assert bare.columns == [c for c in t.tag(docs, model).columns if c != "text"]
+    assert sorted(map(str, bare.collect())) == sorted(map(str, t.tag(docs, model).drop("text").collect()))
     assert len(rows) == len(cases.TEXTS) and all(0 <= r["score"] <= 1 for r in rows)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert t.sample(docs, labels, t.Training()) == []

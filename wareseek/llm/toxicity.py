@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -341,7 +341,9 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _tagged(batches: Iterator[pa.RecordBatch], model: Field, text: str, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _tagged(
+    batches: Iterator[pa.RecordBatch], model: Field, text: str, names: tuple[str, ...], kept: list[str]
+) -> Iterator[pa.RecordBatch]:
     chain = Chain(model)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in slices(batches, _ROWS):
@@ -351,18 +353,28 @@ def _tagged(batches: Iterator[pa.RecordBatch], model: Field, text: str, names: t
             scores.append(chain.score([p for p, *_ in found]))
             spans.append([{"start": s, "end": e} for p, s, e in found if p >= 0.5])
         made = [pa.array(scores, pa.float64()), pa.array(spans, spans_type)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *made], [*kept, *names])
 
 
-def tag(docs: DataFrame, model: Field, text: str = "text", score: str = "score", spans: str = "toxic_spans") -> DataFrame:
+def tag(
+    docs: DataFrame,
+    model: Field,
+    text: str = "text",
+    score: str = "score",
+    spans: str = "toxic_spans",
+    drop: Sequence[str] = (),
+) -> DataFrame:
     """Adds a score from 0 to 1 and the offending spans (code points, end exclusive) to each row.
 
     A null or empty text, or one without a telling word, gets the score of no evidence. Rows are
     scored one by one, so repeated rows and empty tables need no care; other columns pass
-    unchanged, and the names of the added ones can be chosen where they would clash.
+    unchanged, and the names of the added ones can be chosen where they would clash. Columns in ``drop``
+    are not passed on: a text that nobody reads afterwards need not travel back from the tasks' Python.
     """
     if {score, spans} & set(docs.columns):
         raise ValueError(f"columns {score} or {spans} exist already; choose other names")
+    kept = [f for f in docs.schema.fields if f.name not in drop]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(spans, T.ArrayType(span))])
-    return docs.mapInArrow(lambda batches: _tagged(batches, model, text, (score, spans)), schema)
+    schema = T.StructType([*kept, T.StructField(score, T.DoubleType()), T.StructField(spans, T.ArrayType(span))])
+    names = [f.name for f in kept]
+    return docs.mapInArrow(lambda batches: _tagged(batches, model, text, (score, spans), names), schema)
