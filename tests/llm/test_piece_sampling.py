@@ -89,3 +89,15 @@ def test_batches_change_no_sample(spark):
     docs = spark.createDataFrame([(i, "some words again and again " * (i % 4) + str(i % 3)) for i in range(40)], "doc_id long, text string")
     whole, small = (p.sample_pieces(docs, tokenizer_file(), 2, batch_chars=n) for n in (1 << 18, 50))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, small.collect()))
+
+
+def test_tokens_kept_from_an_earlier_path_draw_no_noise(vocabulary, monkeypatch):
+    import numpy as np
+
+    drawn, below = [], p._below
+    monkeypatch.setattr(p, "_below", lambda location, bound, u: drawn.append(len(u)) or below(location, bound, u))
+    found, _ = p.Batch(["one text of several words, twice drawn"] * 50, np.arange(50, dtype=np.uint64), vocabulary).samples(2)
+    first, second = (len(paths.node) for paths, *_ in found)
+    assert drawn[0] == first and drawn[1] < second
+    for paths, *_ in found:
+        assert (paths.share > 0).all() and len(paths.share) == len(paths.node)

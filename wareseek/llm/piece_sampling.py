@@ -162,8 +162,8 @@ class Lattices:
                 wide[node_of[active[ends >= 0]]] = True
             more = left[active] > length
             active, nodes = active[more], nodes[more]
-        score = np.empty((_LONGEST, n), dtype=np.float32)
-        for i, row in enumerate(self.pieces):
+        score = np.empty((_SHORT, n), dtype=np.float32)
+        for i, row in enumerate(self.pieces[:_SHORT]):
             score[i] = v.score[row]  # the number -1 finds the last entry, which is no piece
         codes = np.empty(n, dtype=np.int64)
         codes[node_of] = chars
@@ -188,7 +188,8 @@ class Lattices:
             some = wide_nodes[wide_from[distance - 1] : wide_from[distance]]
             if len(some):
                 lengths = range(1, min(distance, _LONGEST) + 1)
-                reach = np.stack([score[i - 1, some] + sums[distance - i][some - lo] for i in lengths])
+                fitting = [score[i - 1, some] if i <= _SHORT else v.score[self.pieces[i - 1, some]] for i in lengths]
+                reach = np.stack([s + sums[distance - i][some - lo] for i, s in zip(lengths, fitting)])
                 total[some - lo], share[: len(lengths), some] = _normal(reach)
             sums.append(total)
         # Read node by node from here on, so a node's edges lie together.
@@ -198,13 +199,15 @@ class Lattices:
         share[-1] = 2.0  # the last fitting piece takes what rounding leaves over
         self.upto = np.ascontiguousarray(share.T)
 
-    def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-        """Index of a drawn edge of each node."""
+    def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of a drawn edge of each node, and the edge's share."""
         chosen = (self.upto[nodes] > uniform[:, None].astype(np.float32)).argmax(1)
-        beyond = np.flatnonzero(self.share[nodes, chosen] == 0)
+        share = self.share[nodes, chosen]
+        beyond = np.flatnonzero(share == 0)
         if len(beyond):
             chosen[beyond] = _LONGEST - 1 - (self.share[nodes[beyond], ::-1] > 0).argmax(1)
-        return chosen
+            share[beyond] = self.share[nodes[beyond], chosen[beyond]]
+        return chosen, share
 
     def after(self, nodes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nodes at the ends of edges, and whether those are not yet their segments' ends."""
@@ -243,6 +246,7 @@ class Paths:
     place: np.ndarray  # of the token's segment among all occurrences
     node: np.ndarray
     edge: np.ndarray
+    share: np.ndarray  # of the edge among those of its node
     mass: np.ndarray  # log-probability of the path up to the token
     after: np.ndarray  # and with it
 
@@ -286,33 +290,34 @@ class Batch:
         while len(which):
             where = place[which]
             at = self.begin[where] + lat.size[self.segment[where]] - lat.distance[node]
-            edge = lat.draw(node, _uniform(self.keys[self.doc[where]], number, at))
-            steps.append((which, node, edge))
+            edge, share = lat.draw(node, _uniform(self.keys[self.doc[where]], number, at))
+            steps.append((which, node, edge, share))
             node, more = lat.after(node, edge)
             which, node = which[more], node[more]
         if not steps:
             empty = np.empty(0, dtype=np.int64)
-            return empty, empty, empty
+            return empty, empty, empty, np.empty(0, dtype=np.float32)
         count = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(place))
         begin = np.cumsum(count) - count
         nodes, edges = np.empty(int(count.sum()), dtype=np.int64), np.empty(int(count.sum()), dtype=np.int64)
-        for i, (which, node, edge) in enumerate(steps):
-            nodes[begin[which] + i] = node
-            edges[begin[which] + i] = edge
-        return np.repeat(place, count), nodes, edges
+        shares = np.empty(len(edges), dtype=np.float32)
+        for i, (which, node, edge, share) in enumerate(steps):
+            to = begin[which] + i
+            nodes[to], edges[to], shares[to] = node, edge, share
+        return np.repeat(place, count), nodes, edges, shares
 
-    def _finish(self, docs: np.ndarray, place: np.ndarray, node: np.ndarray, edge: np.ndarray) -> Paths:
+    def _finish(self, docs: np.ndarray, place: np.ndarray, node: np.ndarray, edge: np.ndarray, share: np.ndarray) -> Paths:
         """Adds up log-probabilities; ``docs`` has the tokens of each document.
 
         They are added as whole numbers of a fine unit, so that a document's sums are the same in
         every batch.
         """
         with np.errstate(divide="ignore"):
-            step = np.log(self.lattices.share[node, edge].astype(np.float64)) if len(node) else np.empty(0)
+            step = np.log(share.astype(np.float64))
         offset = np.concatenate([[0], np.cumsum(docs)])
         whole = np.concatenate([[0], np.cumsum(np.rint(step * _UNIT).astype(np.int64))])
         before = np.repeat(whole[offset[:-1]], docs)
-        return Paths(offset, place, node, edge, (whole[:-1] - before) / _UNIT, (whole[1:] - before) / _UNIT)
+        return Paths(offset, place, node, edge, share, (whole[:-1] - before) / _UNIT, (whole[1:] - before) / _UNIT)
 
     def first_paths(self) -> Paths:
         place = np.arange(len(self.segment))
@@ -327,26 +332,29 @@ class Batch:
         """
         sizes = np.diff(paths.offset)
         doc = np.repeat(np.arange(self.docs), sizes)
+        token = np.arange(len(doc)) - paths.offset[doc]
         lat = self.lattices
+        late = np.flatnonzero(token >= since[doc])
+        doc, token, node, edge = doc[late], token[late], paths.node[late], paths.edge[late]
         # What a node's other edges weigh, summed without the path's own, so small rests stay exact.
-        rest = 1.0 - lat.share[paths.node, paths.edge].astype(np.float64)
+        rest = 1.0 - paths.share[late].astype(np.float64)
         small = np.flatnonzero(rest < 0.1)
-        others = lat.share[paths.node[small]]
-        others[np.arange(len(small)), paths.edge[small]] = 0
+        others = lat.share[node[small]]
+        others[np.arange(len(small)), edge[small]] = 0
         rest[small] = np.einsum("ij->i", others, dtype=np.float64)
         branch = np.flatnonzero((since < sizes) & (taken > 0))
-        at = paths.offset[branch] + since[branch]
+        at = np.searchsorted(late, paths.offset[branch] + since[branch])
         used = (taken[branch][:, None] >> np.arange(_LONGEST)) & 1
-        rest[at] = (lat.share[paths.node[at]] * (used == 0)).sum(1, dtype=np.float64)
+        rest[at] = (lat.share[node[at]] * (used == 0)).sum(1, dtype=np.float64)
         with np.errstate(divide="ignore"):
-            location = paths.mass + np.log(rest)
-        location[np.arange(len(doc)) - paths.offset[doc] < since[doc]] = _NONE
-        token = np.arange(len(doc)) - paths.offset[doc]
-        return _below(location, bound[doc], _uniform(self.keys[doc], 1000 + number, token))
+            location = paths.mass[late] + np.log(rest)
+        found = np.full(len(paths.node), _NONE)
+        found[late] = _below(location, bound[doc], _uniform(self.keys[doc], 1000 + number, token))
+        return found
 
     def branched(self, paths: list[Paths], path: np.ndarray, token: np.ndarray, edge: np.ndarray, alive: np.ndarray, number: int) -> Paths:
         """New paths: like ``path`` up to ``token``, there by another edge, then drawn anew."""
-        kept_place, kept_node, kept_edge, kept_doc = [], [], [], []
+        kept_place, kept_node, kept_edge, kept_share, kept_doc = [], [], [], [], []
         starts, nodes, docs_of = [], [], []
         for r, old in enumerate(paths):
             mine = np.flatnonzero(alive & (path == r))
@@ -357,6 +365,7 @@ class Batch:
             kept_place += [old.place[rows], old.place[at]]
             kept_node += [old.node[rows], old.node[at]]
             kept_edge += [old.edge[rows], edge[mine]]
+            kept_share += [old.share[rows], self.lattices.share[old.node[at], edge[mine]]]
             kept_doc += [np.repeat(mine, token[mine]), mine]
             # The rest of the segment after the new edge, and all segments behind it.
             where = old.place[at]
@@ -370,7 +379,7 @@ class Batch:
         order = np.argsort(place, kind="stable")
         tail = self._walk(place[order], node[order], number)
         doc = np.concatenate([join(kept_doc), self.doc[tail[0]]])
-        parts = [np.concatenate([join(kept), t]) for kept, t in zip((kept_place, kept_node, kept_edge), tail)]
+        parts = [np.concatenate([join(kept), t]) for kept, t in zip((kept_place, kept_node, kept_edge, kept_share), tail)]
         # Kept tokens of a document come before drawn ones, and the changed one last among them.
         order = np.argsort(doc, kind="stable")
         return self._finish(np.bincount(doc, minlength=self.docs), *[p[order] for p in parts])
