@@ -7,9 +7,10 @@ from test_tables import models, raw
 
 from registry.enrich import StubClient, make_describer
 from wareseek.functions.geometry import crop_center_square
+from wareseek.functions.text import DESCRIPTION_PROMPT
 from wareseek.operators import batch, vector
 from wareseek.operators.filters import Conditions
-from wareseek.operators.inference import infer
+from wareseek.operators.inference import describe, infer
 from wareseek.operators.lexical import LexicalIndex
 from wareseek.operators.vector import nearest_per_query
 from wareseek.plans.enrich import OfflineModels, enrich_online, load
@@ -213,3 +214,20 @@ def test_a_model_holds_few_rows_and_leaves_the_others_as_they_are(spark):
     assert sorted(map(tuple, done.collect())) == [(i, b, 100, None) for i, b, _ in rows]
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_prompts_are_made_in_the_worker(spark):
+    """The literals of a prompt, longer than most pictures, do not travel there with each row; texts are the same."""
+    rows = [(i, None if i % 5 == 0 else f"näme {i}", b"x") for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, name string, img binary")
+
+    def make_model():
+        return lambda batch: {"description": list(batch["description_prompt"])}
+
+    made = describe(df, make_model, batch_size=70, prompt=DESCRIPTION_PROMPT)
+    plan = made._jdf.queryExecution().toString()
+    assert made.columns == ["id", "name", "description"] and "<image>" not in plan
+    expected = df.withColumn("expected", DESCRIPTION_PROMPT.text())
+    assert made.join(expected, "id").filter(~F.col("description").eqNullSafe(F.col("expected"))).count() == 0
+    numbers = df.select("id", F.col("id").alias("name"), "img")  # not strings: made by Spark, as before
+    assert describe(numbers, make_model, prompt=DESCRIPTION_PROMPT).filter("id = 3").first()["description"].count(" 3.") == 1

@@ -140,6 +140,45 @@ def test_last_row_of_a_hot_key_wins(spark, store):
     assert rows_of(store.read()) == [("b", 1.0, None), ("hot", 499.0, "499")]
 
 
+def test_a_whole_update_is_written_once_and_not_sorted_by_key(spark, store, tmp_path, monkeypatch):
+    """Rows without repeated keys need no last one, and rows with all columns stay where they were staged."""
+
+    def refuse(*_):
+        raise AssertionError("no key is repeated")
+
+    monkeypatch.setattr(versions, "MAX_DELTA_ROWS", 0)
+    monkeypatch.setattr(versions, "keep_last", refuse)
+    monkeypatch.setattr("wareseek.sources.table.keep_last", refuse)
+    root = scratch_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    delivery = lambda first, price: spark.range(first, first + 100).selectExpr(
+        "concat('k', id) AS _id", f"{price}D AS price", "CAST(NULL AS string) AS extra", "id"
+    )
+    store.upsert(delivery(0, 1.0), order=["id"])
+    store.upsert(delivery(50, 2.0), order=["id"])
+    expected = [(f"k{i}", 1.0 if i < 50 else 2.0, None) for i in range(150)]
+    assert rows_of(store.read()) == sorted(expected, key=repr)
+    assert set(os.listdir(root)) == before and len(folders(tmp_path)) == 2
+    assert {e["folder"] for e in store.manifest.latest()[1]} < folders(tmp_path)
+
+
+@pytest.mark.parametrize("kind", [VersionedTable, versions.CatalogTable])
+@pytest.mark.parametrize("delta_rows", [0, 50_000])
+def test_last_rows_go_by_the_values_that_came(spark, tmp_path, monkeypatch, kind, delta_rows):
+    """Text is compared as text, also where the column becomes a number; a column of nulls decides nothing."""
+    monkeypatch.setattr(versions, "MAX_DELTA_ROWS", delta_rows)
+    table = kind(spark, str(tmp_path / "items"), ITEMS, buckets=2)
+    table.upsert(items(spark, [("a", 5.0, "old"), ("c", 5.0, "old")]))
+    rows = spark.createDataFrame([("a", "10", "x"), ("a", "9", "y"), ("b", "1", None)], "_id string, price string, extra string")
+    rows = rows.withColumn("none", F.lit(None))
+    table.upsert(rows, order=["none", "price"])
+    assert rows_of(table.read()) == [("a", 9.0, "y"), ("b", 1.0, None), ("c", 5.0, "old")]
+    before = {p for p in (tmp_path / "items").rglob("*.parquet")}
+    with pytest.raises(DuplicateKeyError):
+        table.upsert(spark.createDataFrame([(None, 1.0, "x", 1), ("d", 1.0, "x", 1), ("d", 2.0, "x", 2)], "_id string, price double, extra string, id int"), order=["id"])
+    assert {p for p in (tmp_path / "items").rglob("*.parquet")} == before
+
+
 def test_filters_reach_base_and_deltas(spark, store):
     store.insert(items(spark, [(f"k{i}", float(i), None) for i in range(100)]))
     store.upsert(items(spark, [("k5", 200.0, None)]))

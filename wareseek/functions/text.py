@@ -1,10 +1,12 @@
-"""Text columns: tokens, prompts, labels and image lists. Everything stays in the JVM."""
+"""Text columns: tokens, prompts, labels and image lists. Everything stays in the JVM, but for prompts made in a task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from wareseek.schemas import (
@@ -105,6 +107,12 @@ class Prompt:
         """The same text for one row, inside a task."""
         return "".join(values[p] if i % 2 else p for i, p in enumerate(self.parts))
 
+    def texts(self, rows: pa.RecordBatch) -> pa.Array:
+        """:meth:`text` for the rows of a batch, inside a task; the columns must be strings."""
+        kind = rows.schema.field(self.parts[1]).type
+        parts = [rows.column(p).cast(kind) if i % 2 else pa.scalar(p, kind) for i, p in enumerate(self.parts)]
+        return pc.binary_join_element_wise(*parts, pa.scalar("", kind))
+
     def count(self, counts: dict[str, Column]) -> Column:
         """Token count, given the token count of each column."""
         fixed = F.lit(sum(len(split_tokens(p)) for p in self.parts[0::2]))

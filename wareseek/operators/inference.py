@@ -13,7 +13,7 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wareseek.functions.text import LABEL_PROMPTS, clean_label
+from wareseek.functions.text import LABEL_PROMPTS, Prompt, clean_label
 from wareseek.schemas import FACETS, MAX_ATTEMPTS, MODEL_BATCH_SIZE
 
 # A model takes a batch and returns its new columns.
@@ -31,20 +31,27 @@ def infer(
     drop: Sequence[str] = (),
     profile: ResourceProfile | None = None,
     model_name: str | None = None,
+    prompts: Mapping[str, Prompt] | None = None,
 ) -> DataFrame:
     """Add the columns ``outputs`` computed by a model.
 
     ``make_model`` runs once per Python worker, which keeps the model for later tasks of this call
     and, with a ``model_name``, of later calls under that name. A worker holds one model: before
     another is made, it lets go of the one it has. Columns in
-    ``drop`` (images, prompts) are read by the model but not passed on. ``profile`` requests GPUs
-    or other resources for this stage only.
+    ``drop`` (images, prompts) are read by the model but not passed on. Columns in ``prompts`` are
+    not either; they are made in the worker for some ``_ROWS_OUT`` rows at a time, so that their long
+    literals never travel there. ``profile`` requests GPUs or other resources for this stage only.
 
     Only the ``batch_size`` rows that the model works on, and the answers of some ``_ROWS_OUT`` rows, are Python
     objects at a time; the other rows wait as Arrow data, and columns that are passed on stay such.
     """
     added = T._parse_datatype_string(outputs) if isinstance(outputs, str) else outputs
     names = [f.name for f in added]
+    prompts = dict(prompts or {})
+    strings = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    made_here = {c: p for c, p in prompts.items() if p.parts[1::2] and strings.issuperset(p.parts[1::2])}
+    df = df.withColumns({c: p.text() for c, p in prompts.items() if c not in made_here}).drop(*made_here)
+    drop = (*drop, *prompts)
     schema = T.StructType(
         [f for f in df.schema if f.name not in names and f.name not in drop] + list(added)
     )
@@ -62,10 +69,12 @@ def infer(
             ModelCache.add(_RESIDENT, (wanted, model))
         for batch in batches:
             for start in range(0, batch.num_rows, rows_out):
-                rows = batch.slice(start, rows_out)
+                rows = asked = batch.slice(start, rows_out)
+                for name, prompt in made_here.items():
+                    asked = asked.append_column(name, prompt.texts(rows))
                 found: dict[str, list] = {name: [] for name in names}
                 for at in range(0, rows.num_rows, batch_size):
-                    made = model(_as_pandas(rows.slice(at, batch_size)))
+                    made = model(_as_pandas(asked.slice(at, batch_size)))
                     for name in names:
                         found[name] += list(made[name])
                 columns = {name: _as_arrow(found[name], kind) for name, kind in types.items()}
@@ -77,7 +86,8 @@ def infer(
 
 def _as_pandas(rows: pa.RecordBatch) -> pd.DataFrame:
     """What a model reads; times without their zone, as pandas functions of Spark get them."""
-    frame = rows.to_pandas(date_as_object=True, maps_as_pydicts="lossy")
+    # Few rows at a time: threads would cost more than they save.
+    frame = rows.to_pandas(date_as_object=True, maps_as_pydicts="lossy", use_threads=False)
     for field in rows.schema:
         if pa.types.is_timestamp(field.type) and field.type.tz is not None:
             frame[field.name] = frame[field.name].dt.tz_localize(None)
@@ -128,8 +138,12 @@ def describe(
     batch_size: int = MODEL_BATCH_SIZE,
     profile: ResourceProfile | None = None,
     model_name: str | None = None,
+    prompt: Prompt | None = None,
 ) -> DataFrame:
-    """Add ``description`` from the prompt and the picture, and let go of both."""
+    """Add ``description`` from the prompt and the picture, and let go of both.
+
+    The model reads ``description_prompt``, a column of ``df`` or made from ``prompt`` within the task.
+    """
     return infer(
         df,
         make_model,
@@ -138,6 +152,7 @@ def describe(
         drop=("img", "description_prompt"),
         profile=profile,
         model_name=model_name,
+        prompts=None if prompt is None else {"description_prompt": prompt},
     )
 
 
@@ -157,10 +172,10 @@ def classify(
 
     The model reads ``{facet}_prompt`` and returns ``{facet}_response``.
     """
-    prompts = {f"{facet}_prompt": prompt.text() for facet, prompt in LABEL_PROMPTS.items()}
+    prompts = {f"{facet}_prompt": prompt for facet, prompt in LABEL_PROMPTS.items()}
     answers = T.StructType([T.StructField(f"{facet}_response", T.StringType()) for facet in FACETS])
     answered = infer(
-        df.withColumns(prompts), make_model, answers, batch_size, tuple(prompts), profile, model_name
+        df, make_model, answers, batch_size, profile=profile, model_name=model_name, prompts=prompts
     )
     labels = label_columns({facet: F.col(f"{facet}_response") for facet in FACETS})
     return answered.withColumns(labels).drop(*answers.fieldNames())

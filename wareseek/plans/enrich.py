@@ -149,18 +149,19 @@ def enrich_offline(
     no more than that.
 
     The budget of the describer is measured on the raw names, so pictures go from download to
-    description within one task and are never stored. The descriptions are: the budgets of the
+    description within one task and are never stored. The raw rows are, without columns nobody reads,
+    so that what made them runs once. So are the descriptions: the budgets of the
     classifier need a pass over them, and no product should be described twice.
     """
-    rows = _input_rows(raw, key)
+    rows = materialise(_input_rows(raw, key), "products")
     budget = budgets_of(rows, ["description"])["description"]
     rows = pictured(_dealt_out(rows, partitions), models)
-    prompted = rows.withColumn("description_prompt", DESCRIPTION_PROMPT.text())
     described = materialise(
         describe(
-            prompted,
+            rows,
             models.make_describer(budget),
             models.batch_size,
+            prompt=DESCRIPTION_PROMPT,
             **models.stage("describe", budget),
         ),
         "descriptions",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-
+from functools import partial
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -42,8 +42,13 @@ def merge_updates(
 
     A matched row takes every incoming column, NULLs included, and keeps its others; an unmatched
     incoming row is added. Keys are unique on both sides. The choice goes by a match flag, since
-    an incoming NULL has to win. With ``broadcast`` the stored side is only scanned.
+    an incoming NULL has to win. With ``broadcast`` the stored side is only scanned. Incoming rows
+    that have all columns are not joined at all; only their keys are.
     """
+    if set(incoming.columns) >= set(stored.columns):
+        keys = incoming.select(key)
+        kept = stored.join(F.broadcast(keys) if broadcast else keys, key, "left_anti")
+        return kept.select(*stored.columns).unionByName(incoming.select(*stored.columns))
     given = [c for c in incoming.columns if c != key]
     flagged = incoming.select(key, *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
     pick = lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
@@ -82,11 +87,41 @@ class CatalogTable:
         hashed = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets))
         return df.withColumn(_BUCKET, hashed.cast("int"))
 
-    def _conform(self, df: DataFrame) -> DataFrame:
-        unknown = [c for c in df.columns if c not in self.schema.fieldNames()]
+    def _conform(self, df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        """The columns of the table in its types; ``more`` columns stay as they are."""
+        unknown = [c for c in df.columns if c not in (*self.schema.fieldNames(), *more)]
         if unknown:
             raise ValueError(f"not columns of the table: {unknown}")
-        return df.select(*[F.col(c).cast(self.schema[c].dataType) for c in df.columns])
+        return df.select(*[F.col(c) if c in more else F.col(c).cast(self.schema[c].dataType) for c in df.columns])
+
+    def _staged(
+        self,
+        df: DataFrame,
+        order: Sequence[str] | None = None,
+        write: Callable[[DataFrame], DataFrame] = partial(materialise, name="staged"),
+    ) -> DataFrame:
+        """Rows in the columns of the table with their buckets, written once and read back by ``write``.
+
+        A missing or repeated key is an error. With ``order`` the last of several rows for one key is kept instead.
+        Keys are counted on the staged copy, so rows are sorted by key only where one is repeated.
+        """
+        places = {}
+        if order is not None:
+            # By the values as they came; a column without a type has none to go by.
+            places = {f"_order_{i}": c for i, c in enumerate(order) if not isinstance(df.schema[c].dataType, T.NullType)}
+            df = df.withColumns({place: F.col(c) for place, c in places.items()})
+            df = df.drop(*[c for c in order if c not in self.schema.fieldNames()])
+        staged = write(self._bucketed(self._conform(df, tuple(places))))
+        wrong = [r[0] for r in duplicated_keys(staged, self.key).select(self.key).orderBy(self.key).limit(5).collect()]
+        if wrong and (order is None or wrong[0] is None):
+            raise DuplicateKeyError(f"keys missing or repeated: {wrong}")
+        if wrong:
+            staged = write(keep_last(staged, [self.key], list(places)))
+        return staged.drop(*places)
+
+    def _is_small(self, staged: DataFrame, max_rows: int) -> bool:
+        """As ``is_small``; rows are counted first, without their columns, so no long content is brought together for it."""
+        return staged.limit(max_rows + 1).count() <= max_rows and is_small(staged, max_rows)
 
     def _with_buckets(self) -> DataFrame:
         schema = T.StructType([*self.schema, T.StructField(_BUCKET, T.IntegerType())])
@@ -148,14 +183,8 @@ class CatalogTable:
         Keys must be unique, unless ``order`` names the columns that decide which of several rows
         for one key comes last and so wins. Columns used only for that need not be in the table.
         """
-        if order is not None:
-            df = keep_last(df, [self.key], list(order))
-            df = df.drop(*[c for c in order if c not in self.schema.fieldNames()])
-        staged = materialise(self._bucketed(self._conform(df)), "updates")
-        repeated = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
-        if repeated:
-            raise DuplicateKeyError(f"keys missing or repeated: {[r[0] for r in repeated]}")
-        small = is_small(staged, MAX_BROADCAST_UPDATES)
+        staged = self._staged(df, order)
+        small = self._is_small(staged, MAX_BROADCAST_UPDATES)
         merged = merge_updates(self._touched_by(staged), staged, self.key, broadcast=small)
         # A dynamic overwrite stages the new buckets and swaps them in when the job commits, so the
         # old ones can be read, and re-read after a lost executor, until then. Applying the same

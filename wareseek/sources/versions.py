@@ -21,8 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from wareseek.operators.ranking import keep_last
-from wareseek.sources.table import _BUCKET, CatalogTable, DuplicateKeyError, duplicated_keys, merge_updates
-from wareseek.storage import delete_folder, is_small, list_folders, materialise
+from wareseek.sources.table import _BUCKET, CatalogTable, DuplicateKeyError, merge_updates
+from wareseek.storage import delete_folder, list_folders
 
 # An update this small becomes a delta; its keys are broadcast to readers.
 MAX_DELTA_ROWS = 50_000
@@ -108,7 +108,8 @@ class VersionedTable(CatalogTable):
         """The rows of a version, of some buckets only if they are named."""
         base = [e for e in entries if e["role"] == "base" and (buckets is None or e["bucket"] in buckets)]
         paths = [f"{self._folder(e['folder'])}/{_BUCKET}={e['bucket']}" for e in base]
-        empty = self.spark.createDataFrame([], self.schema)
+        # With the limit it is known to be empty before anything runs, so no join with it does.
+        empty = self.spark.createDataFrame([], self.schema).limit(0)
         stored = self.spark.read.schema(self.schema).parquet(*paths) if paths else empty
         changed = self._changed(entries)
         if changed is None:
@@ -126,21 +127,41 @@ class VersionedTable(CatalogTable):
         deltas = [read(e) for e in entries if e["role"] == "delta"]
         return reduce(DataFrame.unionAll, deltas) if deltas else None
 
-    def _write_buckets(self, rows: DataFrame) -> list[tuple]:
-        """Write rows to a folder of their own; the manifest rows of its buckets."""
-        name = uuid.uuid4().hex
-        self._bucketed(rows).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(self._folder(name))
+    def _write_buckets(self, rows: DataFrame, name: str | None = None) -> list[tuple]:
+        """Write rows to a folder of their own, or add them to one that no version lists yet; the manifest rows of its buckets."""
+        name = name or uuid.uuid4().hex
+        self._bucketed(rows).hint("rebalance", _BUCKET).write.mode("append").partitionBy(_BUCKET).parquet(self._folder(name))
+        return self._buckets_of(name)
+
+    def _written(self, df: DataFrame, order: Sequence[str] | None = None) -> tuple[str, DataFrame]:
+        """Rows staged in buckets, so that a version can list them where they are: the folder's name, and the rows.
+
+        Columns that only order rows stay in the files; nobody reads them.
+        """
+        names: list[str] = []
+
+        def write(rows: DataFrame) -> DataFrame:
+            names.append(uuid.uuid4().hex)
+            self._write_buckets(rows, names[-1])
+            return self.spark.read.schema(rows.schema).parquet(self._folder(names[-1]))
+
+        try:
+            staged = self._staged(df, order, write)
+        except Exception:
+            self._discard(names)
+            raise
+        self._discard(names[:-1])
+        return names[-1], staged
+
+    def _discard(self, names: Sequence[str]) -> None:
+        for name in names:
+            delete_folder(self.spark, self._folder(name))
+
+    def _buckets_of(self, name: str) -> list[tuple]:
+        """The manifest rows of a folder."""
         found = [f[len(_BUCKET) + 1 :] for f, _ in list_folders(self.spark, self._folder(name)) if f.startswith(f"{_BUCKET}=")]
         return [("base", int(bucket), name, None) for bucket in sorted(found)]
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        """Rows in the columns of the table with their buckets; a missing or repeated key is an error."""
-        staged = materialise(self._bucketed(self._conform(df)), "staged")
-        wrong = duplicated_keys(staged, self.key).select(self.key).limit(5).collect()
-        if wrong:
-            raise DuplicateKeyError(f"keys missing or repeated: {[r[0] for r in wrong]}")
-        return staged
-
     def read(self, version: int | None = None) -> DataFrame:
         """The newest rows, or those of an earlier version that has not expired."""
         return self._rows(self.manifest.latest()[1] if version is None else self.manifest.entries(version))
@@ -150,17 +171,18 @@ class VersionedTable(CatalogTable):
 
     def replace(self, df: DataFrame) -> None:
         version = self.manifest.latest()[0]
-        self.manifest.publish(version + 1, self._write_buckets(self._staged(df).drop(_BUCKET)))
+        self.manifest.publish(version + 1, self._buckets_of(self._written(df)[0]))
 
     def insert(self, df: DataFrame) -> None:
         version, entries = self.manifest.latest()
-        staged = self._staged(df)
+        name, staged = self._written(df)
         touched = {r[0] for r in staged.select(_BUCKET).distinct().collect()}
         clashes = self._rows(entries, touched).join(staged.select(self.key), self.key, "left_semi")
         taken = clashes.select(self.key).limit(5).collect()
         if taken:
+            self._discard([name])
             raise DuplicateKeyError(f"keys already stored: {[r[0] for r in taken]}")
-        self.manifest.publish(version + 1, [*entries, *self._write_buckets(staged.drop(_BUCKET))])
+        self.manifest.publish(version + 1, [*entries, *self._buckets_of(name)])
 
     def applied(self, writer: str) -> int:
         """The last batch that ``writer`` has published, -1 before the first."""
@@ -174,34 +196,40 @@ class VersionedTable(CatalogTable):
         """
         if batch is not None and batch[1] <= self.applied(batch[0]):
             return
-        if order is not None:
-            df = keep_last(df, [self.key], list(order))
-            df = df.drop(*[c for c in order if c not in self.schema.fieldNames()])
-        staged = self._staged(df)
+        # Rows with all columns take the place of stored ones as they are, so they are written where they will stay.
+        whole = set(df.columns) >= set(self.schema.fieldNames())
+        name, staged = self._written(df, order) if whole else (None, self._staged(df, order))
         version, entries = self.manifest.latest()
         done = [] if batch is None else [("batch", None, *batch)]
         entries = [e for e in entries if batch is None or (e["role"], e["folder"]) != ("batch", batch[0])]
         touched = {r[0] for r in staged.select(_BUCKET).distinct().collect()}
         incoming, rows = staged.drop(_BUCKET), self._rows(entries, touched)
-        if is_small(staged, MAX_DELTA_ROWS) and sum(e["role"] == "delta" for e in entries) < MAX_DELTAS:
+        if self._is_small(staged, MAX_DELTA_ROWS) and sum(e["role"] == "delta" for e in entries) < MAX_DELTAS:
             matched = rows.join(F.broadcast(incoming.select(self.key)), self.key, "left_semi")
-            name = uuid.uuid4().hex
+            delta = uuid.uuid4().hex
             merged = merge_updates(matched, incoming, self.key)
-            merged.write.parquet(self._folder(name))
-            self.manifest.publish(version + 1, [*entries, ("delta", None, name, version + 1), *done])
+            merged.write.parquet(self._folder(delta))
+            self._discard([name] if whole else [])
+            self.manifest.publish(version + 1, [*entries, ("delta", None, delta, version + 1), *done])
         else:
             touched |= self._delta_buckets(entries)
-            merged = merge_updates(self._rows(entries, touched), incoming, self.key)
-            self._publish_buckets(version + 1, entries, touched, merged, done)
+            stored = self._rows(entries, touched)
+            if whole:
+                rows = stored.join(incoming.select(self.key), self.key, "left_anti")
+            else:
+                rows = merge_updates(stored, incoming, self.key)
+            self._publish_buckets(version + 1, entries, touched, rows, done, name)
 
     def _delta_buckets(self, entries: list[Row]) -> set[int]:
         changed = self._changed(entries)
         return set() if changed is None else {r[0] for r in self._bucketed(changed).select(_BUCKET).distinct().collect()}
 
-    def _publish_buckets(self, version: int, entries: list[Row], touched: set[int], rows: DataFrame, done: list[tuple]) -> None:
-        """Rows in place of the touched buckets and of all deltas."""
+    def _publish_buckets(
+        self, version: int, entries: list[Row], touched: set[int], rows: DataFrame, done: list[tuple], name: str | None = None
+    ) -> None:
+        """Rows, and those already in the folder ``name``, in place of the touched buckets and of all deltas."""
         kept = [e for e in entries if e["role"] == "batch" or (e["role"] == "base" and e["bucket"] not in touched)]
-        self.manifest.publish(version, [*kept, *self._write_buckets(rows), *done])
+        self.manifest.publish(version, [*kept, *self._write_buckets(rows, name), *done])
 
     def compact(self) -> None:
         """Fold all deltas into the buckets they fall into; the table's rows stay the same."""
